@@ -10,7 +10,6 @@ from ..functions import labels
 from ..functions.numbers import fixed
 from ..functions.times import day, instant, iso_weekday, monday_of, month_of
 from ..operators import federated, health, keyed, marts, ordered, ranks, rollups, signals
-from ..session import job_folder
 from ..sources import ingest
 from ..sources.views import BUSINESS_TODAY, IOT_NOW, DomainTables
 from ..streaming import jobs
@@ -644,9 +643,7 @@ def _event_files(t: DomainTables) -> ingest.Loaded:
         F.when(e % 89 == 0, "").otherwise(F.concat(F.col("user_id"), F.lit(".0"))).alias("user_id"),
         "event_type", F.when(e % 97 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("value"),
     )
-    path = job_folder(t.spark, "csv", f"events-{abs(hash(t.folder)):x}")
-    ingest.write_csv(text, path)
-    return ingest.read_csv(t.spark, path, _EVENT_TYPES)
+    return ingest.read_csv(t.spark, t.written_once("event_files", lambda path: ingest.write_csv(text, path)), _EVENT_TYPES)
 
 
 @query
@@ -673,8 +670,8 @@ def conformed_archive(t):
         "quality_code string, reading_year int, reading_month int"
     )
     rows = t.readings().withColumn("reading_year", F.year("reading_timestamp")).withColumn("reading_month", F.month("reading_timestamp"))
-    path = job_folder(t.spark, "archive", f"readings-{abs(hash(t.folder)):x}")
-    ingest.append_conformed(rows, target, path, ["reading_year", "reading_month"], ["device_id", "reading_timestamp"], mode="overwrite")
+    layout, sort = ["reading_year", "reading_month"], ["device_id", "reading_timestamp"]
+    path = t.written_once("readings_archive", lambda path: ingest.append_conformed(rows, target, path, layout, sort, mode="overwrite"))
     return t.spark.read.parquet(path)
 
 

@@ -49,12 +49,18 @@ class DomainTables:
 
     def written(self, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
         """Build a table once per application, keep it in the shared folder, read it from there."""
+        return self.spark.read.parquet(
+            self.written_once(name, lambda path: build().write.mode("overwrite").partitionBy(*partition_by).parquet(path))
+        )
+
+    def written_once(self, name: str, write: Callable[[str], None]) -> str:
+        """The shared folder ``write`` filled; it runs once per application, input folder and name."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _written:
             path = job_folder(self.spark, "tables", f"{zlib.crc32(self.folder.encode()):08x}", name)
-            build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+            write(path)
             _written[key] = path
-        return self.spark.read.parquet(_written[key])
+        return _written[key]
 
     # --- sensors --------------------------------------------------------------------------
 
