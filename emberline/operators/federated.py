@@ -46,15 +46,18 @@ def alert_triage(
     )
     opened = alerts.filter(~F.col("acknowledged"))
     place = devices.select("device_id", "device_class", "model", "zone")
+    # Hot keys are counted on the alerts alone, before the first join.
     rows = join_spread(opened, place, "device_id")
-    rows = join_spread(rows, baseline, ["device_id", "metric_name"], "left")
+    rows = join_spread(
+        rows, baseline, ["device_id", "metric_name"], "left", key_counts=opened.groupBy("device_id", "metric_name").count()
+    )
     if weather_at == "raised":
         rows = alerts_with_weather(rows, weather, slices)
     else:
         latest = newest_per_key(weather, ["site_id"], ["observation_time"]).select(
             "site_id", "temperature_c", "humidity_pct", "conditions"
         )
-        rows = join_spread(rows, latest, "site_id", "left")
+        rows = join_spread(rows, latest, "site_id", "left", key_counts=opened.groupBy("site_id").count())
     value = F.col("metric_value").cast("double")
     out = rows.select(
         "alert_id", "severity", "alert_type", "device_class", "model", "site_id", "zone", "metric_name",
@@ -230,9 +233,14 @@ def authorization_context(
         mean("amount").alias("_avg"), F.max("amount").cast("double").alias("_max"), F.count(F.lit(1)).alias("baseline_n")
     )
     latest = newest_per_key(risk.select("customer_id", "risk_score", "risk_tier", "snapshot_date"), ["customer_id"], ["snapshot_date"])
-    owner = accounts.select("account_id", "customer_id").join(latest.drop("snapshot_date"), "customer_id", "left")
-    rows = join_spread(authorizing.filter(F.col("auth_status") == "requesting"), owner, "account_id")
-    rows = join_spread(rows, usual, ["customer_id", "merchant_category"], "left")
+    # Both sides of history move to the account first, so the live rows meet them on their own keys.
+    of_account = accounts.select("account_id", "customer_id")
+    owner = of_account.join(latest.drop("snapshot_date"), "customer_id", "left")
+    usual = of_account.join(usual, "customer_id").drop("customer_id")
+    asking = authorizing.filter(F.col("auth_status") == "requesting")
+    by_category = ["account_id", "merchant_category"]
+    rows = join_spread(asking, owner, "account_id")
+    rows = join_spread(rows, usual, by_category, "left", key_counts=asking.groupBy(*by_category).count())
     amount = F.col("amount").cast("double")
     advice = (
         F.when(F.col("risk_tier").isin("high", "restricted"), "REVIEW")
@@ -348,7 +356,7 @@ def site_health_by_day(devices: DataFrame, daily: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("live_device_count"), F.count_if(F.col("status") == "online").alias("online_count")
     )
     online = ratio(F.col("online_count") * 100, F.col("live_device_count"))
-    return join_spread(daily.select("site_id", "summary_date", "uptime_pct"), live, "site_id").select(
+    return daily.select("site_id", "summary_date", "uptime_pct").join(live, "site_id").select(
         "site_id", "summary_date", "live_device_count", "online_count",
         fixed(online, 2).alias("current_online_pct"), fixed("uptime_pct", 2).alias("uptime_pct"),
     )
@@ -410,9 +418,9 @@ def history_counts(left: DataFrame, right: DataFrame, key: str, counted: str, na
 def purchases(customers: DataFrame, orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     """Who bought what at which price: one row per order line."""
     placed = join_spread(orders.select("order_id", "customer_id"), customers.select("customer_id", "first_name", "last_name"), "customer_id")
-    lines = join_spread(items.select("order_id", "item_sequence", "product_id"), placed, "order_id")
+    lines = join_spread(items.select("order_id", "item_sequence", "product_id"), placed, "order_id", key_counts=items.groupBy("order_id").count())
     what = products.select("product_id", F.col("name").alias("product_name"), "price")
-    return join_spread(lines, what, "product_id").select(
+    return join_spread(lines, what, "product_id", key_counts=items.groupBy("product_id").count()).select(
         "order_id", "item_sequence", "first_name", "last_name", "product_name", F.col("price").cast("double").alias("price")
     )
 

@@ -157,11 +157,10 @@ def reason_text() -> Column:
     )
 
 
-def metric_health(readings: DataFrame, baseline: DataFrame) -> DataFrame:
-    """One row per device and metric seen in the readings: newest value, status and reason.
+def _tested_metrics(readings: DataFrame, baseline: DataFrame, how: str) -> DataFrame:
+    """Newest reading of any and of usable quality per device and metric, beside the baseline.
 
-    The newest usable reading is tested; where there is none, or no baseline, the newest reading
-    of any quality is shown. ``max`` of a struct combines on the map side, a window would not.
+    ``max`` of a struct combines on the map side, a window over the readings would not.
     """
     reading = F.struct("reading_timestamp", "metric_value", "unit", "quality_code")
     newest = readings.groupBy("device_id", "metric_name").agg(
@@ -169,14 +168,24 @@ def metric_health(readings: DataFrame, baseline: DataFrame) -> DataFrame:
         F.max(F.when(usable(), reading)).alias("_usable"),
         F.count(F.lit(1)).alias("recent_count"),
     )
-    rows = newest.join(baseline.select("device_id", "metric_name", *BASELINE_FIELDS), ["device_id", "metric_name"], "left")
+    rows = newest.join(baseline.select("device_id", "metric_name", *BASELINE_FIELDS), ["device_id", "metric_name"], how)
     rows = rows.withColumn("_has_usable", F.col("_usable").isNotNull())
+    return rows.withColumns(anomaly_columns(F.col("_usable.metric_value").try_cast("double")))
+
+
+def metric_health(readings: DataFrame, baseline: DataFrame) -> DataFrame:
+    """One row per device and metric seen in the readings: newest value, status and reason.
+
+    The newest usable reading is tested; where there is none, or no baseline, the newest reading
+    of any quality is shown.
+    """
+    rows = _tested_metrics(readings, baseline, "left")
     shown = F.when(F.col("baseline_hours").isNotNull() & F.col("_has_usable"), F.col("_usable")).otherwise(F.col("_any"))
-    tested = F.col("_usable.metric_value").try_cast("double")
     return rows.select(
         "device_id",
         "metric_name",
-        *[c.alias(n) for n, c in anomaly_columns(tested).items()],
+        "anomaly_status",
+        "reason_code",
         shown["metric_value"].try_cast("double").alias("metric_value"),
         shown["unit"].alias("unit"),
         shown["quality_code"].alias("quality_code"),
@@ -319,10 +328,15 @@ def fleet_health(
             "has_anomaly_alert": F.lit(False),
         })
     if readings is not None and baseline is not None:
-        rows = rows.join(_metric_summary(metric_health(readings, baseline)), "device_id", "left").join(
-            baseline.groupBy("device_id").agg(F.count(F.lit(1)).alias("_baselines")), "device_id", "left"
+        # The full join keeps baselines without readings: they make the device known, no more.
+        tested = _tested_metrics(readings, baseline, "full")
+        seen = F.col("recent_count").isNotNull()
+        per_device = tested.groupBy("device_id").agg(
+            F.count_if(seen & (F.col("anomaly_status") == "anomalous")).alias("anomaly_metric_count"),
+            F.count(F.lit(1)).alias("_known"),
         )
-        known = F.col("recent_reading_count").isNotNull() | F.col("_baselines").isNotNull()
+        rows = rows.join(per_device, "device_id", "left")
+        known = F.col("_known").isNotNull()
     else:
         rows = rows.withColumn("anomaly_metric_count", F.lit(0).cast("long"))
         known = F.lit(False)

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One whole row per key: the one with the greatest ``order`` values.
 
-    Written as an aggregate, not a window: it combines on the map side, so a key with many
-    versions ships one row per task instead of all of them. Last write wins, an upsert.
+    Last write wins, an upsert. Spark turns ``row_number() = 1`` into a group limit before and
+    after the shuffle, so a key with very many versions ships one row per task, not all of them.
     """
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(newest).select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
+    ranked = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return df.withColumn("_version", F.row_number().over(ranked)).filter(F.col("_version") == 1).drop("_version")
 
 
 def page_of(df: DataFrame, order: Sequence[Column], page: int = 1, page_size: int = 25) -> DataFrame:

@@ -58,7 +58,7 @@ def sales_fact(orders: DataFrame, items: DataFrame, customers: DataFrame, produc
         customer_value_segment(F.col("lifetime_value")).alias("customer_segment"),
         (F.col("total_orders") == 1).alias("is_first_purchase"),
     )
-    placed = join_spread(order_cols, buyer, "customer_id")
+    placed = join_spread(order_cols, buyer, "customer_id", key_counts=sold.groupBy("customer_id").count())
     lines = items.select(
         "order_id", "item_sequence", "product_id", "product_sku", "product_name", "quantity",
         F.col("unit_price").cast("double").alias("unit_price"), F.col("discount_amount").cast("double").alias("discount_amount"),
@@ -68,7 +68,8 @@ def sales_fact(orders: DataFrame, items: DataFrame, customers: DataFrame, produc
         "product_id", F.col("category").alias("product_category"), F.col("subcategory").alias("product_subcategory"),
         F.col("brand").alias("product_brand"),
     )
-    rows = join_spread(join_spread(lines, placed, "order_id"), what, "product_id")
+    rows = join_spread(lines, placed, "order_id", key_counts=items.groupBy("order_id").count())
+    rows = join_spread(rows, what, "product_id", key_counts=items.groupBy("product_id").count())
     return rows.select(
         F.sha2(F.concat_ws("/", "order_id", "item_sequence"), 256).alias("sale_id"),
         *rows.columns,
@@ -177,7 +178,8 @@ def wide_hourly(readings: DataFrame, devices: DataFrame, as_of: Moment, expected
     hourly = readings.filter(at.cast("date") < day(as_of)).groupBy("device_id", hour_of(at).alias("aggregate_timestamp")).agg(*stats)
     place = devices.select("device_id", *_have(devices, "device_type location_building location_floor"))
     hour = F.col("aggregate_timestamp")
-    return join_spread(hourly, place, "device_id").select(
+    # A device has one row per hour by now, so no key is hot.
+    return hourly.join(place, "device_id").select(
         "device_id", hour,
         F.year(hour).alias("aggregate_year"), F.month(hour).alias("aggregate_month"),
         F.dayofmonth(hour).alias("aggregate_day"), F.hour(hour).alias("aggregate_hour"),

@@ -1,36 +1,34 @@
 """Ordered folds over groups of any size.
 
 A window function handles one group in one task. Here the rows are range-partitioned by
-(group, order) instead, so that a large group spans many slices; each slice is folded on its
-own and one small row per (group, slice) carries the result of the earlier slices forward.
+(group, order) instead, so that a large group spans many slices. One small row per (group,
+slice) sums up the earlier slices; it is put in front of the slice's own rows, and an ordinary
+window over (group, slice) then yields the fold over the whole group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import shared_folder
 
-SLICE = "_slice"
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+SLICE, PLACE = "_slice", "_place"
 
 
 def slice_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: int | None = None) -> DataFrame:
-    """Rows with the number of the range partition they fall into, frozen by a checkpoint.
+    """Rows with the range partition they fall into and their place in the whole order.
 
-    Range bounds come from a sample. Reading the checkpoint makes every later use see the
-    same slices, also after an executor was lost.
+    Range bounds come from a sample, so slice and place are frozen by a checkpoint: every later
+    use sees the same ones, also after an executor was lost. The place is the identifier Spark
+    counts up within each sorted partition; its upper bits are the partition number.
     """
     shared_folder(df.sparkSession)
     by = [*[F.col(k).asc() for k in keys], *order]
     ranged = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
-    return ranged.withColumn(SLICE, F.spark_partition_id()).checkpoint()
+    placed = ranged.sortWithinPartitions(*by).withColumn(PLACE, F.monotonically_increasing_id())
+    return placed.withColumn(SLICE, F.shiftright(PLACE, 33)).checkpoint()
 
 
 def running(
@@ -54,63 +52,45 @@ def running(
     is the newest non-null value so far; ``previous`` the value of the row before (null for the
     first row); ``number`` counts rows from 1. With ``before`` the folds leave the row itself out.
 
-    ``keep_slices`` leaves the slice number on the result; a second fold over the same keys and
-    order then takes the rows as they are, without another shuffle and checkpoint.
+    ``keep_slices`` leaves slice and place on the result; a second fold over the same keys and
+    order then takes the rows as they are, without another range shuffle and checkpoint.
     """
     sums = dict(sums or {})
     if number:
         sums[number] = F.lit(1).cast("long")
     highest, lowest = dict(highest or {}), dict(lowest or {})
     last_known, previous = dict(last_known or {}), dict(previous or {})
-    keys = list(keys)
+    folds = {**sums, **highest, **lowest, **last_known, **previous}
+    keys, columns = list(keys), [c for c in df.columns if c not in (SLICE, PLACE)]
     sliced = df if SLICE in df.columns else slice_in_order(df, keys, order, slices)
+    rows = sliced.withColumns({f"_v_{n}": F.struct(c.alias("v")) if n in previous else c for n, c in folds.items()})
 
+    # What each slice contributes to the slices after it.
     group = [*keys, SLICE]
-    each = Window.partitionBy(*group).orderBy(*order)
-    so_far = each.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    local = sliced
-    for name, c in sums.items():
-        local = local.withColumn(f"_l_{name}", F.sum(c).over(so_far))
-    for name, c in highest.items():
-        local = local.withColumn(f"_l_{name}", F.max(c).over(so_far))
-    for name, c in lowest.items():
-        local = local.withColumn(f"_l_{name}", F.min(c).over(so_far))
-    for name, c in last_known.items():
-        local = local.withColumn(f"_l_{name}", F.last(c, ignorenulls=True).over(so_far))
-    for name, c in previous.items():
-        local = local.withColumn(f"_l_{name}", F.lag(F.struct(c.alias("v"))).over(each))
-
-    place = F.row_number().over(each)
-    parts: list[Column] = [F.count(F.lit(1)).alias("_rows")]
-    parts += [F.sum(c).alias(f"_c_{n}") for n, c in sums.items()]
-    parts += [F.max(c).alias(f"_c_{n}") for n, c in highest.items()]
-    parts += [F.min(c).alias(f"_c_{n}") for n, c in lowest.items()]
-    summary_input = sliced
-    if last_known or previous:
-        # The newest value of a slice needs the slice's order; a position makes it combinable.
-        summary_input = sliced.withColumn("_place", place)
-    parts += [F.max_by(c, F.when(c.isNotNull(), F.col("_place"))).alias(f"_c_{n}") for n, c in last_known.items()]
-    parts += [F.max_by(F.struct(c.alias("v")), F.col("_place")).alias(f"_c_{n}") for n, c in previous.items()]
-    per_slice = summary_input.groupBy(*group).agg(*parts)
-
-    # One row per (group, slice): at most as many rows per group as there are slices.
+    parts = [F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums]
+    parts += [F.max(f"_v_{n}").alias(f"_v_{n}") for n in highest]
+    parts += [F.min(f"_v_{n}").alias(f"_v_{n}") for n in lowest]
+    parts += [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(PLACE))).alias(f"_v_{n}") for n in last_known]
+    parts += [F.max_by(f"_v_{n}", PLACE).alias(f"_v_{n}") for n in previous]
+    per_slice = rows.groupBy(*group).agg(*parts)
+    # One row per (group, slice): a group has at most as many as there are slices.
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.sum(f"_c_{n}").over(earlier).alias(f"_b_{n}") for n in sums]
-    carried += [F.max(f"_c_{n}").over(earlier).alias(f"_b_{n}") for n in highest]
-    carried += [F.min(f"_c_{n}").over(earlier).alias(f"_b_{n}") for n in lowest]
-    carried += [F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in [*last_known, *previous]]
-    carry = per_slice.select(*group, *carried)
-
-    joined = local.join(carry, same_keys(local, carry, group), "left")
-    out = [local[c] for c in df.columns if c != SLICE]
-    if keep_slices:
-        out.append(local[SLICE])
-    out += [(F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.coalesce(F.col(f"_b_{n}"), F.lit(0))).alias(n) for n in sums]
-    out += [F.greatest(f"_l_{n}", f"_b_{n}").alias(n) for n in highest]
-    out += [F.least(f"_l_{n}", f"_b_{n}").alias(n) for n in lowest]
-    out += [F.coalesce(f"_l_{n}", f"_b_{n}").alias(n) for n in last_known]
-    out += [F.coalesce(f"_l_{n}", f"_b_{n}")["v"].alias(n) for n in previous]
-    return joined.select(*out)
+    carried = [F.sum(f"_v_{n}").over(earlier).alias(f"_v_{n}") for n in sums]
+    carried += [F.max(f"_v_{n}").over(earlier).alias(f"_v_{n}") for n in highest]
+    carried += [F.min(f"_v_{n}").over(earlier).alias(f"_v_{n}") for n in lowest]
+    carried += [F.last(f"_v_{n}", ignorenulls=True).over(earlier).alias(f"_v_{n}") for n in [*last_known, *previous]]
+    carry = per_slice.select(*group, F.lit(-1).cast("long").alias(PLACE), *carried)
+
+    each = Window.partitionBy(*group).orderBy(PLACE)
+    so_far = each.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    out = {n: F.coalesce(F.sum(f"_v_{n}").over(so_far), F.lit(0)) for n in sums}
+    out |= {n: F.max(f"_v_{n}").over(so_far) for n in highest}
+    out |= {n: F.min(f"_v_{n}").over(so_far) for n in lowest}
+    out |= {n: F.last(f"_v_{n}", ignorenulls=True).over(so_far) for n in last_known}
+    out |= {n: F.lag(f"_v_{n}").over(each)["v"] for n in previous}
+    kept = [*columns, *([SLICE, PLACE] if keep_slices else [])]
+    folded = rows.unionByName(carry, allowMissingColumns=True).select("*", *[c.alias(f"_o_{n}") for n, c in out.items()])
+    return folded.filter(F.col(PLACE) >= 0).select(*kept, *[F.col(f"_o_{n}").alias(n) for n in folds])
 
 
 def surrogate_keys(df: DataFrame, name: str, order: Sequence[Column], slices: int | None = None) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import shared_folder
 from .skew import ROWS_PER_SLICE, join_spread
 
 # Groups up to this size are ranked whole; larger ones only within a narrow band.
@@ -14,7 +15,7 @@ ACCURACY = 10_000
 MARGIN = 0.001
 
 
-def rank_sketch(value: str, fraction: float) -> list:
+def rank_sketch(value: str, fraction: float) -> list[Column]:
     """Aggregates that bound the value at the rank: group size, minimum, maximum, band edges."""
     c = F.col(value)
     edges = F.percentile_approx(c, [max(fraction - MARGIN, 0.0), min(fraction + MARGIN, 1.0)], ACCURACY)
@@ -32,26 +33,31 @@ def value_at_rank(
     value: str,
     fraction: float = 0.95,
     name: str = "p95",
+    extra: Sequence[Column] = (),
     whole_group: int = WHOLE_GROUP,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """The ``max(floor(fraction * n), 1)``-th smallest value per group.
+    """The ``max(floor(fraction * n), 1)``-th smallest value per group, and ``extra`` aggregates.
 
     A quantile sketch (mergeable, small) brackets the answer within 0.1 % of the ranks on both
     sides. Rows under the bracket are only counted, rows above it dropped, and equal values
     combined, so the final ordered count sees about 0.2 % of a large group. The bracket is wider
     than the sketch's error, hence the result is exact.
+
+    The input is read twice. The sketch has one row per group and is checkpointed between, as it
+    serves three times: for the hot groups, the brackets and the extra columns.
     """
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    sketch = rows.groupBy(*keys).agg(*rank_sketch(value, fraction))
+    shared_folder(df.sparkSession)
+    sketch = df.groupBy(*keys).agg(*rank_sketch(value, fraction), *extra).checkpoint()
     small = F.col("_n") <= whole_group
-    bracket = sketch.select(
+    bracket = sketch.filter(F.col("_n") > 0).select(
         *keys,
         F.greatest(F.floor(F.col("_n") * F.lit(str(fraction)).cast("decimal(6,4)")), F.lit(1)).alias("_rank"),
         F.when(small, F.col("_least")).otherwise(F.col("_edges")[0]).alias("_low"),
         F.when(small, F.col("_most")).otherwise(F.col("_edges")[1]).alias("_high"),
     )
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
     counted = (
         join_spread(rows, bracket, keys, "inner", rows_per_slice, key_counts=sketch, count_column="_n")
         .filter(F.col(value) <= F.col("_high"))
@@ -59,9 +65,10 @@ def value_at_rank(
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
     upto = Window.partitionBy(*keys).orderBy(F.col("_value").asc_nulls_first())
-    return (
+    found = (
         counted.withColumn("_upto", F.sum("_copies").over(upto))
         .filter(F.col("_upto") >= F.col("_rank"))
         .groupBy(*keys)
         .agg(F.min("_value").alias(name))
     )
+    return sketch.drop("_n", "_least", "_most", "_edges").join(found, keys, "left")

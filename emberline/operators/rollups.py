@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import labels
-from ..functions.numbers import fixed, half_even, mean, money, ratio
-from ..functions.times import Moment, day, monday_of, month_of, month_starts, parse_moment, previous_months
+from ..functions.numbers import fixed, half_even, mean, ratio
+from ..functions.times import Moment, day, monday_of, month_of, month_starts, previous_months
 from .ordered import running
 from .ranks import value_at_rank
-from .skew import ROWS_PER_SLICE, join_spread
-
-SUM = "decimal(28,6)"
-
 
 def _money_sum(c: Column | str) -> Column:
     return F.sum(F.col(c) if isinstance(c, str) else c).cast("decimal(28,2)")
@@ -36,9 +32,7 @@ def hourly_rollup(readings: DataFrame, fraction: float = 0.95, exact_rank: bool
         fixed(F.stddev_pop("_v")).cast("decimal(12,4)").alias("stddev_value"),
     ]
     if exact_rank:
-        basic = rows.groupBy(*keys).agg(*stats)
-        p95 = value_at_rank(rows, keys, "metric_value", fraction, "p95_value")
-        out = basic.join(p95, keys, "left")
+        out = value_at_rank(rows, keys, "metric_value", fraction, "p95_value", stats)
     else:
         out = rows.groupBy(*keys).agg(*stats, F.percentile_approx("metric_value", fraction, 10_000).alias("p95_value"))
     return out.select(
@@ -104,7 +98,8 @@ def weekly_products(orders: DataFrame, items: DataFrame, products: DataFrame, sl
         )
     )
     sold = F.nullif(F.col("units_sold"), F.lit(0))
-    rows = join_spread(weekly, products.select("product_id", F.col("category").alias("product_category")), "product_id").select(
+    # A product has one row per week by now, so no key is hot.
+    rows = weekly.join(products.select("product_id", F.col("category").alias("product_category")), "product_id").select(
         "product_id", "product_category", "week_start_date",
         F.year("week_start_date").alias("week_year"),
         F.weekofyear("week_start_date").alias("week_of_year"),

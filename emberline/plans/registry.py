@@ -228,8 +228,7 @@ def site_health_by_day(t):
 
 @query
 def cart_personalization(t):
-    ltv = rollups.monthly_ltv(t.commerce_customers(), t.orders_archive(), BUSINESS_TODAY)
-    return federated.cart_personalization(t.active_carts(), t.commerce_customers(), ltv, t.orders_archive(), t.order_items())
+    return federated.cart_personalization(t.active_carts(), t.commerce_customers(), t.customer_ltv(), t.orders_archive(), t.order_items())
 
 
 @query
@@ -253,14 +252,9 @@ def order_risk_full(t):
     return federated.order_risk(t.orders_inflight(), t.orders_archive(), top=None)
 
 
-def _sessions(t):
-    return signals.sessions(t.clicks(), "INTERVAL 2 DAYS")
-
-
 @query
 def session_potential(t):
-    retention = rollups.cohort_retention(t.commerce_customers(), t.orders_archive(), BUSINESS_TODAY)
-    return federated.session_potential(_sessions(t), t.commerce_customers(), retention, min_retention=0.02)
+    return federated.session_potential(t.live_sessions(), t.commerce_customers(), t.cohort_retention(), min_retention=0.02)
 
 
 @query
@@ -279,7 +273,7 @@ def fraud_triage(t):
 @query
 def portfolio_exposure(t):
     return federated.portfolio_exposure(
-        t.accounts(), t.portfolio_metrics(), signals.daily_bars(t.ticks(), ["order_key", "item_sequence"]), BUSINESS_TODAY, "Brand#1"
+        t.accounts(), t.portfolio_metrics(), t.market_data(), BUSINESS_TODAY, "Brand#1"
     )
 
 
@@ -318,8 +312,7 @@ def purchase_lines(t):
 
 @query
 def orders_board(t):
-    daily = rollups.daily_sales(t.orders_archive(), t.order_items())
-    return federated.orders_board(t.orders_inflight(), daily, "2001-08-01")
+    return federated.orders_board(t.orders_inflight(), t.daily_sales(), "2001-08-01")
 
 
 @query
@@ -556,7 +549,7 @@ def site_downtime(t):
 
 @query
 def click_sessions(t):
-    return _sessions(t)
+    return signals.sessions(t.clicks(), "INTERVAL 2 DAYS")
 
 
 @query
@@ -576,14 +569,12 @@ def demand_index(t):
 
 @query
 def market_regimes(t):
-    bars = signals.daily_bars(t.ticks(), ["order_key", "item_sequence"])
-    return signals.market_regimes(bars, ["1997-01-01", "1999-01-01", "2000-07-01"])
+    return signals.market_regimes(t.market_data(), ["1997-01-01", "1999-01-01", "2000-07-01"])
 
 
 @query
 def account_beta(t):
-    bars = signals.daily_bars(t.ticks(), ["order_key", "item_sequence"])
-    return signals.account_beta(t.portfolio_metrics(), bars)
+    return signals.account_beta(t.portfolio_metrics(), t.market_data())
 
 
 @query

@@ -1,8 +1,9 @@
 """The domain tables, derived from the given TPC-H-like tables.
 
 Each method returns one hot or cold table of the data model as a DataFrame over the Parquet
-files of one folder. Two cold tables that real deployments keep on storage (hourly statistics
-and clean order lines) are written once per application to the shared folder and read back.
+files of one folder. The cold tables that rollup jobs keep on storage (hourly statistics, daily
+summaries, clean order lines, external feeds) are written once per application to the shared
+folder by those same jobs and read back.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.numbers import fixed
 from ..functions.times import day, hour_of, instant
 from ..operators.keyed import newest_per_key
-from ..operators.rollups import hourly_rollup
+from ..operators.rollups import cohort_retention, daily_sales, hourly_rollup, monthly_ltv
+from ..operators.signals import daily_bars, sessions
 from ..session import job_folder
 
 IOT_NOW = "2024-01-31 00:00:00"
@@ -145,6 +147,9 @@ class DomainTables:
         return self.written("hourly_aggregates", build, ("hour_year", "hour_month"))
 
     def weather_by_location(self) -> DataFrame:
+        return self.written("weather_by_location", self._build_weather_by_location)
+
+    def _build_weather_by_location(self) -> DataFrame:
         hour = hour_of("ts")
         observed = (
             self.given("events").join(self._sites(), "user_id")
@@ -161,6 +166,9 @@ class DomainTables:
         )
 
     def daily_site_summary(self) -> DataFrame:
+        return self.written("daily_site_summary", self._build_daily_site_summary)
+
+    def _build_daily_site_summary(self) -> DataFrame:
         error = F.col("event_type") == "error"
         battery = (5 + F.col("user_id") % 95)
         return (
@@ -329,6 +337,22 @@ class DomainTables:
             _text("user_id").alias("customer_id"), F.col("ts").alias("event_time"), "event_type", "event_id"
         )
 
+    def live_sessions(self) -> DataFrame:
+        return self.written("live_sessions", lambda: sessions(self.clicks(), "INTERVAL 2 DAYS"))
+
+    def customer_ltv(self) -> DataFrame:
+        return self.written("customer_ltv", lambda: monthly_ltv(self.commerce_customers(), self.orders_archive(), BUSINESS_TODAY))
+
+    def cohort_retention(self) -> DataFrame:
+        return self.written(
+            "cohort_retention", lambda: cohort_retention(self.commerce_customers(), self.orders_archive(), BUSINESS_TODAY)
+        )
+
+    def daily_sales(self) -> DataFrame:
+        return self.written(
+            "daily_sales", lambda: daily_sales(self.orders_archive(), self.order_items()), ("summary_year", "summary_month")
+        )
+
     # --- financial ------------------------------------------------------------------------
 
     def financial_customers(self) -> DataFrame:
@@ -457,6 +481,9 @@ class DomainTables:
         )
 
     def portfolio_metrics(self) -> DataFrame:
+        return self.written("portfolio_metrics", self._build_portfolio_metrics)
+
+    def _build_portfolio_metrics(self) -> DataFrame:
         k = F.col("o_custkey")
         daily = self.given("orders").groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("metric_date")).agg(
             F.sum(_cash(F.col("o_totalprice"))).alias("portfolio_value"), F.min("o_orderkey").alias("_first")
@@ -489,3 +516,6 @@ class DomainTables:
             F.concat(F.col("order_id"), F.lit("/"), F.col("item_sequence")).alias("transaction_id"),
             signed.cast("long").alias("quantity_change"),
         )
+
+    def market_data(self) -> DataFrame:
+        return self.written("market_data", lambda: daily_bars(self.ticks(), ["order_key", "item_sequence"]))
