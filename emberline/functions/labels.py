@@ -39,7 +39,10 @@ def triage_rank(severity: Column | str) -> Column:
 
 
 def severity_name(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), rank)
+    name = F.lit(None).cast("string")
+    for position, label in reversed(list(enumerate(SEVERITIES, start=1))):
+        name = F.when(rank == position, label).otherwise(name)
+    return name
 
 
 def lookup(column: Column | str, table: dict[str, str]) -> Column:

@@ -233,14 +233,17 @@ def authorization_context(
         mean("amount").alias("_avg"), F.max("amount").cast("double").alias("_max"), F.count(F.lit(1)).alias("baseline_n")
     )
     latest = newest_per_key(risk.select("customer_id", "risk_score", "risk_tier", "snapshot_date"), ["customer_id"], ["snapshot_date"])
-    # Both sides of history move to the account first, so the live rows meet them on their own keys.
-    of_account = accounts.select("account_id", "customer_id")
-    owner = of_account.join(latest.drop("snapshot_date"), "customer_id", "left")
-    usual = of_account.join(usual, "customer_id").drop("customer_id")
+    # History moves to the (account, category) pairs that are asking, so that the live rows meet it
+    # on their own columns and no pair is formed that nobody asked for.
     asking = authorizing.filter(F.col("auth_status") == "requesting")
-    by_category = ["account_id", "merchant_category"]
+    asked = asking.groupBy("account_id", "merchant_category").count()
+    of_account = accounts.select("account_id", "customer_id")
+    context = join_spread(
+        asked.drop("count").join(of_account, "account_id"), usual, ["customer_id", "merchant_category"], "left"
+    ).drop("customer_id")
+    owner = join_spread(of_account, latest.drop("snapshot_date"), "customer_id", "left")
     rows = join_spread(asking, owner, "account_id")
-    rows = join_spread(rows, usual, by_category, "left", key_counts=asking.groupBy(*by_category).count())
+    rows = join_spread(rows, context, ["account_id", "merchant_category"], "left", key_counts=asked)
     amount = F.col("amount").cast("double")
     advice = (
         F.when(F.col("risk_tier").isin("high", "restricted"), "REVIEW")
@@ -325,9 +328,9 @@ def compliance_watchlist(
         F.count(F.lit(1)).alias("sar_count_12mo"), F.max("filed_at").alias("last_filing_at"), reason.alias("last_trigger")
     )
     who = customers.select("customer_id", F.concat("first_name", F.lit(" "), "last_name").alias("customer_name"), "risk_tier")
-    owner = (
-        accounts.select(F.col("account_id").alias("source_account_id"), "customer_id")
-        .join(who, "customer_id").join(prior, "customer_id", "left")
+    owner = join_spread(
+        accounts.select(F.col("account_id").alias("source_account_id"), "customer_id"),
+        who.join(prior, "customer_id", "left"), "customer_id",
     )
     large = transfers.filter((F.col("amount") >= min_amount) & F.col("status").isin("pending", "processing", "flagged"))
     out = join_spread(large, owner, "source_account_id").select(

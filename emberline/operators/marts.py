@@ -194,12 +194,12 @@ def wide_hourly(readings: DataFrame, devices: DataFrame, as_of: Moment, expected
 def transaction_fact(transactions: DataFrame, accounts: DataFrame, customers: DataFrame, as_of: Moment) -> DataFrame:
     """Transactions from before today with account, customer, segments and risk flags."""
     old = transactions.filter(F.col("txn_date") < day(as_of))
-    owner = accounts.select("account_id", "customer_id", "account_type", *_have(accounts, "account_subtype")).join(
-        customers.select(
-            "customer_id", *_have(customers, "customer_type"), F.col("risk_tier").alias("customer_risk_rating"),
-            balance_segment(F.col("total_balance")).alias("customer_segment"),
-        ),
-        "customer_id",
+    holder = customers.select(
+        "customer_id", *_have(customers, "customer_type"), F.col("risk_tier").alias("customer_risk_rating"),
+        balance_segment(F.col("total_balance")).alias("customer_segment"),
+    )
+    owner = join_spread(
+        accounts.select("account_id", "customer_id", "account_type", *_have(accounts, "account_subtype")), holder, "customer_id"
     )
     rows = join_spread(old.drop("customer_id"), owner, "account_id")
     date, at, score, amount = F.col("txn_date"), F.col("txn_timestamp"), F.col("fraud_score"), F.col("amount").cast("double")

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import shared_folder
 from .skew import ROWS_PER_SLICE, join_spread
 
-# Groups up to this size are ranked whole; larger ones only within a narrow band.
+# Groups up to this size are ranked whole; larger ones only within a narrow band. Below the
+# smallest allowed size the band would be no wider than the rounding of a rank.
 WHOLE_GROUP = 10_000
+SMALLEST_WHOLE_GROUP = 4_000
 ACCURACY = 10_000
 MARGIN = 0.001
 
@@ -42,11 +44,13 @@ def value_at_rank(
     A quantile sketch (mergeable, small) brackets the answer within 0.1 % of the ranks on both
     sides. Rows under the bracket are only counted, rows above it dropped, and equal values
     combined, so the final ordered count sees about 0.2 % of a large group. The bracket is wider
-    than the sketch's error, hence the result is exact.
+    than the sketch's error, hence the result is exact; should it ever miss, the job fails.
 
     The input is read twice. The sketch has one row per group and is checkpointed between, as it
     serves three times: for the hot groups, the brackets and the extra columns.
     """
+    if whole_group < SMALLEST_WHOLE_GROUP:
+        raise ValueError(f"whole_group must be at least {SMALLEST_WHOLE_GROUP}")
     keys = list(keys)
     shared_folder(df.sparkSession)
     sketch = df.groupBy(*keys).agg(*rank_sketch(value, fraction), *extra).checkpoint()
@@ -65,10 +69,11 @@ def value_at_rank(
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
     upto = Window.partitionBy(*keys).orderBy(F.col("_value").asc_nulls_first())
-    found = (
-        counted.withColumn("_upto", F.sum("_copies").over(upto))
-        .filter(F.col("_upto") >= F.col("_rank"))
-        .groupBy(*keys)
-        .agg(F.min("_value").alias(name))
-    )
+    # The first row that reaches the rank holds the answer. It is the counted-only row, or there is
+    # none, exactly when the bracket missed.
+    reached = F.min(F.when(F.col("_upto") >= F.col("_rank"), F.struct("_upto", "_value")))
+    found = counted.withColumn("_upto", F.sum("_copies").over(upto)).groupBy(*keys).agg(reached.alias("_first"))
+    answer = F.col("_first._value")
+    missed = F.raise_error(F.lit("the quantile sketch missed the rank")).cast(df.schema[value].dataType)
+    found = found.select(*keys, F.when(answer.isNull(), missed).otherwise(answer).alias(name))
     return sketch.drop("_n", "_least", "_most", "_edges").join(found, keys, "left")

@@ -9,6 +9,7 @@ from ..functions.numbers import fixed, half_even, mean, ratio
 from ..functions.times import Moment, day, monday_of, month_of, month_starts, previous_months
 from .ordered import running
 from .ranks import value_at_rank
+from .skew import join_spread
 
 def _money_sum(c: Column | str) -> Column:
     return F.sum(F.col(c) if isinstance(c, str) else c).cast("decimal(28,2)")
@@ -89,7 +90,10 @@ def weekly_products(orders: DataFrame, items: DataFrame, products: DataFrame, sl
         _money_sum(F.col("unit_price") * F.col("quantity")).alias("_gross"),
     )
     weekly = (
-        per_order.join(orders.select("order_id", "order_date", "order_status"), "order_id")
+        join_spread(
+            per_order, orders.select("order_id", "order_date", "order_status"), "order_id",
+            key_counts=items.groupBy("order_id").count(),
+        )
         .groupBy("product_id", monday_of("order_date").alias("week_start_date"))
         .agg(
             F.sum("_units").alias("units_sold"),

@@ -103,7 +103,9 @@ def before_failures(
 def failure_drift(failures: DataFrame, readings: DataFrame, slices: int | None = None) -> DataFrame:
     """Means before each failure against the device's overall mean."""
     overall = readings.groupBy("device_id").agg(mean("metric_value").alias("device_mean"))
-    rows = before_failures(failures, readings, slices=slices).join(overall, "device_id", "left")
+    rows = join_spread(
+        before_failures(failures, readings, slices=slices), overall, "device_id", "left", key_counts=failures.groupBy("device_id").count()
+    )
     return rows.withColumn("drift_12h", ratio(F.col("mean_12h") - F.col("device_mean"), F.col("device_mean")))
 
 

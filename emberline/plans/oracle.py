@@ -508,9 +508,9 @@ _SQL["spend_monitor"] = f"""
 HOURLY_COLS = f"device_id, metric_name, hour_start, hour_year, hour_month, sample_count, {d('min_value')} AS min_value, {d('max_value')} AS max_value, avg_value, {d('p95_value')} AS p95_value, stddev_value"
 _SQL["hourly_rollup"] = f"SELECT {HOURLY_COLS} FROM ({hourly('in_dense')})"
 _SQL["hourly_rollup_by_metric"] = f"SELECT {HOURLY_COLS} FROM ({hourly('in_readings')})"
-_SQL["exact_p95_by_metric"] = """
-    SELECT metric_name, CAST(metric_value AS DOUBLE) AS p95 FROM (SELECT metric_name, metric_value, row_number() OVER (PARTITION BY metric_name ORDER BY metric_value) AS place,
-        count(*) OVER (PARTITION BY metric_name) AS n FROM in_readings) WHERE place = greatest(n * 95 // 100, 1)"""
+_SQL["exact_p95_by_quality"] = """
+    SELECT quality_code, CAST(metric_value AS DOUBLE) AS p95 FROM (SELECT quality_code, metric_value, row_number() OVER (PARTITION BY quality_code ORDER BY metric_value) AS place,
+        count(*) OVER (PARTITION BY quality_code) AS n FROM in_readings) WHERE place = greatest(n * 95 // 100, 1)"""
 _SQL["daily_sales"] = f"""
     SELECT order_date AS summary_date, {i('year(order_date)')} AS summary_year, {i('month(order_date)')} AS summary_month, product_category, shipping_country, shipping_state,
            count(DISTINCT order_id) AS order_count, {i('sum(quantity)')} AS unit_count, {d('sum(unit_price * quantity)')} AS gross_revenue,

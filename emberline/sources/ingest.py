@@ -40,6 +40,9 @@ def _parsed(text: Column, kind: T.DataType) -> Column:
     return F.trim(text).try_cast(kind)
 
 
+CORRUPT = "_corrupt_record"
+
+
 def typed_rows(raw: DataFrame, schema: T.StructType) -> Loaded:
     """Convert text columns to the declared types; a row with an unreadable cell is a reject.
 
@@ -52,8 +55,10 @@ def typed_rows(raw: DataFrame, schema: T.StructType) -> Loaded:
         value = _parsed(text, field.dataType)
         typed.append(value.alias(field.name))
         faults.append(F.when(text.isNotNull() & value.isNull(), F.lit(field.name)))
+    if CORRUPT in raw.columns:
+        faults.append(F.when(F.col(CORRUPT).isNotNull(), F.lit(CORRUPT)))
     checked = raw.withColumn("_faults", F.array_compact(F.array(*faults)))
-    extra = [c for c in raw.columns if c not in schema.fieldNames()]
+    extra = [c for c in raw.columns if c not in schema.fieldNames() and c != CORRUPT]
     good = checked.filter(F.size("_faults") == 0).select(*typed, *extra)
     rejects = checked.filter(F.size("_faults") > 0).withColumnRenamed("_faults", "faulty_columns")
     return Loaded(good, rejects)
@@ -62,25 +67,37 @@ def typed_rows(raw: DataFrame, schema: T.StructType) -> Loaded:
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, with_table: bool = False) -> Loaded:
     """CSV files with a header, typed by ``schema``. Several batch files form one input.
 
-    The scan reads text by column name and the types are applied in the plan, so a bad cell
-    costs its row, not the file. ``with_table`` adds the table name the file name stands for.
+    Columns are found by header name; further columns are ignored, missing ones are an error,
+    and all files must have the same header. The scan reads text and the types are applied in the
+    plan, so a bad cell costs its row, not the file; a row with too few or too many cells is a
+    reject as well. ``with_table`` adds the table name the file name stands for.
     """
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.schema(as_text).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(paths)
-    if with_table:
-        stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.csv)?(/part-[^/]*)?$", 1)
-        raw = raw.select("*", table_of_batch(stem).alias("table_name"))
-    return typed_rows(raw, schema)
+    header = spark.read.option("header", True).option("escape", '"').csv(paths).columns
+    absent = sorted(set(schema.fieldNames()) - set(header))
+    if absent:
+        raise ValueError(f"the files lack {', '.join(absent)}")
+    as_text = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
+    # Without pruning the parser sees every cell, so that a row of the wrong length is noticed
+    # whatever columns are read later.
+    reader = spark.read.schema(as_text).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+    reader = reader.option("escape", '"')
+    raw = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(paths)
+    columns = [*schema.fieldNames(), CORRUPT]
+    if not with_table:
+        return typed_rows(raw.select(*columns), schema)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.csv)?(/part-[^/]*)?$", 1)
+    return typed_rows(raw.select(*columns, table_of_batch(stem).alias("table_name")), schema)
 
 
 def read_csv_guessed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """CSV files whose types Spark works out from the cells. Prefer ``read_csv``."""
-    return spark.read.option("header", True).option("inferSchema", True).csv(paths)
+    return spark.read.option("header", True).option("escape", '"').option("inferSchema", True).csv(paths)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header; quotes inside a cell are doubled, as spreadsheet tools and ``read_csv`` expect."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
