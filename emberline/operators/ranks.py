@@ -3,30 +3,70 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import shared_folder
 from .skew import ROWS_PER_SLICE, join_spread
 
-# Groups up to this size are ranked whole; larger ones only within a narrow band. Below the
-# smallest allowed size the band would be no wider than the rounding of a rank.
+# Groups up to this size are ranked by an ordinary window; larger ones only within a narrow band.
+# Below the smallest allowed size the band would be no wider than the rounding of a rank.
 WHOLE_GROUP = 10_000
 SMALLEST_WHOLE_GROUP = 4_000
 ACCURACY = 10_000
 MARGIN = 0.001
 
 
-def rank_sketch(value: str, fraction: float) -> list[Column]:
-    """Aggregates that bound the value at the rank: group size, minimum, maximum, band edges."""
+def _rank(n: Column, fraction: float) -> Column:
+    return F.greatest(F.floor(n * F.lit(str(fraction)).cast("decimal(6,4)")), F.lit(1))
+
+
+def _in_whole_groups(df: DataFrame, keys: Sequence[str], value: str, fraction: float, name: str, extra: Sequence[Column]) -> DataFrame:
+    """Groups of bounded size: one shuffle by group, and all results from it."""
+    group = Window.partitionBy(*keys)
+    numbered = df.withColumns({
+        "_place": F.row_number().over(group.orderBy(F.col(value).asc_nulls_last())),
+        "_n": F.count(value).over(group),
+    })
+    answer = F.min(F.when(F.col("_place") >= _rank(F.col("_n"), fraction), F.col(value)))
+    return numbered.groupBy(*keys).agg(*extra, answer.alias(name))
+
+
+def _in_large_groups(
+    df: DataFrame, keys: Sequence[str], value: str, fraction: float, name: str, extra: Sequence[Column],
+    large: DataFrame, rows_per_slice: int,
+) -> DataFrame:
+    """Groups without a bound: a quantile sketch brackets the answer, a count settles it.
+
+    The bracket spans 0.1 % of the ranks on both sides. Rows under it are only counted, rows above
+    it dropped, and equal values combined, so the final ordered count sees about 0.2 % of a group.
+    The bracket is wider than the sketch's error, hence the result is exact; should it ever miss,
+    the job fails. The sketch, one row per large group, is checkpointed between the two passes.
+    """
     c = F.col(value)
     edges = F.percentile_approx(c, [max(fraction - MARGIN, 0.0), min(fraction + MARGIN, 1.0)], ACCURACY)
-    return [
-        F.count(c).alias("_n"),
-        F.min(c).alias("_least"),
-        F.max(c).alias("_most"),
-        edges.alias("_edges"),
-    ]
+    sketch = df.groupBy(*keys).agg(F.count(c).alias("_n"), edges.alias("_edges"), *extra).checkpoint()
+    bracket = sketch.select(
+        *keys, _rank(F.col("_n"), fraction).alias("_rank"), F.col("_edges")[0].alias("_low"), F.col("_edges")[1].alias("_high")
+    )
+    counted = (
+        join_spread(df.select(*keys, value), bracket, keys, "inner", rows_per_slice, large, "_n", null_safe=True)
+        .filter(c <= F.col("_high"))
+        .groupBy(*keys, "_rank", F.when(c >= F.col("_low"), c).alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_copies"))
+    )
+    upto = Window.partitionBy(*keys).orderBy(F.col("_value").asc_nulls_first())
+    # The first row that reaches the rank holds the answer. It is the counted-only row, or there is
+    # none, exactly when the bracket missed.
+    reached = F.min(F.when(F.col("_upto") >= F.col("_rank"), F.struct("_upto", "_value")))
+    found = counted.withColumn("_upto", F.sum("_copies").over(upto)).groupBy(*keys).agg(reached.alias("_first"))
+    answer = F.col("_first._value")
+    missed = F.raise_error(F.lit("the quantile sketch missed the rank")).cast(df.schema[value].dataType)
+    found = found.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.when(answer.isNull(), missed).otherwise(answer).alias(name))
+    match = reduce(and_, [sketch[k].eqNullSafe(found[f"_r_{k}"]) for k in keys])
+    return sketch.join(found, match, "left").drop("_n", "_edges", *[f"_r_{k}" for k in keys])
 
 
 def value_at_rank(
@@ -41,39 +81,21 @@ def value_at_rank(
 ) -> DataFrame:
     """The ``max(floor(fraction * n), 1)``-th smallest value per group, and ``extra`` aggregates.
 
-    A quantile sketch (mergeable, small) brackets the answer within 0.1 % of the ranks on both
-    sides. Rows under the bracket are only counted, rows above it dropped, and equal values
-    combined, so the final ordered count sees about 0.2 % of a large group. The bracket is wider
-    than the sketch's error, hence the result is exact; should it ever miss, the job fails.
-
-    The input is read twice. The sketch has one row per group and is checkpointed between, as it
-    serves three times: for the hot groups, the brackets and the extra columns.
+    A first pass counts the groups, combining on the map side. Where all are small, as samples of
+    one sensor and hour are, a single shuffle by group gives everything. Larger groups leave that
+    path and are ranked without ever being gathered in one task.
     """
     if whole_group < SMALLEST_WHOLE_GROUP:
         raise ValueError(f"whole_group must be at least {SMALLEST_WHOLE_GROUP}")
     keys = list(keys)
     shared_folder(df.sparkSession)
-    sketch = df.groupBy(*keys).agg(*rank_sketch(value, fraction), *extra).checkpoint()
-    small = F.col("_n") <= whole_group
-    bracket = sketch.filter(F.col("_n") > 0).select(
-        *keys,
-        F.greatest(F.floor(F.col("_n") * F.lit(str(fraction)).cast("decimal(6,4)")), F.lit(1)).alias("_rank"),
-        F.when(small, F.col("_least")).otherwise(F.col("_edges")[0]).alias("_low"),
-        F.when(small, F.col("_most")).otherwise(F.col("_edges")[1]).alias("_high"),
-    )
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    counted = (
-        join_spread(rows, bracket, keys, "inner", rows_per_slice, key_counts=sketch, count_column="_n")
-        .filter(F.col(value) <= F.col("_high"))
-        .groupBy(*keys, "_rank", F.when(F.col(value) >= F.col("_low"), F.col(value)).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_copies"))
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > whole_group).checkpoint()
+    if large.isEmpty():
+        return _in_whole_groups(df, keys, value, fraction, name, extra)
+    of_large = [large.select(*keys), keys]
+    split = dict(rows_per_slice=rows_per_slice, key_counts=large, count_column="_n", null_safe=True)
+    small_rows = join_spread(df, *of_large, "left_anti", **split)
+    large_rows = join_spread(df, *of_large, "left_semi", **split)
+    return _in_whole_groups(small_rows, keys, value, fraction, name, extra).unionByName(
+        _in_large_groups(large_rows, keys, value, fraction, name, extra, large, rows_per_slice)
     )
-    upto = Window.partitionBy(*keys).orderBy(F.col("_value").asc_nulls_first())
-    # The first row that reaches the rank holds the answer. It is the counted-only row, or there is
-    # none, exactly when the bracket missed.
-    reached = F.min(F.when(F.col("_upto") >= F.col("_rank"), F.struct("_upto", "_value")))
-    found = counted.withColumn("_upto", F.sum("_copies").over(upto)).groupBy(*keys).agg(reached.alias("_first"))
-    answer = F.col("_first._value")
-    missed = F.raise_error(F.lit("the quantile sketch missed the rank")).cast(df.schema[value].dataType)
-    found = found.select(*keys, F.when(answer.isNull(), missed).otherwise(answer).alias(name))
-    return sketch.drop("_n", "_least", "_most", "_edges").join(found, keys, "left")

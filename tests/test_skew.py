@@ -90,11 +90,18 @@ def test_surrogate_keys_have_no_gaps(spark):
     assert all(x.n == x.t + 1 for x in got.collect())
 
 
+def test_spread_join_null_safe(spark):
+    f, d = facts(spark).drop("j"), dims(spark).drop("j")
+    plain = f.join(d.withColumnRenamed("k", "x"), F.col("k").eqNullSafe(F.col("x")), "left").drop("x")
+    assert rows_of(join_spread(f, d, "k", "left", rows_per_slice=10, null_safe=True)) == rows_of(plain)
+    assert join_spread(f, d, "k", "left_anti", rows_per_slice=10, null_safe=True).filter("k IS NULL").count() == 0
+
+
 @pytest.mark.parametrize("whole_group, rows_per_slice", [(10_000, 2_000_000), (4_000, 30)])
 def test_value_at_rank(spark, whole_group, rows_per_slice):
     rng = random.Random(3)
     data = [("hot", rng.choice([rng.random(), 0.5])) for _ in range(6000)] + [(f"g{i}", float(j)) for i in range(1, 45) for j in range(i)]
-    data += [("same", 1.0)] * 300 + [("hot", None), ("none", None)]
+    data += [("same", 1.0)] * 300 + [("hot", None), ("none", None)] + [(None, float(i % 777)) for i in range(5000)]
     rng.shuffle(data)
     df = spark.createDataFrame(data, "k string, v double")
     got = {x.k: x.p95 for x in ranks.value_at_rank(df, ["k"], "v", whole_group=whole_group, rows_per_slice=rows_per_slice).collect()}
