@@ -701,7 +701,7 @@ def table_profile(t):
 
 
 def _event_stream(t: DomainTables) -> DataFrame:
-    return jobs.event_stream(t.spark, t.folder, t.given("events").schema, "events.parquet")
+    return jobs.event_stream(t.spark, f"{t.folder}/events.parquet", t.given("events").schema)
 
 
 def _reading_stream(t: DomainTables) -> DataFrame:

@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.numbers import fixed
 from ..functions.times import day, hour_of, instant
@@ -25,6 +26,7 @@ IOT_NOW = "2024-01-31 00:00:00"
 BUSINESS_TODAY = "2001-08-02"
 
 _written: dict[tuple[str, str, str], str] = {}
+_schemas: dict[tuple[str, str], StructType] = {}
 
 
 def _text(c: str) -> Column:
@@ -47,11 +49,18 @@ class DomainTables:
         self.spark, self.folder = spark, folder
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
+        return self._read(os.path.join(self.folder, f"{name}.parquet"))
+
+    def _read(self, path: str) -> DataFrame:
+        """A Parquet table; its schema is read from the files once, not at every use."""
+        key = (self.spark.sparkContext.applicationId, path)
+        if key not in _schemas:
+            _schemas[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[key]).parquet(path)
 
     def written(self, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
         """Build a table once per application, keep it in the shared folder, read it from there."""
-        return self.spark.read.parquet(
+        return self._read(
             self.written_once(name, lambda path: build().write.mode("overwrite").partitionBy(*partition_by).parquet(path))
         )
 

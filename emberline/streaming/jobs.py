@@ -134,6 +134,10 @@ def upsert_to_table(stream: DataFrame, name: str, keys: Sequence[str], order: Se
     return spark.read.schema(schema).parquet(f"{base}/version={max(done)}")
 
 
-def event_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet") -> DataFrame:
-    """A stream over the Parquet files of a folder whose names match."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream over a Parquet table, be it one file or a folder of part files.
+
+    A plain path must be a folder, a pattern may be either; the last letter in brackets makes a
+    pattern that matches this path only.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
