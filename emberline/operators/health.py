@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import timedelta
 from typing import NamedTuple
+from uuid import UUID
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -351,6 +352,16 @@ def fleet_health(
     )
 
 
+def device_by_id(devices: DataFrame, device_id: str, check_form: bool = True) -> DataFrame:
+    """The device with the id, or no row. Ids are UUIDs unless ``check_form`` is off."""
+    if check_form:
+        try:
+            device_id = str(UUID(device_id))
+        except ValueError:
+            raise ValueError("device_id must be a UUID") from None
+    return devices.filter(F.col("device_id") == device_id)
+
+
 def matching_devices(devices: DataFrame, site_id: str | None = None, status: str | None = None) -> DataFrame:
     _one_of("status", status, labels.DEVICE_STATUSES)
     if site_id is not None:

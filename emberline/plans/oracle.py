@@ -397,6 +397,9 @@ _SQL["site_health"] = f"""
 _SQL["site_health_by_day"] = f"""
     SELECT h.site_id, h.summary_date, n AS live_device_count, up AS online_count, {r('100.0::DOUBLE * up / n', 2)} AS current_online_pct, {r('h.uptime_pct', 2)} AS uptime_pct
     FROM in_site_days h JOIN (SELECT site_id, count(*) AS n, count(*) FILTER (status = 'online') AS up FROM in_devices GROUP BY 1) l USING (site_id)"""
+_SQL["site_status_sql"] = """
+    SELECT site_id, status, devices, poor_days FROM (SELECT site_id, status, count(*) AS devices FROM in_devices GROUP BY 1, 2)
+    JOIN (SELECT site_id, count(*) FILTER (uptime_pct < 75) AS poor_days FROM in_site_days WHERE summary_date >= DATE '2024-01-10' GROUP BY 1) USING (site_id)"""
 _SQL["cart_personalization"] = f"""
     SELECT c.customer_id, c.n AS items_in_cart, {d('c.v')} AS cart_value, {d('l.ltv')} AS historical_ltv, l.loyalty_tier, l.cumulative_orders, t.product_category AS top_preferred_category
     FROM (SELECT customer_id, count(*) AS n, sum(quantity * unit_price) AS v FROM in_items JOIN in_inflight USING (order_id)
@@ -786,6 +789,9 @@ _SQL["conformed_archive"] = f"""
 _SQL["tiered_readings"] = f"""
     SELECT CASE WHEN reading_timestamp < {NOW} - INTERVAL 24 HOUR THEN 'cold' ELSE 'hot' END AS tier, device_id, count(*) AS readings,
            min(reading_timestamp) AS first, max(reading_timestamp) AS last FROM in_readings GROUP BY 1, 2"""
+_SQL["archived_readings"] = f"""
+    SELECT device_id, reading_timestamp, metric_name, {d('metric_value')} AS metric_value,
+           CASE WHEN reading_timestamp < {NOW} - INTERVAL 24 HOUR THEN 'cold' ELSE 'hot' END AS tier FROM in_readings"""
 _SQL["upserted_lines"] = f"""
     SELECT l_orderkey, l_partkey, l_suppkey, {i('l_linenumber')} AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
            CAST(l_shipdate AS TIMESTAMP) AS l_shipdate FROM in_lines"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -10,7 +11,7 @@ from ..functions import labels
 from ..functions.numbers import fixed
 from ..functions.times import day, instant, iso_weekday, monday_of, month_of
 from ..operators import federated, health, keyed, marts, ordered, ranks, rollups, signals
-from ..sources import ingest
+from ..sources import catalog, ingest
 from ..sources.views import BUSINESS_TODAY, IOT_NOW, DomainTables
 from ..streaming import jobs
 
@@ -221,6 +222,21 @@ def site_health(t):
     return federated.site_health(t.device_state(), t.daily_site_summary(), IOT_NOW)
 
 
+@query
+def site_status_sql(t):
+    """Live status against history in SQL over the named views, with the dates as parameters."""
+    catalog.register_domain(t, "iot")
+    return t.spark.sql(
+        """
+        WITH live AS (SELECT site_id, status, count(*) AS devices FROM hot_iot_device_state GROUP BY site_id, status),
+             history AS (SELECT site_id, count_if(uptime_pct < :low) AS poor_days FROM cold_iot_daily_site_summary
+                         WHERE summary_date >= :since GROUP BY site_id)
+        SELECT site_id, status, devices, poor_days FROM live JOIN history USING (site_id)
+        """,
+        args={"low": 75.0, "since": date(2024, 1, 10)},
+    )
+
+
 @query
 def site_health_by_day(t):
     return federated.site_health_by_day(t.device_state(), t.daily_site_summary())
@@ -666,6 +682,23 @@ def conformed_archive(t):
     return t.spark.read.parquet(path)
 
 
+@query
+def archived_readings(t):
+    """What the archive and the hot rows hold after old readings were moved."""
+    target = T.StructType.fromDDL(
+        "device_id string, reading_timestamp timestamp_ntz, metric_name string, metric_value decimal(12,4), reading_year int, reading_month int"
+    )
+    cutoff = instant(IOT_NOW) - F.expr("INTERVAL 24 HOURS")
+    layout = ["reading_year", "reading_month"]
+    path = t.written_once(
+        "moved_readings", lambda p: ingest.archive_old(t.readings(), "reading_timestamp", cutoff, target, p, layout, mode="overwrite")
+    )
+    hot, _ = signals.tiered(t.readings(), "reading_timestamp", cutoff)
+    columns = ["device_id", "reading_timestamp", "metric_name", "metric_value"]
+    archived = t.spark.read.parquet(path).select(*columns, F.lit("cold").alias("tier"))
+    return archived.unionByName(hot.select(*columns, F.lit("hot").alias("tier")))
+
+
 @query
 def tiered_readings(t):
     hot, cold = signals.tiered(t.readings(), "reading_timestamp", instant(IOT_NOW) - F.expr("INTERVAL 24 HOURS"))

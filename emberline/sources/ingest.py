@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.labels import blank_to_null, table_of_batch, text_is_true
 from ..functions.numbers import lenient_integer
 from ..operators.keyed import newest_per_key
+from ..operators.signals import tiered
 
 # The types a staged file may carry; anything else is refused before a row is read.
 STAGED_TYPES = (T.StringType, T.BooleanType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType,
@@ -148,6 +149,21 @@ def append_conformed(
     writer.partitionBy(*partition_by).parquet(path) if partition_by else writer.parquet(path)
 
 
+def archive_old(
+    rows: DataFrame, time: str, cutoff: Column, target: T.StructType, path: str, partition_by: Sequence[str], mode: str = "append"
+) -> DataFrame:
+    """Move rows older than the cutoff to the archive at ``path``; returns the rows that stay hot.
+
+    ``target`` holds the archive's columns, ``partition_by`` its year and month columns, which are
+    derived from ``time`` and named in that order.
+    """
+    hot, old = tiered(rows, time, cutoff)
+    year, month = partition_by
+    dated = old.withColumns({year: F.year(time), month: F.month(time)})
+    append_conformed(dated, target, path, partition_by, [time], mode)
+    return hot
+
+
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The table after the changes: per key the newest row, also among the changes themselves."""
     return newest_per_key(current.unionByName(changes), keys, order)

@@ -145,6 +145,15 @@ def test_site_ids(spark):
     assert [x.site_id for x in health.site_ids(devices).collect()] == ["a", "b"]
 
 
+def test_device_by_id(spark):
+    one = "0b9d5d0e-8f2f-4d3a-9b1c-aaaaaaaaaaaa"
+    devices = fleet(spark, (one, "online", "a"))
+    assert health.device_by_id(devices, one.upper()).count() == 1
+    assert health.device_by_id(devices, one.replace("a", "b")).count() == 0
+    with pytest.raises(ValueError):
+        health.device_by_id(devices, "7")
+
+
 def test_list_totals_follow_the_filters(spark):
     devices = fleet(spark, ("1", "online", "a"), ("2", "offline", "a"), ("3", "offline", "b"))
     listed = health.list_devices(devices, None, None, None, site_id="a", status="offline")
