@@ -52,7 +52,8 @@ def alert_triage(
         rows, baseline, ["device_id", "metric_name"], "left", key_counts=opened.groupBy("device_id", "metric_name").count()
     )
     if weather_at == "raised":
-        rows = alerts_with_weather(rows, weather, slices)
+        sizes = opened.select("site_id").unionByName(weather.select("site_id"))
+        rows = alerts_with_weather(rows, weather, slices, sizes)
     else:
         latest = newest_per_key(weather, ["site_id"], ["observation_time"]).select(
             "site_id", "temperature_c", "humidity_pct", "conditions"

@@ -1,9 +1,10 @@
 """Ordered folds over groups of any size.
 
-A window function handles one group in one task. Here the rows are range-partitioned by
-(group, order) instead, so that a large group spans many slices. One small row per (group,
-slice) sums up the earlier slices; it is put in front of the slice's own rows, and an ordinary
-window over (group, slice) then yields the fold over the whole group.
+A window function handles one group in one task, which is right while every group is small; the
+groups are counted first. With a larger one among them, the rows are range-partitioned by (group,
+order) instead, so that it spans many slices. One small row per (group, slice) sums up the earlier
+slices; it is put in front of the slice's own rows, and an ordinary window over (group, slice)
+then yields the fold over the whole group.
 """
 
 from __future__ import annotations
@@ -12,23 +13,29 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import shared_folder
+from ..session import settled
 
 SLICE, PLACE = "_slice", "_place"
+# The most rows of one group an ordinary window may be given.
+WHOLE_GROUP = 1_000_000
 
 
 def slice_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: int | None = None) -> DataFrame:
     """Rows with the range partition they fall into and their place in the whole order.
 
-    Range bounds come from a sample, so slice and place are frozen by a checkpoint: every later
-    use sees the same ones, also after an executor was lost. The place is the identifier Spark
-    counts up within each sorted partition; its upper bits are the partition number.
+    Range bounds come from a sample, so slice and place are written down: every later use sees the
+    same ones, also after an executor was lost. The place is the identifier Spark counts up within
+    each sorted partition; its upper bits are the partition number.
     """
-    shared_folder(df.sparkSession)
     by = [*[F.col(k).asc() for k in keys], *order]
     ranged = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
     placed = ranged.sortWithinPartitions(*by).withColumn(PLACE, F.monotonically_increasing_id())
-    return placed.withColumn(SLICE, F.shiftright(PLACE, 33)).checkpoint()
+    return settled(placed.withColumn(SLICE, F.shiftright(PLACE, 33)))
+
+
+def has_large_group(df: DataFrame, keys: Sequence[str], limit: int = WHOLE_GROUP) -> bool:
+    """Whether some group exceeds the limit. Reads the keys only and combines on the map side."""
+    return not df.groupBy(*keys).count().filter(F.col("count") > limit).isEmpty()
 
 
 def running(
@@ -44,7 +51,8 @@ def running(
     number: str | None = None,
     before: bool = False,
     slices: int | None = None,
-    keep_slices: bool = False,
+    bound: DataFrame | None = None,
+    chained: bool = False,
 ) -> DataFrame:
     """Running values up to and including each row, per ``keys`` in ``order``.
 
@@ -52,8 +60,12 @@ def running(
     is the newest non-null value so far; ``previous`` the value of the row before (null for the
     first row); ``number`` counts rows from 1. With ``before`` the folds leave the row itself out.
 
-    ``keep_slices`` leaves slice and place on the result; a second fold over the same keys and
-    order then takes the rows as they are, without another range shuffle and checkpoint.
+    ``bound`` is a cheaper frame to judge the group sizes by, when ``df`` is costly to compute: no
+    group may have more rows than ``bound`` has for one value of all its columns.
+
+    ``slices`` asks for that many slices whatever the group sizes; without keys, all rows being one
+    group, there are always slices. With ``chained`` a second fold over the same keys and order
+    takes over the row placement found here; end the chain with a call without it.
     """
     sums = dict(sums or {})
     if number:
@@ -62,9 +74,32 @@ def running(
     last_known, previous = dict(last_known or {}), dict(previous or {})
     folds = {**sums, **highest, **lowest, **last_known, **previous}
     keys, columns = list(keys), [c for c in df.columns if c not in (SLICE, PLACE)]
-    sliced = df if SLICE in df.columns else slice_in_order(df, keys, order, slices)
-    rows = sliced.withColumns({f"_v_{n}": F.struct(c.alias("v")) if n in previous else c for n, c in folds.items()})
 
+    def values(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({f"_v_{n}": F.struct(c.alias("v")) if n in previous else c for n, c in folds.items()})
+
+    def folded(rows: DataFrame, group: Sequence[str], by: Sequence[Column], kept: Sequence[str]) -> DataFrame:
+        each = Window.partitionBy(*group).orderBy(*by)
+        so_far = each.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+        out = {n: F.coalesce(F.sum(f"_v_{n}").over(so_far), F.lit(0)) for n in sums}
+        out |= {n: F.max(f"_v_{n}").over(so_far) for n in highest}
+        out |= {n: F.min(f"_v_{n}").over(so_far) for n in lowest}
+        out |= {n: F.last(f"_v_{n}", ignorenulls=True).over(so_far) for n in last_known}
+        out |= {n: F.lag(f"_v_{n}").over(each)["v"] for n in previous}
+        return rows.select(*kept, *[c.alias(f"_o_{n}") for n, c in out.items()])
+
+    def named(rows: DataFrame, kept: Sequence[str]) -> DataFrame:
+        return rows.select(*kept, *[F.col(f"_o_{n}").alias(n) for n in folds])
+
+    # An ordinary window; a place of 0 tells the next fold of the chain that groups are small.
+    placed = PLACE in df.columns
+    judged = (df, keys) if bound is None else (bound, bound.columns)
+    if SLICE not in df.columns and keys and not slices and (placed or not has_large_group(*judged)):
+        kept = [*columns, *([PLACE] if chained else [])]
+        rows = df if placed else df.withColumn(PLACE, F.lit(0).cast("long"))
+        return named(folded(values(rows), keys, order, kept), kept)
+
+    sliced = values(df if SLICE in df.columns else slice_in_order(df, keys, order, slices))
     # What each slice contributes to the slices after it.
     group = [*keys, SLICE]
     parts = [F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums]
@@ -72,7 +107,7 @@ def running(
     parts += [F.min(f"_v_{n}").alias(f"_v_{n}") for n in lowest]
     parts += [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(PLACE))).alias(f"_v_{n}") for n in last_known]
     parts += [F.max_by(f"_v_{n}", PLACE).alias(f"_v_{n}") for n in previous]
-    per_slice = rows.groupBy(*group).agg(*parts)
+    per_slice = sliced.groupBy(*group).agg(*parts)
     # One row per (group, slice): a group has at most as many as there are slices.
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.sum(f"_v_{n}").over(earlier).alias(f"_v_{n}") for n in sums]
@@ -80,17 +115,9 @@ def running(
     carried += [F.min(f"_v_{n}").over(earlier).alias(f"_v_{n}") for n in lowest]
     carried += [F.last(f"_v_{n}", ignorenulls=True).over(earlier).alias(f"_v_{n}") for n in [*last_known, *previous]]
     carry = per_slice.select(*group, F.lit(-1).cast("long").alias(PLACE), *carried)
-
-    each = Window.partitionBy(*group).orderBy(PLACE)
-    so_far = each.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    out = {n: F.coalesce(F.sum(f"_v_{n}").over(so_far), F.lit(0)) for n in sums}
-    out |= {n: F.max(f"_v_{n}").over(so_far) for n in highest}
-    out |= {n: F.min(f"_v_{n}").over(so_far) for n in lowest}
-    out |= {n: F.last(f"_v_{n}", ignorenulls=True).over(so_far) for n in last_known}
-    out |= {n: F.lag(f"_v_{n}").over(each)["v"] for n in previous}
-    kept = [*columns, *([SLICE, PLACE] if keep_slices else [])]
-    folded = rows.unionByName(carry, allowMissingColumns=True).select("*", *[c.alias(f"_o_{n}") for n, c in out.items()])
-    return folded.filter(F.col(PLACE) >= 0).select(*kept, *[F.col(f"_o_{n}").alias(n) for n in folds])
+    both = sliced.unionByName(carry, allowMissingColumns=True)
+    out = folded(both, group, [F.col(PLACE)], [*columns, SLICE, PLACE]).filter(F.col(PLACE) >= 0)
+    return named(out, [*columns, *([SLICE, PLACE] if chained else [])])
 
 
 def surrogate_keys(df: DataFrame, name: str, order: Sequence[Column], slices: int | None = None) -> DataFrame:

@@ -113,7 +113,7 @@ def weekly_products(orders: DataFrame, items: DataFrame, products: DataFrame, sl
     )
     return running(
         rows, ["product_category", "week_start_date"], [F.desc("units_sold"), F.desc("product_id")],
-        number="velocity_rank", slices=slices,
+        number="velocity_rank", slices=slices, bound=products.select("category"),
     )
 
 

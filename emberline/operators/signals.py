@@ -14,7 +14,7 @@ from .skew import join_spread
 
 def as_of_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
-    values: Sequence[str], tie_break: Sequence[str] = (), slices: int | None = None,
+    values: Sequence[str], tie_break: Sequence[str] = (), slices: int | None = None, bound: DataFrame | None = None,
 ) -> DataFrame:
     """Every left row with the values of the newest right row at or before its time.
 
@@ -31,17 +31,19 @@ def as_of_join(
                      F.lit(None).cast(left.select(row.alias("s")).schema["s"].dataType).alias("_row"),
                      picked.alias("_known"), *[F.lit(None).cast("string").alias(f"_t{i}") for i in range(len(tie_break))])
     order = [F.asc("_at"), F.asc("_side"), *[F.asc(f"_t{i}") for i in range(len(tie_break))]]
-    both = running(a.unionByName(b), keys, order, last_known={"_match": F.col("_known")}, slices=slices)
+    both = running(a.unionByName(b), keys, order, last_known={"_match": F.col("_known")}, slices=slices, bound=bound)
     return both.filter(F.col("_side") == 1).select(
         "_row.*", F.col(f"_match.{right_time}").alias(right_time), *[F.col(f"_match.{v}").alias(v) for v in values]
     )
 
 
-def alerts_with_weather(alerts: DataFrame, weather: DataFrame, slices: int | None = None) -> DataFrame:
+def alerts_with_weather(
+    alerts: DataFrame, weather: DataFrame, slices: int | None = None, bound: DataFrame | None = None
+) -> DataFrame:
     """Alerts with the site's weather at the time they were raised."""
     return as_of_join(
         alerts, weather, ["site_id"], "raised_at", "observation_time",
-        ["temperature_c", "humidity_pct", "conditions"], ["alert_id"], slices,
+        ["temperature_c", "humidity_pct", "conditions"], ["alert_id"], slices, bound,
     )
 
 
@@ -147,7 +149,8 @@ def merged_windows(windows: DataFrame, slices: int | None = None) -> DataFrame:
     per_start = windows.groupBy("site_id", "window_start").agg(F.max("window_end").alias("window_end"), F.count(F.lit(1)).alias("_n"))
     order = [F.asc("window_start")]
     covered = running(
-        per_start, ["site_id"], order, highest={"_covered": F.col("window_end")}, before=True, slices=slices, keep_slices=True
+        per_start, ["site_id"], order, highest={"_covered": F.col("window_end")}, before=True, slices=slices,
+        bound=windows.select("site_id"), chained=True,
     )
     opens = F.col("_covered").isNull() | (F.col("window_start") > F.col("_covered"))
     numbered = running(covered, ["site_id"], order, sums={"_island": opens.cast("long")})
@@ -173,7 +176,7 @@ def sessions(
 ) -> DataFrame:
     """Sessions per user, closed by a pause longer than ``gap``; views and cart additions counted."""
     order = [F.asc(time), *[F.asc(c) for c in tie_break]]
-    stepped = running(clicks, [user], order, previous={"_before": F.col(time)}, slices=slices, keep_slices=True)
+    stepped = running(clicks, [user], order, previous={"_before": F.col(time)}, slices=slices, chained=True)
     opens = F.col("_before").isNull() | (F.col(time) > F.col("_before") + F.expr(gap))
     numbered = running(stepped, [user], order, sums={"_session": opens.cast("long")})
     return numbered.groupBy(user, "_session").agg(
@@ -211,7 +214,8 @@ def running_stock(
     if opening is not None:
         rows = rows.join(opening.select("product_id", "stock_quantity"), "product_id", "left")
     start = F.coalesce(F.col("stock_quantity"), F.lit(0)).cast("long") if opening is not None else F.lit(0).cast("long")
-    plain = running(rows, ["product_id"], by, sums={"_sum": F.col("quantity_change")}, slices=slices, keep_slices=True)
+    plain = running(rows, ["product_id"], by, sums={"_sum": F.col("quantity_change")}, slices=slices,
+                    bound=changes.select("product_id"), chained=True)
     plain = plain.withColumn("_level", F.col("_sum") + start)
     floored = running(plain, ["product_id"], by, lowest={"_deepest": F.col("_level")})
     return floored.select(

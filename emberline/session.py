@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "emberline", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,3 +56,15 @@ def shared_folder(spark: SparkSession) -> str:
 def job_folder(spark: SparkSession, *parts: str) -> str:
     """A sub-folder of the shared folder that belongs to this application only."""
     return os.path.join(shared_folder(spark), spark.sparkContext.applicationId, *parts)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as a written table in the shared folder.
+
+    Like a checkpoint it cuts the lineage and survives lost executors. Unlike one it is columnar,
+    so a later step reads only its columns, and its size is known, so Spark can decide by it
+    whether a join may broadcast it.
+    """
+    path = job_folder(df.sparkSession, "settled", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

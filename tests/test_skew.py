@@ -46,7 +46,7 @@ def sequence(spark, n=500):
     return spark.createDataFrame(rows, "k string, t int, v int, mark boolean")
 
 
-@pytest.mark.parametrize("slices", [1, 7])
+@pytest.mark.parametrize("slices", [None, 1, 7])
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("before", [False, True])
 def test_running_folds(spark, slices, descending, before):
@@ -75,16 +75,26 @@ def test_running_uses_many_slices(spark):
     assert sliced.filter("k = 'hot'").select("_slice").distinct().count() > 2
 
 
-def test_second_fold_reuses_slices(spark):
+@pytest.mark.parametrize("slices", [None, 5])
+def test_second_fold_takes_over_the_placement(spark, slices):
     df = sequence(spark)
-    one = ordered.running(df, ["k"], [F.asc("t")], sums={"s": F.col("v")}, slices=5, keep_slices=True)
+    one = ordered.running(df, ["k"], [F.asc("t")], sums={"s": F.col("v")}, slices=slices, chained=True)
     two = ordered.running(one, ["k"], [F.asc("t")], highest={"top": F.col("s")})
+    assert two.columns == ["k", "t", "v", "mark", "s", "top"]
     best = {}
     for x in sorted(two.collect(), key=lambda x: x.t):
         best[x.k] = max(best.get(x.k, x.s), x.s)
         assert x.top == best[x.k]
 
 
+def test_large_groups_are_noticed(spark, monkeypatch):
+    df = sequence(spark)
+    assert ordered.has_large_group(df, ["k"], 100) and not ordered.has_large_group(df, ["k"], 499)
+    monkeypatch.setattr(ordered, "has_large_group", lambda *_: True)
+    got = ordered.running(df, ["k"], [F.asc("t")], number="n", chained=True)
+    assert ordered.SLICE in got.columns and got.count() == df.count()
+
+
 def test_surrogate_keys_have_no_gaps(spark):
     got = ordered.surrogate_keys(sequence(spark).select("t"), "n", [F.asc("t")], slices=6)
     assert all(x.n == x.t + 1 for x in got.collect())
