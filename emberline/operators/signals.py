@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numbers import fixed, mean, ratio
+from ..functions.numbers import mean, ratio
 from ..functions.times import monday_of
 from .ordered import running
 from .skew import join_spread

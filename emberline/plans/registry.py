@@ -7,7 +7,6 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions import labels
 from ..functions.numbers import fixed
 from ..functions.times import day, instant, iso_weekday, monday_of, month_of
 from ..operators import federated, health, keyed, marts, ordered, ranks, rollups, signals
