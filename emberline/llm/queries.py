@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, prefix_bpe, token_files
+from . import fertility, packing, prefix_bpe, quality_net, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -25,8 +30,17 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_net.score(docs, quality_net.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.rules(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op2_harmonic_packing, op5_plane_files, op7_prefix_bpe)}
+    return {q.__name__: q for q in (op1_gru_toxicity, op2_harmonic_packing, op5_plane_files, op7_prefix_bpe, op8_byte_cnn_quality, op9_fertility_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
