@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, packing, prefix_bpe, quality_net, token_files, toxicity
+from . import chosen_path, fertility, packing, prefix_bpe, quality_net, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,7 +44,7 @@ def op9_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_gru_toxicity, op2_harmonic_packing, op5_plane_files, op7_prefix_bpe, op8_byte_cnn_quality, op9_fertility_rules)}
+    return {q.__name__: q for q in (op1_gru_toxicity, op2_harmonic_packing, op5_plane_files, op6_chosen_path_join, op7_prefix_bpe, op8_byte_cnn_quality, op9_fertility_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
