@@ -195,3 +195,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(one, F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows, all columns, of the document that each group of near-duplicates keeps: one row a doc_id. Rows without doc_id stay."""
+    keep = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))

@@ -6,13 +6,14 @@ import os
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows that pass between the JVM and a Python worker at once. Whole texts may be long, so this is small.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -34,6 +35,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, n: int):
+    """Smaller Arrow batches for what runs inside, where single rows are large."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``settled`` wrote and no later step reads."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if "/settled/" in folder.toString():
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps: it does so when the driver collects its garbage."""
     spark.sparkContext._jvm.System.gc()

@@ -190,3 +190,16 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
 
     scored = map_arrow(docs, ["doc_id", "text"], work, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_rows(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, all columns, whose text scores ``threshold`` or more."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = rows_of(batch, "text")
+            found = [net.scores(texts[k : k + 128]) for k in range(0, len(texts), 128)]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found) >= threshold))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, fertility, packing, prefix_bpe, quality_net, token_files, toxicity
+from . import chosen_path, edit_counts, fertility, grid_join, packing, prefix_bpe, quality_net, suffix_dedup, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_cover_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.after_cleaning(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,8 +51,12 @@ def op9_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.rules(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_gru_toxicity, op2_harmonic_packing, op5_plane_files, op6_chosen_path_join, op7_prefix_bpe, op8_byte_cnn_quality, op9_fertility_rules)}
+    return {q.__name__: q for q in (op1_gru_toxicity, op2_harmonic_packing, op3_cover_suffix_dedup, op4_edit_counts, op5_plane_files, op6_chosen_path_join, op7_prefix_bpe, op8_byte_cnn_quality, op9_fertility_rules, op10_grid_order_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -284,3 +284,16 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
 
     scored = map_arrow(docs, ["doc_id", "text"], work, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def clean_rows(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, all columns, whose text scores below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(scorer.scores(rows_of(batch, "text")) < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
