@@ -7,20 +7,52 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import packing
-from emberline.llm.common import release, table
+from emberline.llm import chosen_path, packing, quality_net, suffix_dedup, toxicity
+from emberline.llm.common import prepare, release, table
 from emberline.session import job_folder
 
-#: Suffix arrays, learned scores and tokenizers are beyond SQL; tests hold each stage against a brute-force version.
+#: Learned scores, confirmed near-duplicates, byte-wise removal and tokenizers are beyond SQL; tests hold the stages against
+#: brute-force versions.
 ORACLE_SQL = None
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, fitted on labelled ones among them, doesn't call toxic."""
+    prepare(spark)
+    return toxicity.clean_rows(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the byte network, fitted on labelled ones among them, calls good."""
+    prepare(spark)
+    return quality_net.good_rows(docs, quality_net.train(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id."""
+    prepare(spark)
+    return chosen_path.one_of_each(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, less the long strings that occur more than once among them."""
+    prepare(spark)
+    return suffix_dedup.without_repeats(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens."""
+    prepare(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("toxicity", not_toxic),
+    ("quality classifier", good_quality),
+    ("MinHash near-dedup", one_of_near_copies),
+    ("suffix-array dedup", without_repeats),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
