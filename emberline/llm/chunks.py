@@ -20,7 +20,7 @@ LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 MARKS = ',.!?;:|)"'
 SPACED = re.compile(f"[{SPACE}]*[{LETTERS}]+(?=[{MARKS}])|[{MARKS}]+(?=[{SPACE}])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORDS = re.compile(f"[{LETTERS}]+(?=[{MARKS}])|[{MARKS}]+(?=[{SPACE}])|[^{SPACE}]+")
-KEPT = 400_000
+KEPT = 700_000
 
 
 class Chunks:
