@@ -30,7 +30,7 @@ SAMPLE = 1000
 SAMPLE_WORDS = 1536
 THRESHOLD = 0.7
 #: Share of the loss that toxic examples have, whatever their number.
-TOXIC_WEIGHT = 0.3
+TOXIC_WEIGHT = 0.2
 _KEPT_WORDS = 200_000
 _EDGE = b".,!?;:|\"'()[]{}<>*_#-"
 
@@ -163,7 +163,7 @@ def _windows(texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
     return at, counts
 
 
-def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: int = 5, rate: float = 0.01) -> Network:
+def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: int = 3, rate: float = 0.01) -> Network:
     """Train on whole labelled texts, given as words. Without both classes the network stays as it starts."""
     net, rng = Network(seed), np.random.default_rng(seed)
     vocabulary = sorted({w for t in texts for w in t})
