@@ -8,11 +8,8 @@ from .numbers import as_column
 
 # The vocabularies of the data model.
 DEVICE_STATUSES = ("online", "offline", "degraded", "maintenance")
-QUALITY_CODES = ("good", "suspect", "bad")
 SEVERITIES = ("critical", "high", "medium", "low")
-ALERT_TYPES = ("threshold", "anomaly", "offline", "battery_low")
 ANOMALY_STATUSES = ("normal", "anomalous", "unknown")
-RISK_TIERS = ("low", "medium", "high", "restricted")
 PAYMENT_STATUS = {
     "delivered": "captured",
     "shipped": "captured",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-MONEY = "decimal(14,2)"
 
 
 def as_column(c: Column | str) -> Column:
@@ -20,10 +19,6 @@ def fixed(c: Column | str, places: int = 4) -> Column:
     return F.round(as_column(c).cast("decimal(38,8)"), places).cast("double")
 
 
-def money(c: Column | str) -> Column:
-    return as_column(c).cast(MONEY)
-
-
 def half_even(c: Column | str, places: int = 2) -> Column:
     """Banker's rounding of a DECIMAL value."""
     return F.bround(as_column(c), places)
@@ -40,10 +35,6 @@ def mean(c: Column | str, precision: str = "decimal(28,6)") -> Column:
     return ratio(F.sum(value.cast(precision)), F.count(value))
 
 
-def total(c: Column | str, precision: str = "decimal(28,6)") -> Column:
-    return F.sum(as_column(c).cast(precision))
-
-
 def clamp(c: Column, low, high) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 

@@ -35,18 +35,24 @@ def since(
     year: str | None = None,
     month: str | None = None,
 ) -> Column:
-    """``column >= as_of - days``, plus the same bound on the year/month partition columns.
+    """``as_of - days <= column <= as_of``, plus the same bounds on the year/month partition columns.
 
     A plain time predicate cannot prune a table laid out by integer year and month; the
     second conjunct lets the scan skip whole partitions.
     """
-    start = parse_moment(as_of) - timedelta(days=days)
-    keep = as_column(column) >= instant(start)
+    end = parse_moment(as_of)
+    start = end - timedelta(days=days)
+    keep = as_column(column).between(instant(start), instant(end))
     if year and month:
-        keep = keep & (F.col(year) * 12 + F.col(month) >= start.year * 12 + start.month)
+        keep = keep & (F.col(year) * 12 + F.col(month)).between(start.year * 12 + start.month, end.year * 12 + end.month)
     return keep
 
 
+def days_upto(column: Column | str, as_of: Moment, days: int) -> Column:
+    """A date column from ``days`` before the day of ``as_of`` up to that day."""
+    return as_column(column).between(F.date_sub(day(as_of), days), day(as_of))
+
+
 def hour_of(column: Column | str) -> Column:
     return F.date_trunc("hour", as_column(column)).cast("timestamp_ntz")
 

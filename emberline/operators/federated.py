@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.labels import bands, triage_rank
 from ..functions.numbers import fixed, mean, ratio
-from ..functions.times import Moment, day, since
-from .health import MAX_PAGE_SIZE
+from ..functions.times import day, days_upto, instant, Moment, since
 from .keyed import newest_per_key
 from .signals import alerts_with_weather
 from .skew import join_spread
@@ -55,7 +54,7 @@ def alert_triage(
         sizes = opened.select("site_id").unionByName(weather.select("site_id"))
         rows = alerts_with_weather(rows, weather, slices, sizes)
     else:
-        latest = newest_per_key(weather, ["site_id"], ["observation_time"]).select(
+        latest = newest_per_key(weather.filter(F.col("observation_time") <= instant(as_of)), ["site_id"], ["observation_time"]).select(
             "site_id", "temperature_c", "humidity_pct", "conditions"
         )
         rows = join_spread(rows, latest, "site_id", "left", key_counts=opened.groupBy("site_id").count())
@@ -103,7 +102,7 @@ def site_health(devices: DataFrame, daily: DataFrame, as_of: Moment, days: int =
         F.count(F.lit(1)).alias("live_device_count"),
         is_("online").alias("online_count"), is_("degraded").alias("degraded_count"), is_("offline").alias("offline_count"),
     )
-    history = daily.filter(F.col("summary_date") >= F.date_sub(day(as_of), days)).groupBy("site_id").agg(
+    history = daily.filter(days_upto("summary_date", as_of, days)).groupBy("site_id").agg(
         mean("uptime_pct").alias("_uptime"), mean("avg_battery_pct").alias("_battery"),
         F.sum("alerts_critical").cast("long").alias("critical_alerts_30d"),
     )
@@ -229,11 +228,12 @@ def authorization_context(
     baseline_days: int = 180, times_average: float = 5, min_history: int = 3, top: int | None = 30,
 ) -> DataFrame:
     """Transactions asking for authorization against the customer's spending and risk tier."""
-    spent = archive.filter((F.col("txn_date") >= F.date_sub(day(as_of), baseline_days)) & (F.col("status") == "posted"))
+    spent = archive.filter(days_upto("txn_date", as_of, baseline_days) & (F.col("status") == "posted"))
     usual = spent.groupBy("customer_id", "merchant_category").agg(
         mean("amount").alias("_avg"), F.max("amount").cast("double").alias("_max"), F.count(F.lit(1)).alias("baseline_n")
     )
-    latest = newest_per_key(risk.select("customer_id", "risk_score", "risk_tier", "snapshot_date"), ["customer_id"], ["snapshot_date"])
+    known = risk.filter(F.col("snapshot_date") <= day(as_of))
+    latest = newest_per_key(known.select("customer_id", "risk_score", "risk_tier", "snapshot_date"), ["customer_id"], ["snapshot_date"])
     # History moves to the (account, category) pairs that are asking, so that the live rows meet it
     # on their own columns and no pair is formed that nobody asked for.
     asking = authorizing.filter(F.col("auth_status") == "requesting")
@@ -291,15 +291,14 @@ def portfolio_exposure(
 
     The benchmark is one value; it enters as a scalar subquery, not as a join.
     """
-    start = F.date_sub(day(as_of), days)
-    recent = metrics.filter(F.col("metric_date") >= start).groupBy("account_id").agg(
+    recent = metrics.filter(days_upto("metric_date", as_of, days)).groupBy("account_id").agg(
         mean("daily_return_pct").alias("_return"), mean("volatility_30d").alias("_vol"),
         F.max_by("portfolio_value", "metric_date").alias("_last"),
     )
     move = F.try_divide(
         F.col("close_price").cast("double") - F.col("open_price").cast("double"), F.col("open_price").cast("double")
     ) * 100.0
-    bench = market.filter((F.col("ticker") == ticker) & (F.col("quote_date") >= start)).agg(mean(move, "decimal(28,12)").alias("b"))
+    bench = market.filter((F.col("ticker") == ticker) & days_upto("quote_date", as_of, days)).agg(mean(move, "decimal(28,12)").alias("b"))
     rows = (
         accounts.filter((F.col("account_type") == "investment") & (F.col("status") == "active"))
         .join(recent, "account_id")
@@ -398,10 +397,10 @@ def device_timeline(devices: DataFrame, readings: DataFrame, hourly: DataFrame,
 def page_counts(page: DataFrame, readings: DataFrame, alerts: DataFrame) -> DataFrame:
     """Distinct metrics, distinct alerts and alphabetically greatest severity of the listed devices.
 
-    Each input is counted on its own; joining both to the page first would multiply them. A page
-    holds at most ``MAX_PAGE_SIZE`` devices, so its ids are sent to the scans.
+    Each input is counted on its own; joining both to the page first would multiply them. The list
+    may have any length: Spark sends its ids to the scans while they are few.
     """
-    ids = F.broadcast(page.select("device_id").limit(MAX_PAGE_SIZE))
+    ids = page.select("device_id").distinct()
     readings, alerts = (x.join(ids, "device_id", "left_semi") for x in (readings, alerts))
     metrics = readings.groupBy("device_id").agg(F.count_distinct("metric_name").alias("metric_count"))
     raised = alerts.groupBy("device_id").agg(
@@ -448,7 +447,7 @@ def spend_monitor(
     recent: DataFrame, archive: DataFrame, as_of: Moment, days: int = 30, recent_days: int = 7
 ) -> DataFrame:
     """Recent card spend of each customer per day against the mean daily spend of the weeks before."""
-    now = recent.filter(F.col("txn_date") >= F.date_sub(day(as_of), recent_days)).groupBy("customer_id").agg(
+    now = recent.filter(days_upto("txn_date", as_of, recent_days)).groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("recent_transactions"), F.sum("amount").alias("_recent")
     )
     cut = F.date_sub(day(as_of), recent_days)

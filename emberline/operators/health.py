@@ -81,7 +81,7 @@ def recent_readings(
     bucket = at.replace(minute=0, second=0, microsecond=0)
     rows = readings.filter(
         F.col("reading_bucket_hour").isin([instant(bucket), instant(bucket - timedelta(hours=1))])
-        & (F.col("reading_timestamp") >= instant(at - timedelta(minutes=window_minutes)))
+        & F.col("reading_timestamp").between(instant(at - timedelta(minutes=window_minutes)), instant(at))
     )
     if device_ids is not None:
         rows = rows.filter(F.col("device_id").isin(device_ids))
@@ -94,7 +94,7 @@ def readings_within(readings: DataFrame, as_of: Moment, hours: int) -> DataFrame
     return readings.filter(
         (F.col("reading_bucket_hour") >= F.date_trunc("hour", instant(start)).cast("timestamp_ntz"))
         & (F.col("reading_timestamp") >= instant(start))
-        & (F.col("reading_timestamp") < instant(as_of))
+        & (F.col("reading_timestamp") <= instant(as_of))
     )
 
 

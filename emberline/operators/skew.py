@@ -9,7 +9,6 @@ from operator import and_
 from pyspark.sql import DataFrame, functions as F
 
 ROWS_PER_SLICE = 2_000_000
-MOST_HOT_KEYS = 1_000
 
 
 def hot_keys(
@@ -21,16 +20,14 @@ def hot_keys(
 ) -> DataFrame:
     """The keys with more rows than one task should take, and the slices to cut each into.
 
-    At most ``MOST_HOT_KEYS`` rows, so the result may always be broadcast. A key that falls
-    outside the list holds under 1/1000 of the rows and joins like any other key: the list
-    only routes rows, it never selects them.
+    Every such key is listed. There are fewer of them than ``rows / rows_per_slice``, half a million
+    short rows for 10^12 rows, so the result may always be broadcast. The list only routes rows, it
+    never selects them.
     """
     counts = facts.groupBy(*on).count() if key_counts is None else key_counts
     rows = F.col(count_column)
     return (
         counts.filter(rows > rows_per_slice)
-        .orderBy(rows.desc(), *on)
-        .limit(MOST_HOT_KEYS)
         .select(*[F.col(k).alias(f"_hot_{k}") for k in on], F.ceil(rows / rows_per_slice).cast("int").alias("_slices"))
     )
 

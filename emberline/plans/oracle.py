@@ -463,9 +463,9 @@ _SQL["portfolio_exposure"] = f"""
     SELECT a.customer_id, a.account_id, {d('a.current_balance')} AS live_balance, {r('p.last', 2)} AS last_closing_value, {r('p.ret')} AS portfolio_avg_daily_return,
            {r('p.vol')} AS portfolio_volatility, {r('b.ret')} AS benchmark_avg_daily_return, {r('p.ret - b.ret')} AS alpha_30d
     FROM in_accounts a JOIN (SELECT account_id, {m('daily_return_pct')} AS ret, {m('volatility_30d')} AS vol, arg_max(portfolio_value, metric_date) AS last
-        FROM in_portfolio WHERE metric_date >= {TODAY} - 30 GROUP BY 1) p USING (account_id)
+        FROM in_portfolio WHERE metric_date BETWEEN {TODAY} - 30 AND {TODAY} GROUP BY 1) p USING (account_id)
     CROSS JOIN (SELECT {m('(close_price::DOUBLE - open_price::DOUBLE) / nullif(open_price::DOUBLE, 0) * 100', 'DECIMAL(28,12)')} AS ret
-        FROM in_bars WHERE ticker = 'Brand#1' AND quote_date >= {TODAY} - 30) b
+        FROM in_bars WHERE ticker = 'Brand#1' AND quote_date BETWEEN {TODAY} - 30 AND {TODAY}) b
     WHERE a.account_type = 'investment' AND a.status = 'active' ORDER BY alpha_30d, a.account_id LIMIT 25"""
 
 
@@ -489,6 +489,11 @@ _SQL["device_page_counts"] = f"""
     FROM (SELECT * FROM in_devices ORDER BY {BY_HEARTBEAT} LIMIT 25) v
     LEFT JOIN (SELECT device_id, count(DISTINCT metric_name) AS n FROM in_readings GROUP BY 1) x USING (device_id)
     LEFT JOIN (SELECT device_id, count(DISTINCT alert_id) AS n, max(severity) AS s FROM in_alerts_month GROUP BY 1) a USING (device_id)"""
+_SQL["fleet_counts"] = f"""
+    SELECT v.device_id, v.status, v.battery_percent, v.site_id, coalesce(x.n, 0) AS metric_count, coalesce(a.n, 0) AS alert_count, a.s AS highest_severity
+    FROM in_devices v
+    LEFT JOIN (SELECT device_id, count(DISTINCT metric_name) AS n FROM in_readings GROUP BY 1) x USING (device_id)
+    LEFT JOIN (SELECT device_id, count(DISTINCT alert_id) AS n, max(severity) AS s FROM in_alerts_month GROUP BY 1) a USING (device_id)"""
 _SQL["device_reading_counts"] = """
     SELECT v.device_id, v.status, v.last_heartbeat, count(e.metric_value) AS historical_reading_count
     FROM in_devices v LEFT JOIN in_readings e USING (device_id) GROUP BY 1, 2, 3"""
@@ -508,6 +513,15 @@ _SQL["spend_monitor"] = f"""
     FROM (SELECT customer_id, count(*) AS k, sum(amount) AS s FROM in_txns WHERE txn_date >= {TODAY} - 7 GROUP BY 1) n
     LEFT JOIN (SELECT customer_id, sum(amount) AS s FROM in_txn_archive WHERE txn_date >= {TODAY} - 372 AND txn_date < {TODAY} - 7 GROUP BY 1) p USING (customer_id)"""
 
+PAST, PAST_DAY = "TIMESTAMP '2024-01-15 12:10:00'", "DATE '1998-06-01'"
+_SQL["recent_readings_past"] = _SQL["recent_readings"].replace(
+    f"reading_timestamp >= {NOW} - INTERVAL 60 MINUTE", f"reading_timestamp BETWEEN {PAST} - INTERVAL 60 MINUTE AND {PAST}"
+)
+_SQL["site_health_past"] = _SQL["site_health"].replace(
+    f"summary_date >= CAST({NOW} AS DATE) - 30", f"summary_date BETWEEN CAST({PAST} AS DATE) - 30 AND CAST({PAST} AS DATE)"
+)
+_SQL["portfolio_exposure_past"] = _SQL["portfolio_exposure"].replace(TODAY, PAST_DAY)
+
 HOURLY_COLS = f"device_id, metric_name, hour_start, hour_year, hour_month, sample_count, {d('min_value')} AS min_value, {d('max_value')} AS max_value, avg_value, {d('p95_value')} AS p95_value, stddev_value"
 _SQL["hourly_rollup"] = f"SELECT {HOURLY_COLS} FROM ({hourly('in_dense')})"
 _SQL["hourly_rollup_by_metric"] = f"SELECT {HOURLY_COLS} FROM ({hourly('in_readings')})"
@@ -800,7 +814,7 @@ _SQL["upserted_readings"] = """
            CASE event_id % 10 WHEN 0 THEN 'bad' WHEN 1 THEN 'suspect' ELSE 'good' END AS quality_code, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS seq FROM events"""
 _SQL["table_profile"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS row_count, {n}::BIGINT AS column_count"
-    for t, n in dict(region=2, nation=3, customer=5, supplier=4, part=6, orders=6, lineitem=11, events=6).items()
+    for t, n in dict(region=2, nation=3, customer=5, supplier=4, part=6, orders=6, lineitem=11, events=6, documents=5, embeddings=3, pages=3, benchmark=2, labels=3, conversations=4).items()
 )
 _SQL["stream_hourly_rollup"] = f"""
     SELECT device_id, metric_name, date_trunc('hour', reading_timestamp) AS hour_start, count(*) AS sample_count, {d('min(metric_value)')} AS min_value,

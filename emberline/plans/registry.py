@@ -310,6 +310,11 @@ def device_page_counts(t):
     return federated.page_counts(page, t.readings(), t.alerts_open(720))
 
 
+@query
+def fleet_counts(t):
+    return federated.page_counts(t.device_state(), t.readings(), t.alerts_open(720))
+
+
 @query
 def device_reading_counts(t):
     return federated.history_counts(t.device_state(), t.readings(), "device_id", "metric_value", "historical_reading_count", ["status", "last_heartbeat"])
@@ -335,6 +340,26 @@ def spend_monitor(t):
     return federated.spend_monitor(t.card_transactions(), t.transactions_archive(), BUSINESS_TODAY, days=365)
 
 
+# --- the same questions at an instant inside the data: nothing later may enter -----------------
+
+IOT_PAST, BUSINESS_PAST = "2024-01-15 12:10:00", "1998-06-01"
+
+
+@query
+def recent_readings_past(t):
+    return health.recent_readings(t.readings(), IOT_PAST)
+
+
+@query
+def site_health_past(t):
+    return federated.site_health(t.device_state(), t.daily_site_summary(), IOT_PAST)
+
+
+@query
+def portfolio_exposure_past(t):
+    return federated.portfolio_exposure(t.accounts(), t.portfolio_metrics(), t.market_data(), BUSINESS_PAST, "Brand#1")
+
+
 # --- rollups ----------------------------------------------------------------------------------
 
 
@@ -725,8 +750,9 @@ def upserted_readings(t):
 
 @query
 def table_profile(t):
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-    return ingest.table_counts({n: t.given(n) for n in names})
+    stars = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    texts = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+    return ingest.table_counts({n: t.given(n) for n in (*stars, *texts)})
 
 
 # --- streams ----------------------------------------------------------------------------------

@@ -45,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
         # SparkContext.setCheckpointDir appends a UUID folder; reuse it when it is already set.
         folder = sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="emberline-")
     if sc.getCheckpointDir() is None:

@@ -132,17 +132,15 @@ def append_conformed(
 ) -> None:
     """Write in the target's shape, partitioned and sorted within files.
 
-    Rows are first brought together by partition value and a hash of the row, which keeps the
-    file count low while a month that holds most rows still spreads over many tasks. With
+    Rows are first brought together by partition value, in pieces of the size Spark is told to aim
+    at: small months share a task, a month that holds most rows spreads over as many as it needs. With
     ``mode='overwrite'`` only the partitions present in the input are replaced, which makes a
     rerun safe; ``append`` would add the rows again.
     """
     check_staged_types(df)
     rows = conform(df, target)
     if partition_by:
-        files_per_partition = 8
-        spread = F.pmod(F.xxhash64(*target.fieldNames()), F.lit(files_per_partition))
-        rows = rows.repartition(*partition_by, spread)
+        rows = rows.hint("rebalance", *[F.col(c) for c in partition_by])
     if sort_by:
         rows = rows.sortWithinPartitions(*partition_by, *sort_by)
     writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic")

@@ -50,18 +50,21 @@ def first_per_key_stream(rows: DataFrame, keys: Sequence[str], time: str, latene
     return rows.withWatermark(time, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
-def anomaly_stream(readings: DataFrame, baseline: DataFrame, slices: int = 8) -> DataFrame:
+def anomaly_stream(readings: DataFrame, baseline: DataFrame, slices: int | None = None) -> DataFrame:
     """Every usable reading tested against a static baseline as it arrives.
 
-    A stream cannot count its hot keys ahead, so every key is cut into a few slices by a hash of
-    the row and the baseline, one row per device and metric, is repeated per slice.
+    The baseline has one row per device and metric and Spark sends it to the readings while it is
+    small. Where it is not, a device that holds much of the stream can be cut into ``slices`` by a
+    hash of the row, and the baseline is repeated for each.
     """
-    keys = ["device_id", "metric_name", "_slice"]
-    known = baseline.select("device_id", "metric_name", *BASELINE_FIELDS).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    )
+    keys = ["device_id", "metric_name"]
+    known = baseline.select(*keys, *BASELINE_FIELDS)
     rows = readings.filter(usable())
-    rows = rows.withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(slices)).cast("int")).join(known, keys, "left")
+    if slices:
+        known = known.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        rows = rows.withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(slices)).cast("int"))
+        keys = [*keys, "_slice"]
+    rows = rows.join(known, keys, "left")
     rows = rows.withColumn("_has_usable", F.lit(True))
     checks = anomaly_columns(F.col("metric_value").try_cast("double"))
     return rows.select("device_id", "metric_name", "reading_timestamp", "metric_value", *[c.alias(n) for n, c in checks.items()])
@@ -87,13 +90,14 @@ def session_stream(clicks: DataFrame, gap: str = "30 minutes", lateness: str = "
     )
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Process everything available, write Parquet, and return the written rows.
 
-    The file sink and the checkpoint make each row appear once even if the job is restarted.
+    A job that is to go on where it stopped names its ``folder``: the checkpoint in it says what was
+    read, and the file sink beside it makes each row appear once. Without one the run stands alone.
     """
     spark = stream.sparkSession
-    base = job_folder(spark, "streams", f"{name}-{uuid.uuid4().hex}")
+    base = folder or job_folder(spark, "streams", f"{name}-{uuid.uuid4().hex}")
     query = (
         stream.writeStream.format("parquet").outputMode(mode)
         .option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint")
@@ -103,18 +107,30 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def upsert_to_table(stream: DataFrame, name: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _versions(spark: SparkSession, base: str) -> dict[int, object]:
+    """The versions of a table below ``base`` that were written to their end, with their folders."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return {}
+    found = [f.getPath() for f in store.listStatus(root) if f.getPath().getName().startswith("version=")]
+    whole = [p for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return {int(p.getName().removeprefix("version=")): p for p in whole}
+
+
+def upsert_to_table(
+    stream: DataFrame, name: str, keys: Sequence[str], order: Sequence[str], folder: str | None = None
+) -> DataFrame:
     """Keep the newest row per key across micro-batches and return the final table.
 
     Every batch writes a new version of the table next to the old one and the versions are named
-    by batch, so a batch that is run again replaces its own output only.
+    by batch, so a batch that is run again replaces its own output only. The version before stays
+    until the next batch, older ones go. A job that is to go on where it stopped names its ``folder``.
     """
     spark = stream.sparkSession
-    base = job_folder(spark, "streams", f"{name}-{uuid.uuid4().hex}")
+    base = folder or job_folder(spark, "streams", f"{name}-{uuid.uuid4().hex}")
     schema = stream.schema
 
-    done: list[int] = []
-
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         changes = newest_per_key(batch, keys, order)
@@ -122,13 +138,16 @@ def upsert_to_table(stream: DataFrame, name: str, keys: Sequence[str], order: Se
             current = session.read.schema(schema).parquet(f"{base}/version={batch_id - 1}")
             changes = newest_per_key(current.unionByName(changes), keys, order)
         changes.write.mode("overwrite").parquet(f"{base}/version={batch_id}")
-        done.append(batch_id)
+        for version, path in _versions(session, base).items():
+            if version < batch_id - 1:
+                path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     query = (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    done = _versions(spark, base)
     if not done:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{base}/version={max(done)}")
