@@ -186,7 +186,7 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
             texts = rows_of(batch, "text")
             found = [net.scores(texts[k : k + 128]) for k in range(0, len(texts), 128)]
             if found:
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": np.concatenate(found)})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": np.concatenate(found).round(6)})
 
     scored = map_arrow(docs, ["doc_id", "text"], work, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -292,7 +292,7 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
         scorer = Scorer(shared.value)
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": scorer.scores(rows_of(batch, "text"))})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": scorer.scores(rows_of(batch, "text")).round(6)})
 
     scored = map_arrow(docs, ["doc_id", "text"], work, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
