@@ -1,6 +1,7 @@
 """Facts and dimensions loaded from the operational tables.
 
-Columns an input does not have are null. Facts keep every line; the dimension side of each join
+Every mart has all its columns. Source columns named in a ``_have`` call are optional: without them
+the column is null. All others must be there, or building the mart fails. Facts keep every line; the dimension side of each join
 is unique per key, and hot keys of the fact side are sliced by ``join_spread``. Dimension numbers
 come from the sliced ordered count, not from one global window.
 """
@@ -22,6 +23,11 @@ def _have(df: DataFrame, names: str, kind: str = "string") -> list[Column]:
     return [F.col(n) if n in df.columns else F.lit(None).cast(kind).alias(n) for n in names.split()]
 
 
+def _absent(names: str, kind: str = "string") -> list[Column]:
+    """Columns that no source fills yet."""
+    return [F.lit(None).cast(kind).alias(n) for n in names.split()]
+
+
 def _fixed_values(**values) -> list[Column]:
     """Columns that carry a constant until a later job fills them."""
     return [F.lit(v).alias(n) for n, v in values.items()]
@@ -50,7 +56,15 @@ def sales_fact(orders: DataFrame, items: DataFrame, customers: DataFrame, produc
         "order_id", "order_date", "order_timestamp", *calendar("order_date", "order"), "customer_id",
         F.col("total_amount").cast("double").alias("order_total"),
         "order_status", *_have(sold, "payment_method payment_status shipping_country shipping_state shipping_city"),
+        *_have(sold, "order_shipping", "double"), *_have(sold, "created_at updated_at", "timestamp_ntz"),
+    )
+    # An order's own sums over its lines; one row an order, so no key of this join is hot.
+    cash = lambda c: F.sum(c).cast("double")
+    of_lines = items.groupBy("order_id").agg(
+        cash(F.col("unit_price") * F.col("quantity")).alias("order_subtotal"), cash("tax_amount").alias("order_tax"),
+        cash("discount_amount").alias("order_discount"),
     )
+    order_cols = order_cols.join(of_lines, "order_id", "left")
     buyer = customers.select(
         "customer_id", F.col("email").alias("customer_email"),
         F.concat("first_name", F.lit(" "), "last_name").alias("customer_name"),
@@ -87,13 +101,14 @@ def commerce_customer_dim(customers: DataFrame, slices: int | None = None) -> Da
     rows = customers.select(
         "customer_id", *_have(customers, "email first_name last_name"),
         F.concat("first_name", F.lit(" "), "last_name").alias("full_name"),
-        *_have(customers, "phone age_group gender shipping_city shipping_state shipping_country"),
+        *_have(customers, "phone age_group gender shipping_street shipping_city shipping_state shipping_zip shipping_country"),
         "total_orders", (orders * 3).alias("total_items_purchased"),
         value.alias("lifetime_value"),
         F.coalesce(ratio(value, F.when(orders > 0, orders)), F.lit(0.0)).alias("average_order_value"),
         "loyalty_tier", segment.alias("customer_segment"),
+        *_absent("days_since_first_order days_since_last_order", "int"), *_absent("rfm_score preferred_category"),
         *_have(customers, "preferred_payment_method"), *_have(customers, "marketing_opt_in", "boolean"),
-        *_current_version("created_at"),
+        *_current_version("created_at"), "created_at", *_have(customers, "updated_at", "timestamp_ntz"),
     )
     return surrogate_keys(rows, "customer_key", [F.asc("customer_id")], slices)
 
@@ -105,10 +120,12 @@ def product_dim(products: DataFrame, slices: int | None = None) -> DataFrame:
         price.alias("current_price"), cost.alias("cost"),
         F.when(cost > 0, ratio(price - cost, price) * 100).otherwise(0.0).alias("margin_percent"),
         *_fixed_values(total_units_sold=0, total_revenue=0, return_rate=0, days_out_of_stock=0),
-        *_have(products, "rating_avg", "double"), *_have(products, "rating_count", "int"),
+        *[c.alias("average_rating") for c in _have(products, "rating_avg", "double")],
+        *[c.alias("review_count") for c in _have(products, "rating_count", "int")],
+        *_have(products, "weight_kg", "double"), *_have(products, "dimensions_cm"), *_absent("discontinuation_date", "date"),
         F.col("stock_quantity").alias("current_stock"), *_have(products, "reorder_level", "int"),
         *_have(products, "is_active", "boolean"),
-        *_current_version("created_at"),
+        *_current_version("created_at"), "created_at", *_have(products, "updated_at", "timestamp_ntz"),
     )
     return surrogate_keys(rows, "product_key", [F.asc("product_id")], slices)
 
@@ -116,11 +133,14 @@ def product_dim(products: DataFrame, slices: int | None = None) -> DataFrame:
 MEASURES = "temperature humidity pressure energy_kwh co2_ppm pm25_ugm3 voc_ppb water_flow_lpm vibration_hz light_lux signal_strength battery_level"
 
 
+PLACE = "location_name location_building location_floor location_room"
+
+
 def metrics_fact(readings: DataFrame, devices: DataFrame, as_of: Moment) -> DataFrame:
     """Wide sensor rows from before today with their device and calendar parts."""
     at = F.col("reading_timestamp")
     old = readings.filter(at.cast("date") < day(as_of))
-    place = devices.select("device_id", *_have(devices, "device_name device_type manufacturer model location_building location_floor site_id zone"))
+    place = devices.select("device_id", *_have(devices, f"device_name device_type manufacturer model {PLACE} site_id zone"), *_have(devices, "latitude longitude", "double"))
     rows = join_spread(old, place, "device_id")
     date = at.cast("date")
     return rows.select(
@@ -129,6 +149,8 @@ def metrics_fact(readings: DataFrame, devices: DataFrame, as_of: Moment) -> Data
         F.hour(at).alias("reading_hour"), F.minute(at).alias("reading_minute"), iso_weekday(date).alias("day_of_week"),
         *[c for c in place.columns if c != "device_id"],
         *_have(rows, MEASURES, "double"), *_have(rows, "motion_detected", "boolean"),
+        *_have(rows, "gps_latitude gps_longitude gps_altitude gps_speed", "double"), *_have(rows, "data_quality"),
+        *_have(rows, "sequence_number", "long"), at.alias("created_at"),
         F.col("temperature").alias("temperature_celsius"),
         fahrenheit(F.col("temperature")).alias("temperature_fahrenheit"),
         *_fixed_values(is_anomaly=False, anomaly_score=0.0),
@@ -137,15 +159,19 @@ def metrics_fact(readings: DataFrame, devices: DataFrame, as_of: Moment) -> Data
 
 def device_dim(devices: DataFrame, as_of: Moment, slices: int | None = None) -> DataFrame:
     rows = devices.select(
-        "device_id", *_have(devices, "device_name device_type device_class manufacturer model firmware_version site_id zone"),
-        *_have(devices, "installed_at", "timestamp_ntz"),
+        "device_id", *_have(devices, f"device_name device_type device_class manufacturer model firmware_version {PLACE} site_id zone"),
+        *_have(devices, "latitude longitude", "double"),
+        F.col("installed_at").alias("installation_date"), *_have(devices, "warranty_expiry_date", "date"),
+        *_have(devices, "total_readings", "long"),
+        *[c.alias("avg_uptime_percentage") for c in _have(devices, "uptime_percentage", "double")],
+        *[c.alias("avg_signal_strength") for c in _have(devices, "signal_strength_dbm", "int")],
         F.col("battery_percent").alias("avg_battery_level"),
         *_fixed_values(total_downtime_hours=0, error_count=0, warning_count=0, alert_count=0, maintenance_count=0,
                        data_quality_score=85.0, anomaly_rate=0.02),
         F.col("status").alias("current_status"),
         F.col("last_heartbeat").alias("last_seen"),
         F.datediff(day(as_of), F.col("last_maintenance_date")).alias("days_since_last_maintenance"),
-        *_current_version("installed_at"),
+        *_current_version("installed_at"), F.col("installed_at").alias("created_at"), "updated_at",
     )
     return surrogate_keys(rows, "device_key", [F.asc("device_id")], slices)
 
@@ -210,12 +236,14 @@ def transaction_fact(transactions: DataFrame, accounts: DataFrame, customers: Da
         F.dayofmonth(date).alias("transaction_day"), F.hour(at).alias("transaction_hour"),
         iso_weekday(date).alias("day_of_week"), F.dayofmonth(date).alias("day_of_month"),
         F.weekofyear(date).alias("week_of_year"), F.quarter(date).alias("quarter"),
-        "transaction_type", amount.alias("amount"),
-        (after - before).alias("balance_change"),
+        "transaction_type", *_have(rows, "transaction_category"), amount.alias("amount"), *_have(rows, "currency"),
+        before, after, (after - before).alias("balance_change"),
         "account_type", "account_subtype", "customer_type", "customer_risk_rating", "customer_segment",
-        *_have(rows, "merchant_name merchant_category merchant_country channel"),
+        *_have(rows, "from_account_id to_account_id merchant_name merchant_category"), *_absent("merchant_category_code"),
+        *_have(rows, "location_city location_state"), F.col("merchant_country").alias("location_country"),
+        *_have(rows, "latitude longitude", "double"), *_have(rows, "channel device_id"),
         F.when(F.col("channel").isin("mobile", "online"), "digital").otherwise("physical").alias("device_type"),
-        "status", (F.col("status") == "completed").alias("is_completed"),
+        "status", (F.col("status") == "completed").alias("is_completed"), *_have(rows, "is_flagged", "boolean"),
         "fraud_score", (score > 0.7).alias("is_fraud"),
         bands(score, (0.8, "high_risk"), (0.5, "medium_risk"), otherwise="low_risk").alias("fraud_type"),
         (amount > 10000).alias("is_large_cash"), (score > 0.8).alias("requires_sar"),
@@ -223,6 +251,7 @@ def transaction_fact(transactions: DataFrame, accounts: DataFrame, customers: Da
         F.hour(at).between(9, 17).alias("is_business_hours"),
         (F.col("merchant_country") != "USA").alias("is_cross_border"),
         *_fixed_values(is_reversed=False, is_structured=False, is_high_risk_merchant=False),
+        *_have(rows, "created_at", "timestamp_ntz"),
     )
 
 
@@ -231,12 +260,15 @@ def account_dim(accounts: DataFrame, last_transactions: DataFrame, as_of: Moment
     rows = accounts.join(last_transactions, "account_id", "left").select(
         "account_id", "customer_id", *_have(accounts, "account_number"), "account_type", *_have(accounts, "account_subtype currency"),
         F.col("current_balance").cast("double").alias("current_balance"),
+        *_have(accounts, "available_balance credit_limit", "double"),
         F.col("current_balance").cast("double").alias("monthly_avg_balance"),
         F.datediff(day(as_of), F.col("opened_date")).alias("days_since_opened"),
         F.datediff(day(as_of), F.col("last_transaction_date")).alias("days_since_last_transaction"),
+        *_fixed_values(total_deposits=0, total_withdrawals=0, total_fees_paid=0, total_interest_earned=0, avg_transaction_amount=0,
+                       nsf_count=0, lifetime_fees=0, lifetime_interest=0, estimated_profitability=0),
         *_fixed_values(transaction_count=0, balance_volatility=0.0, overdraft_count=0, fraud_alert_count=0, risk_score=0.1),
-        "status", "opened_date", (F.col("status") == "active").alias("is_active"),
-        *_current_version("opened_date"),
+        "status", "opened_date", *_have(accounts, "closed_date", "date"), (F.col("status") == "active").alias("is_active"),
+        *_current_version("opened_date"), F.col("opened_date").alias("created_at"), *_have(accounts, "updated_at", "timestamp_ntz"),
     )
     return surrogate_keys(rows, "account_key", [F.asc("account_id")], slices)
 
@@ -245,6 +277,9 @@ def financial_customer_dim(customers: DataFrame, as_of: Moment, slices: int | No
     balance = F.col("total_balance").cast("double")
     rows = customers.select(
         "customer_id", *_have(customers, "customer_type first_name last_name business_name age_group city state country"),
+        *_have(customers, "credit_score", "int"), *_have(customers, "aml_risk_score", "double"),
+        *_have(customers, "kyc_status"), *_have(customers, "pep_status", "boolean"), *_have(customers, "kyc_verified_date sanctions_check_date", "date"),
+        *_absent("preferred_channel preferred_transaction_type"),
         "total_accounts", F.col("total_accounts").alias("active_accounts"), F.col("total_accounts").alias("products_held"),
         balance.alias("total_balance"),
         F.datediff(day(as_of), F.col("created_at").cast("date")).alias("relationship_length_days"),
@@ -254,6 +289,6 @@ def financial_customer_dim(customers: DataFrame, as_of: Moment, slices: int | No
         balance_segment(F.col("total_balance")).alias("customer_segment"),
         "status", F.col("created_at").cast("date").alias("customer_since"),
         F.col("last_login").cast("date").alias("last_contact_date"),
-        *_current_version("created_at"),
+        *_current_version("created_at"), "created_at", *_have(customers, "updated_at", "timestamp_ntz"),
     )
     return surrogate_keys(rows, "customer_key", [F.asc("customer_id")], slices)

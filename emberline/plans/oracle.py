@@ -644,33 +644,38 @@ _SQL["sales_fact"] = f"""
            {d('t.unit_price')} AS unit_price, {d('t.discount_amount')} AS discount_amount, {d('t.tax_amount')} AS tax_amount, {d('t.line_total')} AS line_total,
            o.order_date, o.order_timestamp, {i('year(o.order_date)')} AS order_year, {i('month(o.order_date)')} AS order_month, {i('day(o.order_date)')} AS order_day,
            {i('isodow(o.order_date)')} AS order_day_of_week, {i('quarter(o.order_date)')} AS order_quarter, o.customer_id, {d('o.total_amount')} AS order_total, o.order_status,
-           o.payment_method, NULL::VARCHAR AS payment_status, o.shipping_country, o.shipping_state, NULL::VARCHAR AS shipping_city, c.email AS customer_email,
+           o.payment_method, NULL::VARCHAR AS payment_status, o.shipping_country, o.shipping_state, NULL::VARCHAR AS shipping_city, NULL::DOUBLE AS order_shipping,
+           {nulls('created_at updated_at', 'TIMESTAMP')}, {d('q.subtotal')} AS order_subtotal, {d('q.tax')} AS order_tax, {d('q.off')} AS order_discount, c.email AS customer_email,
            c.first_name || ' ' || c.last_name AS customer_name, c.loyalty_tier AS customer_loyalty_tier, {SEGMENT.format('c.lifetime_value', '')} AS customer_segment,
            c.total_orders = 1 AS is_first_purchase, p.category AS product_category, p.subcategory AS product_subcategory, p.brand AS product_brand,
            o.order_status = 'returned' AS is_returned, t.discount_amount > 0 AS is_discounted
     FROM in_items t JOIN in_archive o USING (order_id) JOIN in_customers c ON c.customer_id = o.customer_id JOIN in_products p ON p.product_id = t.product_id
+    JOIN (SELECT order_id, sum(unit_price * quantity) AS subtotal, sum(tax_amount) AS tax, sum(discount_amount) AS off FROM in_items GROUP BY 1) q ON q.order_id = t.order_id
     WHERE o.order_status IN ('delivered', 'returned')"""
 _SQL["commerce_customer_dim"] = f"""
     SELECT row_number() OVER (ORDER BY customer_id) AS customer_key, customer_id, email, first_name, last_name, first_name || ' ' || last_name AS full_name,
-           {nulls('phone age_group gender shipping_city shipping_state shipping_country preferred_payment_method')}, total_orders, total_orders * 3 AS total_items_purchased,
+           {nulls('phone age_group gender shipping_street shipping_city shipping_state shipping_zip shipping_country preferred_payment_method rfm_score preferred_category')},
+           {nulls('days_since_first_order days_since_last_order', 'BIGINT')}, created_at, {nulls('updated_at', 'TIMESTAMP')}, total_orders, total_orders * 3 AS total_items_purchased,
            {d('lifetime_value')} AS lifetime_value, {r('CASE WHEN total_orders > 0 THEN lifetime_value::DOUBLE / total_orders ELSE 0 END')} AS average_order_value, loyalty_tier,
            {SEGMENT.format('lifetime_value', "WHEN total_orders = 0 THEN 'new'")} AS customer_segment, marketing_opt_in, {VERSION.format('created_at')} FROM in_customers"""
 _SQL["product_dim"] = f"""
     SELECT row_number() OVER (ORDER BY product_id) AS product_key, product_id, sku, name, NULL::VARCHAR AS description, category, subcategory, brand, {d('price')} AS current_price,
            {d('cost')} AS cost, {r('CASE WHEN cost > 0 THEN (price::DOUBLE - cost::DOUBLE) / price::DOUBLE * 100 ELSE 0 END')} AS margin_percent,
-           0::BIGINT AS total_units_sold, 0::BIGINT AS total_revenue, 0::BIGINT AS return_rate, 0::BIGINT AS days_out_of_stock, NULL::DOUBLE AS rating_avg, NULL::BIGINT AS rating_count,
+           0::BIGINT AS total_units_sold, 0::BIGINT AS total_revenue, 0::BIGINT AS return_rate, 0::BIGINT AS days_out_of_stock, NULL::DOUBLE AS average_rating, NULL::BIGINT AS review_count,
+           NULL::DOUBLE AS weight_kg, {nulls('dimensions_cm')}, NULL::DATE AS discontinuation_date, created_at, {nulls('updated_at', 'TIMESTAMP')},
            stock_quantity AS current_stock, 10::BIGINT AS reorder_level, is_active, {VERSION.format('created_at')} FROM in_products"""
 _SQL["metrics_fact"] = f"""
     SELECT w.reading_id, w.device_id, w.reading_timestamp, CAST(w.reading_timestamp AS DATE) AS reading_date, {i('year(w.reading_timestamp)')} AS reading_year,
            {i('month(w.reading_timestamp)')} AS reading_month, {i('day(w.reading_timestamp)')} AS reading_day, {i('hour(w.reading_timestamp)')} AS reading_hour,
-           {i('minute(w.reading_timestamp)')} AS reading_minute, {i('isodow(w.reading_timestamp)')} AS day_of_week, {nulls('device_name manufacturer location_building location_floor')},
-           v.device_type, v.model, v.site_id, v.zone, w.temperature, w.humidity, w.pressure, w.energy_kwh, w.co2_ppm, w.pm25_ugm3, w.voc_ppb, w.water_flow_lpm,
+           {i('minute(w.reading_timestamp)')} AS reading_minute, {i('isodow(w.reading_timestamp)')} AS day_of_week, {nulls('device_name manufacturer location_name location_building location_floor location_room data_quality')},
+           {nulls('latitude longitude gps_latitude gps_longitude gps_altitude gps_speed', 'DOUBLE')}, NULL::BIGINT AS sequence_number, w.reading_timestamp AS created_at, v.device_type, v.model, v.site_id, v.zone, w.temperature, w.humidity, w.pressure, w.energy_kwh, w.co2_ppm, w.pm25_ugm3, w.voc_ppb, w.water_flow_lpm,
            NULL::DOUBLE AS vibration_hz, NULL::DOUBLE AS light_lux, w.signal_strength, w.battery_level, w.motion_detected, w.temperature AS temperature_celsius,
            {r('w.temperature * 9.0::DOUBLE / 5.0::DOUBLE + 32')} AS temperature_fahrenheit, false AS is_anomaly, 0.0::DOUBLE AS anomaly_score
     FROM in_wide w JOIN in_devices v USING (device_id) WHERE CAST(w.reading_timestamp AS DATE) < DATE '2024-01-30'"""
 _SQL["device_dim"] = f"""
-    SELECT row_number() OVER (ORDER BY device_id) AS device_key, device_id, {nulls('device_name manufacturer')}, device_type, device_class, model, firmware_version, site_id, zone,
-           installed_at, battery_percent AS avg_battery_level, 0::BIGINT AS total_downtime_hours, 0::BIGINT AS error_count, 0::BIGINT AS warning_count, 0::BIGINT AS alert_count,
+    SELECT row_number() OVER (ORDER BY device_id) AS device_key, device_id, {nulls('device_name manufacturer location_name location_building location_floor location_room')}, device_type, device_class, model, firmware_version, site_id, zone,
+           {nulls('latitude longitude avg_uptime_percentage', 'DOUBLE')}, NULL::DATE AS warranty_expiry_date, NULL::BIGINT AS total_readings, signal_strength_dbm AS avg_signal_strength,
+           installed_at AS created_at, updated_at, installed_at AS installation_date, battery_percent AS avg_battery_level, 0::BIGINT AS total_downtime_hours, 0::BIGINT AS error_count, 0::BIGINT AS warning_count, 0::BIGINT AS alert_count,
            0::BIGINT AS maintenance_count, 85.0::DOUBLE AS data_quality_score, 0.02::DOUBLE AS anomaly_rate, status AS current_status, last_heartbeat AS last_seen,
            date_diff('day', DATE '2023-06-01' + CAST(CAST(device_id AS BIGINT) % 200 AS INTEGER), CAST({NOW} AS DATE)) AS days_since_last_maintenance, {VERSION.format('installed_at')}
     FROM in_devices"""
@@ -698,21 +703,25 @@ _SQL["transaction_fact"] = f"""
     SELECT t.transaction_id, t.account_id, a.customer_id, t.txn_timestamp AS transaction_timestamp, t.txn_date AS transaction_date, {i('year(t.txn_date)')} AS transaction_year,
            {i('month(t.txn_date)')} AS transaction_month, {i('day(t.txn_date)')} AS transaction_day, {i('hour(t.txn_timestamp)')} AS transaction_hour,
            {i('isodow(t.txn_date)')} AS day_of_week, {i('day(t.txn_date)')} AS day_of_month, {i('weekofyear(t.txn_date)')} AS week_of_year, {i('quarter(t.txn_date)')} AS quarter,
-           t.transaction_type, {d('t.amount')} AS amount, NULL::DOUBLE AS balance_change, a.account_type, NULL::VARCHAR AS account_subtype, c.customer_type,
-           c.risk_tier AS customer_risk_rating, {BALANCE} AS customer_segment, t.merchant_name, t.merchant_category, t.merchant_country, t.channel,
+           t.transaction_type, {d('t.amount')} AS amount, NULL::DOUBLE AS balance_change, {nulls('balance_before balance_after latitude longitude', 'DOUBLE')}, NULL::BOOLEAN AS is_flagged,
+           {nulls('transaction_category currency from_account_id to_account_id merchant_category_code location_city location_state device_id')}, {nulls('created_at', 'TIMESTAMP')}, a.account_type, NULL::VARCHAR AS account_subtype, c.customer_type,
+           c.risk_tier AS customer_risk_rating, {BALANCE} AS customer_segment, t.merchant_name, t.merchant_category, t.merchant_country AS location_country, t.channel,
            CASE WHEN t.channel IN ('mobile', 'online') THEN 'digital' ELSE 'physical' END AS device_type, t.status, t.status = 'completed' AS is_completed, t.fraud_score,
            t.fraud_score > 0.7::DOUBLE AS is_fraud, CASE WHEN t.fraud_score > 0.8::DOUBLE THEN 'high_risk' WHEN t.fraud_score > 0.5::DOUBLE THEN 'medium_risk' ELSE 'low_risk' END AS fraud_type,
            t.amount > 10000 AS is_large_cash, t.fraud_score > 0.8::DOUBLE AS requires_sar, isodow(t.txn_date) IN (6, 7) AS is_weekend,
            hour(t.txn_timestamp) BETWEEN 9 AND 17 AS is_business_hours, t.merchant_country <> 'USA' AS is_cross_border, false AS is_reversed, false AS is_structured, false AS is_high_risk_merchant
     FROM in_txn_archive t JOIN in_accounts a ON a.account_id = t.account_id JOIN in_fin_customers c ON c.customer_id = a.customer_id WHERE t.txn_date < {TODAY}"""
 _SQL["account_dim"] = f"""
-    SELECT row_number() OVER (ORDER BY account_id) AS account_key, account_id, customer_id, {nulls('account_number account_subtype currency')}, account_type,
+    SELECT row_number() OVER (ORDER BY account_id) AS account_key, account_id, customer_id, {nulls('account_number account_subtype currency')}, account_type, {nulls('available_balance credit_limit', 'DOUBLE')}, NULL::DATE AS closed_date,
+           0::BIGINT AS total_deposits, 0::BIGINT AS total_withdrawals, 0::BIGINT AS total_fees_paid, 0::BIGINT AS total_interest_earned, 0::BIGINT AS avg_transaction_amount,
+           0::BIGINT AS nsf_count, 0::BIGINT AS lifetime_fees, 0::BIGINT AS lifetime_interest, 0::BIGINT AS estimated_profitability, opened_date AS created_at, {nulls('updated_at', 'TIMESTAMP')},
            {d('current_balance')} AS current_balance, {d('current_balance')} AS monthly_avg_balance, date_diff('day', opened_date, {TODAY}) AS days_since_opened,
            date_diff('day', last, {TODAY}) AS days_since_last_transaction, 0::BIGINT AS transaction_count, 0.0::DOUBLE AS balance_volatility, 0::BIGINT AS overdraft_count,
            0::BIGINT AS fraud_alert_count, 0.1::DOUBLE AS risk_score, status, opened_date, status = 'active' AS is_active, {VERSION.format('opened_date')}
     FROM in_accounts LEFT JOIN (SELECT account_id, max(txn_date) AS last FROM in_txn_archive GROUP BY 1) USING (account_id)"""
 _SQL["financial_customer_dim"] = f"""
-    SELECT row_number() OVER (ORDER BY customer_id) AS customer_key, customer_id, customer_type, first_name, last_name, {nulls('business_name age_group city state country')},
+    SELECT row_number() OVER (ORDER BY customer_id) AS customer_key, customer_id, customer_type, first_name, last_name, {nulls('business_name age_group city state country kyc_status preferred_channel preferred_transaction_type')},
+           NULL::BIGINT AS credit_score, NULL::DOUBLE AS aml_risk_score, NULL::BOOLEAN AS pep_status, {nulls('kyc_verified_date sanctions_check_date', 'DATE')}, created_at, {nulls('updated_at', 'TIMESTAMP')},
            total_accounts, total_accounts AS active_accounts, total_accounts AS products_held, {d('total_balance')} AS total_balance,
            date_diff('day', created_at, {TODAY}) AS relationship_length_days, risk_tier AS risk_rating, risk_tier = 'high' AS requires_enhanced_dd, 0::BIGINT AS total_transactions,
            0::BIGINT AS avg_transaction_amount, 0.5::DOUBLE AS cross_sell_score, 0::BIGINT AS fraud_incidents, {d('total_balance')} AS lifetime_value,
