@@ -334,6 +334,35 @@ _SQL["device_page_by_battery"] = f"""
 _SQL["anomalous_devices"] = f"SELECT {FLEET_COLS} FROM in_fleet WHERE anomaly_status = 'anomalous' ORDER BY {BY_HEARTBEAT} LIMIT 100"
 _SQL["anomalous_on_page"] = f"""
     SELECT * FROM (SELECT {FLEET_COLS} FROM in_fleet WHERE status = 'online' ORDER BY {BY_HEARTBEAT} LIMIT 25) WHERE anomaly_status = 'anomalous'"""
+_SQL["one_device"] = f"SELECT {DEVICE_COLS} FROM in_devices WHERE device_id = '42'"
+_SQL["devices_of_site_by_status"] = f"SELECT {DEVICE_COLS} FROM in_devices WHERE site_id = 'SITE-3' AND status = 'online'"
+_SQL["alerts_of_devices"] = f"SELECT {ALERT_COLS} FROM in_alerts_month WHERE device_id IN ('7', '42', '99')"
+def scaled(expr: str, places: int) -> str:
+    """A DOUBLE's shortest decimal form, rounded half up to so many places, as text."""
+    return f"CAST(CAST(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,18)) AS DECIMAL(18,{places})) AS VARCHAR)"
+
+
+_SQL["baseline_rows_outward"] = f"""
+    SELECT device_id AS "deviceId", metric_name AS "metricName", {scaled('baseline_avg', 4)} AS "baselineAvg", {scaled('baseline_p95', 4)} AS "baselineP95",
+           {scaled('baseline_min', 4)} AS "baselineMin", {scaled('baseline_max', 4)} AS "baselineMax", {scaled('baseline_stddev', 4)} AS "baselineStddev",
+           sample_count AS "sampleCount", baseline_hours AS "baselineWindowHoursCovered" FROM in_baseline"""
+_VALUE = "metric_value::DOUBLE"
+_SQL["anomaly_reasons"] = f"""
+    SELECT device_id, metric_name, reason_code,
+           CASE reason_code WHEN 'no_baseline' THEN 'There is no baseline to compare with' WHEN 'no_usable_reading' THEN 'There is no reading of usable quality'
+                WHEN 'above_p95' THEN {scaled(_VALUE, 2)} || ' is above the baseline p95 of ' || {scaled('baseline_p95', 2)}
+                WHEN 'deviation' THEN {scaled(_VALUE, 2)} || ' is ' || {scaled(f'abs({_VALUE} - baseline_avg)', 2)} || ' away from the baseline mean of '
+                    || {scaled('baseline_avg', 2)} || '; ' || {scaled('greatest(2 * baseline_stddev, 0.1::DOUBLE * baseline_avg)', 2)} || ' is allowed' END AS reason
+    FROM in_health"""
+_SQL["health_entries"] = _SQL["metric_health"] + " WHERE device_id IN (SELECT device_id FROM in_devices)"
+_SQL["site_list_in_order"] = "SELECT site_id, row_number() OVER (ORDER BY site_id) AS place FROM (SELECT DISTINCT site_id FROM in_devices WHERE site_id <> '')"
+_SQL["newest_readings_in_order"] = """
+    SELECT row_number() OVER (ORDER BY reading_timestamp DESC, device_id, metric_name) AS place, device_id, metric_name, reading_timestamp FROM in_readings
+    WHERE device_id IN ('7', '42', '99', '100') AND reading_timestamp BETWEEN TIMESTAMP '2024-01-15 11:10:00' AND TIMESTAMP '2024-01-15 12:10:00'"""
+_SQL["device_page_by_signal"] = f"SELECT {FLEET_COLS} FROM in_fleet ORDER BY signal_strength_dbm NULLS LAST, device_id LIMIT 25"
+_SQL["device_page_by_status"] = f"SELECT {FLEET_COLS} FROM in_fleet ORDER BY status NULLS LAST, device_id LIMIT 25"
+_SQL["device_page_by_anomaly"] = f"""
+    SELECT {FLEET_COLS} FROM in_fleet ORDER BY CASE anomaly_status WHEN 'anomalous' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END, device_id LIMIT 25"""
 _SQL["site_list"] = "SELECT DISTINCT site_id FROM in_devices WHERE site_id <> ''"
 _SQL["fleet_tiles"] = """
     SELECT count(*) AS total, count(*) FILTER (status = 'online') AS online_count, count(*) FILTER (status = 'warning') AS warning_count,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.numbers import fixed
 from ..functions.times import day, instant, iso_weekday, monday_of, month_of
@@ -340,6 +340,76 @@ def spend_monitor(t):
     return federated.spend_monitor(t.card_transactions(), t.transactions_archive(), BUSINESS_TODAY, days=365)
 
 
+# --- lookups, orders and shapes -----------------------------------------------------------------
+
+
+@query
+def one_device(t):
+    return health.device_by_id(t.device_state(), "42", check_form=False)
+
+
+@query
+def devices_of_site_by_status(t):
+    return health.matching_devices(t.device_state(), "SITE-3", "online")
+
+
+@query
+def alerts_of_devices(t):
+    return health.alerts_of(t.alerts_open(720), ["7", "42", "99"])
+
+
+@query
+def baseline_rows_outward(t):
+    return health.baseline_shape(_baseline(t))
+
+
+@query
+def anomaly_reasons(t):
+    rows = health.metric_health(_hot(t), _baseline(t))
+    return rows.select("device_id", "metric_name", "reason_code", health.reason_text().alias("reason"))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Rows with their place, so that an order can be held against a twin that is compared as a set. For short lists."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+
+
+@query
+def site_list_in_order(t):
+    return _placed(health.site_ids(t.device_state()).coalesce(1))
+
+
+@query
+def newest_readings_in_order(t):
+    return _placed(health.recent_readings(t.readings(), IOT_PAST, device_ids=["7", "42", "99", "100"]).coalesce(1)).select(
+        "place", "device_id", "metric_name", "reading_timestamp"
+    )
+
+
+@query
+def device_page_by_signal(t):
+    return health.list_devices(t.device_state(), t.alerts_open(), _hot(t), _baseline(t), sort="signalStrength:asc").items
+
+
+@query
+def device_page_by_status(t):
+    return health.list_devices(t.device_state(), t.alerts_open(), _hot(t), _baseline(t), sort="status:asc").items
+
+
+@query
+def device_page_by_anomaly(t):
+    return health.list_devices(t.device_state(), t.alerts_open(), _hot(t), _baseline(t), sort="anomalyStatus:desc").items
+
+
+@query
+def health_entries(t):
+    """Every field of the health documents' metric entries."""
+    devices = t.device_state().select("device_id", "status", "battery_percent")
+    doc = health.device_health(devices, _hot(t), t.alerts_open(), _baseline(t)).document
+    entry = doc.select("device_id", F.explode("metric_health").alias("m")).select("device_id", "m.*")
+    return entry
+
+
 # --- the same questions at an instant inside the data: nothing later may enter -----------------
 
 IOT_PAST, BUSINESS_PAST = "2024-01-15 12:10:00", "1998-06-01"
