@@ -10,6 +10,7 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 
 import __spark_entry__ as entry  # noqa: E402
 import compare  # noqa: E402
+from emberline.plans import registry  # noqa: E402
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -19,7 +20,7 @@ def con():
     return compare.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_twin(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     twins = entry.oracle_sql()
