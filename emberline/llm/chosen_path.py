@@ -6,9 +6,12 @@ one of them: sets with the same value share a node. A node that is small is comp
 left is compared in whatever size it has. Two sets of similarity s share a first node of a given tree with probability s, so
 at 0.75 all trees miss a pair with probability 0.25 ** TREES.
 
-Only links that can still join two components matter. So equal sets are one vertex from the start; then every set of a node
-is held against the node's smallest one; and a pair is compared later only if its ends are in different components by then.
-A large group of near copies thus costs a comparison or two a member. Tokens only choose pairs: a link is confirmed on the full sets.
+Only links that can still join two components matter. So equal sets are one vertex from the start, and every set of a root node is
+held against the node's smallest one, its pivot, in full: how much they share, and what the set has besides. After that a pair needs
+a look only if its ends are in different components. Two sets that were both held against one pivot share at most the smaller
+of what each shares with it, and what both have besides; so only pairs that have some of the same besides, or sizes that leave room, go on. In a
+large group of near copies next to none do. The other pairs of a node, with an end that is unlike its pivot, go on if their tokens agree.
+Tokens only choose pairs: a link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -22,18 +25,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settled
-from .common import map_arrow, mixed, release, rows_of, word_list
+from .common import discard, map_arrow, mixed, release, rows_of, word_list
 from .graph import components
 
 SHINGLE = 5
 PERCENT = 75
 TOKENS, TREES, BRANCHES, DEPTH = 64, 20, 8, 3
-#: A pair goes to the confirmation if this many of its tokens agree: 48 are expected at the threshold, 28 lie 5.8 deviations below.
-AGREEING = 28
-#: A node is small if it has at most this many pairs of different components for each of its sets.
-PAIRS_A_SET = 128
+#: For comparisons a set has 126 tokens of a byte each, seven to a long. A pair goes to the confirmation if 70 of them agree: 94.5 are
+#: expected at the threshold and 70 lie five deviations below. Inside nodes the first 42 are looked at: 31.5 and 17.
+LONGS, AGREEING, FIRST_LONGS, FIRST_AGREEING = 18, 70, 6, 17
+#: A node is small if it has at most this many sets that are unlike its pivot.
+SMALL = 1_000
 
-_ODD = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
+_ODD = mixed(np.arange(1, 7 * LONGS + 1, dtype=np.uint64)) | np.uint64(1)
 _HIGH = np.uint64(32)
 
 
@@ -53,47 +57,65 @@ def shingles(text: str | None) -> np.ndarray:
 
 def tokens(of: np.ndarray) -> np.ndarray:
     """The minwise tokens of a non-empty set."""
-    low = np.full(TOKENS, np.iinfo(np.uint32).max, np.uint32)
-    for k in range(0, len(of), 2048):
-        low = np.minimum(low, ((of[k : k + 2048, None] * _ODD) >> _HIGH).astype(np.uint32).min(axis=0))
-    return low.view(np.int32)
+    low = np.full(len(_ODD), np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(of), 1024):
+        low = np.minimum(low, ((of[k : k + 1024, None] * _ODD) >> _HIGH).astype(np.uint32).min(axis=0))
+    return low
+
+
+def packed(low: np.ndarray) -> np.ndarray:
+    """A byte of each token, seven to a long, the highest byte left empty."""
+    parts = (mixed(low) & np.uint64(255)).reshape(LONGS, 7) << (np.arange(7, dtype=np.uint64) * np.uint64(8))
+    return parts.sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Per row doc_id, n_shingles, a 128-bit digest of the set, and its tokens (null where the set is empty)."""
+    """Per row doc_id, n_shingles, a 128-bit digest of the set, and its tokens, whole and packed (null where the set is empty)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, sig = [], [], [], []
+            n, d1, d2, tok, sig = [], [], [], [], []
             for text in rows_of(batch, "text"):
                 s = shingles(text)
                 n.append(len(s))
                 d1.append(int(mixed(s).sum().view(np.int64)) if len(s) else 0)
                 d2.append(int(mixed(s ^ np.uint64(0x9E3779B97F4A7C15)).sum().view(np.int64)) if len(s) else 0)
-                sig.append(tokens(s) if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64()), "sig": pa.array(sig, pa.list_(pa.int32()))})
+                low = tokens(s) if len(s) else None
+                tok.append(None if low is None else low[:TOKENS].view(np.int32))
+                sig.append(None if low is None else packed(low))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64()), "tok": pa.array(tok, pa.list_(pa.int32())), "sig": pa.array(sig, pa.list_(pa.int64()))})
 
-    return map_arrow(docs, ["doc_id", "text"], work, "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
+    return map_arrow(docs, ["doc_id", "text"], work, "doc_id long, n_shingles long, d1 long, d2 long, tok array<int>, sig array<long>")
 
 
 def _near_sizes(a: str, b: str) -> Column:
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
 
 
-def _agree(a: str, b: str) -> Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) >= {AGREEING}")
+def _agree(a: str, b: str, longs: int, least: int) -> Column:
+    """Whether ``least`` of the tokens in the first ``longs`` are equal: bytes of the difference that are zero leave their high bit."""
+    low = 0x007F7F7F7F7F7F7F
+    same = [f"bit_count(~((((({a}[{k}] ^ {b}[{k}]) & {low}L) + {low}L) | ({a}[{k}] ^ {b}[{k}])) | {low}L) & {0x0080808080808080}L)" for k in range(longs)]
+    return F.expr(" + ".join(same) + f" >= {least}")
 
 
 def _by_token(df: DataFrame, which: Column) -> DataFrame:
     """One row for each set and chosen token; ``key`` names the node the token leads to, from the node the row is in."""
-    keep = [c for c in df.columns if c != "key"]
-    chosen = df.withColumn("pos", F.explode(which))
+    keep = [c for c in df.columns if c not in ("key", "tok")]
     above = F.col("key") if "key" in df.columns else F.lit(0).cast("long")
-    return chosen.select(*keep, F.xxhash64(above, "pos", F.element_at("sig", F.col("pos") + 1)).alias("key"))
+    chosen = df.withColumn("pos", F.explode(which))
+    return chosen.select(*keep, F.xxhash64(above, "pos", F.element_at("tok", F.col("pos") + 1)).alias("key"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are as similar as the threshold asks."""
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that agree in enough of all packed tokens."""
+    sig = sets.select("v", "sig")
+    met = pairs.join(sig.select(F.col("v").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("v").alias("b"), F.col("sig").alias("sb")), "b")
+    return met.filter(_agree("sa", "sb", LONGS, AGREEING)).select("a", "b")
+
+
+def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids with their full sets' sizes, how much they share, whether they link, and what ``a`` has besides."""
     pairs = settled(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = settled(docs.select("doc_id", "text").join(ids, "doc_id"))
@@ -112,66 +134,102 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             return known[text]
 
         for batch in batches:
-            keep = []
+            na, nb, shared, besides = [], [], [], []
             for ta, tb in zip(rows_of(batch, "text_a"), rows_of(batch, "text_b")):
                 x, y = shingles(ta), set_of(tb or "")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared > 0 and 100 * shared >= PERCENT * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                rest = np.setdiff1d(x, y, assume_unique=True)
+                na.append(len(x))
+                nb.append(len(y))
+                shared.append(len(x) - len(rest))
+                besides.append(rest.view(np.int64))
+            sizes = {"na": pa.array(na, pa.int64()), "nb": pa.array(nb, pa.int64()), "shared": pa.array(shared, pa.int64())}
+            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), **sizes, "besides": pa.array(besides, pa.list_(pa.int64()))})
+
+    found = map_arrow(both, ["a", "b", "text_a", "text_b"], work, "a long, b long, na long, nb long, shared long, besides array<long>")
+    out = settled(found.withColumn("link", _alike("shared", "na", "nb")))
+    discard(texts)
+    return out
 
-    return settled(map_arrow(both, ["a", "b", "text_a", "text_b"], work, "a long, b long").distinct())
+
+def _alike(shared: str, na: str, nb: str) -> Column:
+    return F.expr(f"{shared} > 0 and 100 * {shared} >= {PERCENT} * ({na} + {nb} - {shared})")
 
 
 def _first_pairs(sets: DataFrame) -> DataFrame:
     """Every set of a root node against the node's smallest id."""
-    at = _by_token(sets.select("v", "n", "sig"), F.sequence(F.lit(0), F.lit(TREES - 1))).select("key", "v", "n")
+    at = _by_token(sets.select("v", "n", "tok"), F.sequence(F.lit(0), F.lit(TREES - 1)))
     nodes = at.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("v", "n")).alias("first")).filter("c > 1").select("key", F.col("first.v").alias("b"), F.col("first.n").alias("nb"))
+    nodes = settled(nodes)  # a table of its own, so that Spark can split a hot node of the join below
     pairs = at.join(nodes, "key").filter((F.col("v") != F.col("b")) & _near_sizes("n", "nb")).select(F.col("v").alias("a"), "b").distinct()
-    tokens_of = sets.select("v", "sig")
-    return (
-        pairs.join(tokens_of.select(F.col("v").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(tokens_of.select(F.col("v").alias("b"), F.col("sig").alias("sb")), "b")
-        .filter(_agree("sa", "sb")).select("a", "b")
-    )
+    return _likely(pairs, sets)
+
+
+def _pairs_at_pivots(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of sets held against one pivot, the pairs across components that may be alike by what each shares with the pivot and what
+    both have besides. Pairs that have nothing the same besides meet by size: the other one must be small enough to be alike."""
+    rows = held.select(F.col("b").alias("p"), F.col("a").alias("v"), F.col("na").alias("n"), F.col("shared").alias("i"), "besides")
+    rows = rows.join(labels, "v").join(labels.select(F.col("v").alias("p"), F.col("label").alias("main")), "p")
+    rows = settled(rows)
+    names = {"v": "w", "n": "m", "i": "j", "label": "other"}
+    plain = ["p", "v", "n", "i", "label"]
+    outside = rows.filter("label <> main")
+    apart = (F.col("label") != F.col("other")) & (F.col("v") != F.col("w")) & _near_sizes("n", "m")
+
+    sharing = outside.select(*plain, F.explode("besides").alias("s"))
+    sharing = sharing.join(rows.select(*plain, F.explode("besides").alias("s")).withColumnsRenamed(names), ["p", "s"]).filter(apart)
+    sharing = sharing.groupBy("p", "v", "w").agg(F.count("*").alias("same"), *[F.first(c).alias(c) for c in ("n", "m", "i", "j")])
+    sharing = sharing.withColumn("most", F.least("i", "j") + F.col("same")).filter(_alike("most", "n", "m"))
+
+    def step(size: Column) -> Column:
+        return F.floor(F.log(size) * 20).cast("int")
+
+    # 100 * i >= PERCENT * (n + m - i), solved for the other's size m
+    room = F.floor(F.col("i") * (100 + PERCENT) / PERCENT) - F.col("n")
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    by_size = outside.select(*plain).filter(room >= least).withColumn("step", F.explode(F.sequence(step(least), step(room))))
+    by_size = by_size.join(rows.select(*plain, step(F.col("n")).alias("step")).withColumnsRenamed(names), ["p", "step"])
+    by_size = by_size.filter(apart & _alike("least(i, j)", "n", "m"))
+    return sharing.select("v", "w").unionByName(by_size.select("v", "w")).select(F.greatest("v", "w").alias("a"), F.least("v", "w").alias("b"))
 
 
 def _open(at: DataFrame) -> DataFrame:
-    """Rows of nodes that hold more than one component, with the component most of the node's sets are in and whether the node is
-    small. Counting is by (node, component), so a large group is a few rows."""
-    tally = at.groupBy("key", "label").agg(F.count("*").alias("k"))
-    nodes = tally.groupBy("key").agg(F.count("*").alias("labels"), F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max(F.struct("k", "label")).alias("most"))
-    nodes = nodes.filter("labels > 1").select("key", F.col("most.label").alias("main"), (F.expr("(c * c - squares) / 2") <= F.col("c") * PAIRS_A_SET).alias("small"))
-    return at.join(nodes, "key")
-
-
-def _across(rows: DataFrame, tokens_of: DataFrame) -> DataFrame:
-    """Pairs of different components that share a node and agree in enough tokens. One end is outside the node's main component."""
-    rows = rows.join(tokens_of, "v")
-    a = rows.filter("label <> main").select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("sig").alias("sa"))
-    b = rows.select(F.col("key").alias("key_b"), F.col("v").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("sig").alias("sb"), (F.col("label") == F.col("main")).alias("in_main"))
-    once = F.col("in_main") | (F.col("a") > F.col("b"))
-    met = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("la") != F.col("lb")) & once & _near_sizes("na", "nb") & _agree("sa", "sb"))
+    """Rows of nodes that hold more than one component and a set that is unlike the pivot, and whether the node is small. Counting is by
+    (node, component), so a large group is a few rows."""
+    tally = at.groupBy("key", "label").agg(F.count(F.when(F.col("unlike"), 1)).alias("z"))
+    nodes = tally.groupBy("key").agg(F.count("*").alias("labels"), F.sum("z").alias("z")).filter("labels > 1 and z > 0")
+    return at.join(settled(nodes.select("key", (F.col("z") <= SMALL).alias("small"))), "key")
+
+
+def _across(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components that share a node and agree in enough tokens. One end is unlike the pivot."""
+    rows = rows.join(sets.select("v", F.slice("sig", 1, FIRST_LONGS).alias("sig")), "v")
+    a = rows.filter("unlike").select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("sig").alias("sa"))
+    b = rows.select(F.col("key").alias("key_b"), F.col("v").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("sig").alias("sb"), F.col("unlike").alias("both"))
+    once = ~F.col("both") | (F.col("a") > F.col("b"))
+    met = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("la") != F.col("lb")) & once & _near_sizes("na", "nb") & _agree("sa", "sb", FIRST_LONGS, FIRST_AGREEING))
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def _later_pairs(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs between components, from all trees, each node down to where it is small."""
-    tokens_of = sets.select("v", "sig")
-    labelled = sets.join(groups.withColumnRenamed("component", "label"), "v", "left").withColumn("label", F.coalesce("label", "v")).select("v", "n", "sig", "label")
-    rows = _by_token(labelled, F.sequence(F.lit(0), F.lit(TREES - 1)))
+def _pairs_in_nodes(sets: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs between components, from all trees, each node down to where it is small, with an end unlike the root node's pivot."""
+    rows = _by_token(sets.join(labels, "v").select("v", "n", "tok", "label"), F.sequence(F.lit(0), F.lit(TREES - 1)))
+    pivots = rows.groupBy("key").agg(F.min("v").alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "p")
+    pivots = settled(pivots)
+    known = held.select(F.col("a").alias("v"), F.col("b").alias("p"), F.lit(False).alias("unlike"))
+    rows = rows.join(pivots, "key").filter("v <> p").join(known, ["v", "p"], "left").select("key", "v", "n", "label", F.coalesce("unlike", F.lit(True)).alias("unlike"))
     pairs = None
     for depth in range(1, DEPTH + 1):
-        rows = settled(_open(rows.drop("sig")))
+        rows = settled(_open(rows))
         at_end = depth == DEPTH
-        found = _across(rows if at_end else rows.filter("small"), tokens_of)
+        found = _across(rows if at_end else rows.filter("small"), sets)
         pairs = found if pairs is None else pairs.unionByName(found)
         rows = rows.filter(~F.col("small"))
         if at_end or rows.isEmpty():
             break
         # Further tokens, other ones for each node and depth.
         which = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda k: (F.lit(TREES) + F.pmod(F.xxhash64("key", F.lit(depth)) % 1000 + 5 * k, F.lit(TOKENS - TREES))).cast("int"))
-        rows = _by_token(rows.select("v", "n", "label", "key").join(tokens_of, "v"), which)
-    return pairs.distinct()
+        rows = _by_token(rows.select("v", "n", "label", "unlike", "key").join(sets.select("v", "tok"), "v"), which)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -184,10 +242,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = settled(features(docs))
     named = rows.filter("n_shingles > 0 and doc_id is not null")
-    sets = settled(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    sets = settled(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.first("n_shingles").alias("n"), F.first("tok").alias("tok"), F.first("sig").alias("sig")))
     release(spark)
-    links = confirmed(_first_pairs(sets), docs)
-    more = confirmed(_later_pairs(sets, components(links)), docs)
+    held = compared(_first_pairs(sets), docs)
+    links = held.filter("link").select("a", "b")
+    known = components(links).withColumnRenamed("component", "label")
+    labels = settled(sets.select("v").distinct().join(known, "v", "left").select("v", F.coalesce("label", "v").alias("label")))
+    further = settled(_pairs_at_pivots(held, labels).unionByName(_pairs_in_nodes(sets, labels, held)).distinct())
+    more = compared(_likely(further, sets), docs).filter("link").select("a", "b")
     groups = components(links.unionByName(more))
     release(spark)
     of_set = settled(sets.join(groups, "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("c")))

@@ -83,9 +83,22 @@ def test_chains_passages_and_a_large_group(spark):
     assert near(df) == near_by_force(rows)
 
 
+def test_sets_that_their_pivot_leaves_apart(spark):
+    """Copies of one text that all differ from it by nearly a quarter: links between them by the same edits, by fewer words, or none."""
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(140)]
+    texts = [" ".join(base)]
+    for _ in range(12):
+        one = edited(r, base, 0.045).split()
+        texts += [" ".join(one), edited(r, one, 0.004), edited(r, one, 0.02), " ".join(one[: r.randint(105, 140)])]
+    texts += [" ".join(base[: r.randint(95, 139)]) for _ in range(20)] + [edited(r, base[: r.randint(100, 139)], 0.03) for _ in range(40)]
+    rows = list(enumerate(texts))
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == near_by_force(rows)
+
+
 def test_large_nodes_branch(spark, monkeypatch):
-    """With next to no pairs allowed in a small node, everything goes down the trees, with the same result."""
-    monkeypatch.setattr(chosen_path, "PAIRS_A_SET", 0)
+    """With no set allowed in a small node, everything goes down the trees, with the same result."""
+    monkeypatch.setattr(chosen_path, "SMALL", 0)
     r = random.Random(6)
     passage = [f"p{k}" for k in range(80)]
     rows = [(k, edited(r, passage, 0.06)) for k in range(60)]
