@@ -207,22 +207,26 @@ def repeated_runs(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     every = settled(_cover_rows(keyed))
-    twice = every.groupBy("rank").agg(F.count("*").alias("c")).filter("c > 1").select("rank")
+    # A table of its own, so that Spark can split a hot rank of the join.
+    twice = settled(every.groupBy("rank").agg(F.count("*").alias("c")).filter("c > 1").select("rank"))
     tied = settled(every.join(twice, "rank", "left_semi"))
     release(spark)
     discard(every)
     variants = settled(tied.groupBy("rank", "variant").agg(F.count("*").alias("c"), F.min(F.struct("r", "n", "lo", "hi")).alias("at")))
-    again = variants.filter("c > 1").select("rank", "variant")
+    again = settled(variants.filter("c > 1").select("rank", "variant"))
     resolved = settled(tied.join(again, ["rank", "variant"], "left_semi").select("r", "n", "lo", "hi"))
     release(spark)
     discard(tied)
     ranks = variants.groupBy("rank").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).filter("kinds > 1 and least = 1")
-    rivals = variants.join(ranks.select("rank", (F.col("kinds") > MANY_VARIANTS).alias("many")), "rank")
+    rivals = variants.join(settled(ranks.select("rank", (F.col("kinds") > MANY_VARIANTS).alias("many"))), "rank")
     piece = F.struct(F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "rank", (F.col("c") == 1).alias("open"), "many")
     pieces = settled(rivals.select(F.col("at.r").alias("r"), F.col("at.n").alias("n"), piece.alias("piece")).groupBy("r", "n").agg(F.collect_list("piece").alias("pieces")))
     dealt = settled(_dealt(keyed.select("r", "n", "text").join(pieces, ["r", "n"]), n_buckets))
     release(spark)
     discard(variants)
+    discard(pieces)
+    discard(twice)
+    discard(again)
     sorted_runs = settled(_sorted_buckets(dealt.filter("bucket is not null"), n_buckets))
     return resolved.unionByName(dealt.filter("bucket is null").select("r", "n", "lo", "hi")).unionByName(sorted_runs)
 
