@@ -7,7 +7,7 @@ left is compared in whatever size it has. Two sets of similarity s share a first
 at 0.75 all trees miss a pair with probability 0.25 ** TREES.
 
 Only links that can still join two components matter. So equal sets are one vertex from the start, and every set of a root node is
-held against the node's smallest one, its pivot, in full: how much they share, and what the set has besides. After that a pair needs
+held against one of the node, its pivot, in full: how much they share, and what the set has besides. After that a pair needs
 a look only if its ends are in different components. Two sets that were both held against one pivot share at most the smaller
 of what each shares with it, and what both have besides; so only pairs that have some of the same besides, or sizes that leave room, go on. In a
 large group of near copies next to none do. The other pairs of a node, with an end that is unlike its pivot, go on if their tokens agree.
@@ -32,10 +32,10 @@ SHINGLE = 5
 PERCENT = 75
 TOKENS, TREES, BRANCHES, DEPTH = 64, 20, 8, 3
 #: For comparisons a set has 126 tokens of a byte each, seven to a long. A pair goes to the confirmation if 70 of them agree: 94.5 are
-#: expected at the threshold and 70 lie five deviations below. Inside nodes the first 42 are looked at: 31.5 and 17.
-LONGS, AGREEING, FIRST_LONGS, FIRST_AGREEING = 18, 70, 6, 17
+#: expected at the threshold and 70 lie five deviations below. Inside nodes the first 63 are looked at: 47.25 and 30.
+LONGS, AGREEING, FIRST_LONGS, FIRST_AGREEING = 18, 70, 9, 30
 #: A node is small if it has at most this many sets that are unlike its pivot.
-SMALL = 1_000
+SMALL = 10_000
 
 _ODD = mixed(np.arange(1, 7 * LONGS + 1, dtype=np.uint64)) | np.uint64(1)
 _HIGH = np.uint64(32)
@@ -155,13 +155,23 @@ def _alike(shared: str, na: str, nb: str) -> Column:
     return F.expr(f"{shared} > 0 and 100 * {shared} >= {PERCENT} * ({na} + {nb} - {shared})")
 
 
-def _first_pairs(sets: DataFrame) -> DataFrame:
-    """Every set of a root node against the node's smallest id."""
+def _pivots(sets: DataFrame) -> DataFrame:
+    """(key, p, np): of each root node with two sets or more the one whose tokens lead to the largest nodes, as those of a text in the
+    middle of its near copies do; at ties the smallest id."""
     at = _by_token(sets.select("v", "n", "tok"), F.sequence(F.lit(0), F.lit(TREES - 1)))
-    nodes = at.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("v", "n")).alias("first")).filter("c > 1").select("key", F.col("first.v").alias("b"), F.col("first.n").alias("nb"))
-    nodes = settled(nodes)  # a table of its own, so that Spark can split a hot node of the join below
-    pairs = at.join(nodes, "key").filter((F.col("v") != F.col("b")) & _near_sizes("n", "nb")).select(F.col("v").alias("a"), "b").distinct()
-    return _likely(pairs, sets)
+    sizes = settled(at.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    shared = settled(at.join(sizes, "key"))
+    central = settled(shared.groupBy("v").agg(F.sum("c").alias("weight")))
+    best = F.max(F.struct("weight", (-F.col("v")).alias("minus"), "n"))
+    pivots = shared.select("key", "v", "n").join(central, "v").groupBy("key").agg(best.alias("best"))
+    return settled(pivots.select("key", (-F.col("best.minus")).alias("p"), F.col("best.n").alias("np")))
+
+
+def _first_pairs(sets: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Every set of a root node against the node's pivot."""
+    at = _by_token(sets.select("v", "n", "tok"), F.sequence(F.lit(0), F.lit(TREES - 1)))
+    pairs = at.join(pivots, "key").filter((F.col("v") != F.col("p")) & _near_sizes("n", "np"))
+    return _likely(pairs.select(F.col("v").alias("a"), F.col("p").alias("b")).distinct(), sets)
 
 
 def _pairs_at_pivots(held: DataFrame, labels: DataFrame) -> DataFrame:
@@ -210,11 +220,11 @@ def _across(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def _pairs_in_nodes(sets: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
+def _pairs_in_nodes(sets: DataFrame, labels: DataFrame, held: DataFrame, pivots: DataFrame) -> DataFrame:
     """Pairs between components, from all trees, each node down to where it is small, with an end unlike the root node's pivot."""
     rows = _by_token(sets.join(labels, "v").select("v", "n", "tok", "label"), F.sequence(F.lit(0), F.lit(TREES - 1)))
-    pivots = rows.groupBy("key").agg(F.min("v").alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "p")
-    pivots = settled(pivots)
+    mixed_nodes = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    pivots = settled(pivots.join(mixed_nodes, "key").select("key", "p"))
     known = held.select(F.col("a").alias("v"), F.col("b").alias("p"), F.lit(False).alias("unlike"))
     rows = rows.join(pivots, "key").filter("v <> p").join(known, ["v", "p"], "left").select("key", "v", "n", "label", F.coalesce("unlike", F.lit(True)).alias("unlike"))
     pairs = None
@@ -244,11 +254,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = rows.filter("n_shingles > 0 and doc_id is not null")
     sets = settled(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.first("n_shingles").alias("n"), F.first("tok").alias("tok"), F.first("sig").alias("sig")))
     release(spark)
-    held = compared(_first_pairs(sets), docs)
+    pivots = _pivots(sets)
+    held = compared(_first_pairs(sets, pivots), docs)
     links = held.filter("link").select("a", "b")
     known = components(links).withColumnRenamed("component", "label")
     labels = settled(sets.select("v").distinct().join(known, "v", "left").select("v", F.coalesce("label", "v").alias("label")))
-    further = settled(_pairs_at_pivots(held, labels).unionByName(_pairs_in_nodes(sets, labels, held)).distinct())
+    further = settled(_pairs_at_pivots(held, labels).unionByName(_pairs_in_nodes(sets, labels, held, pivots)).distinct())
     more = compared(_likely(further, sets), docs).filter("link").select("a", "b")
     groups = components(links.unionByName(more))
     release(spark)
