@@ -164,6 +164,12 @@ def test_rules_keep_what_is_labelled_good(labelled):
     assert rows[rows.quality == 0].kept.mean() < 0.85
 
 
+def test_bands_reject_held_out_junk(labelled):
+    docs, labels = labelled
+    rows = fertility.rules(docs, BYTES, PIECES).join(labels, "doc_id").filter("not base_failed").filter(held_out("doc_id")).select("kept", "quality").toPandas()
+    assert rows[rows.quality == 0].kept.mean() < 0.15 and rows[rows.quality == 1].kept.mean() > 0.99
+
+
 def test_stages_hand_on_the_columns_and_the_pipeline_ends_in_pieces(spark, given):
     docs = given[0]
     names = [n for n, _ in corpus_pipeline.STAGES]
