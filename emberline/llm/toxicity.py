@@ -2,11 +2,11 @@
 
 A text is read as words; every word enters as its own embedding and as that of its character four-grams, so that unseen
 forms of a known stem still count. The network runs over windows of ``WINDOW`` words, a new one every
-``STEP`` words and one that ends with the text, so every word of every text is read and windows overlap. A text scores as
-its highest window.
+``STEP`` words and one that ends with the text, so every word of every text is read and windows overlap. Signs may be spread over
+a text, so a text scores by a learned mix of its highest window and the mean of its ``TOP`` highest.
 
 Labels belong to texts, not to windows. Training therefore alternates: score all windows of the sampled texts, take each text's
-highest window (and, for clean texts, a random one besides) as its example, and descend. The first number of an embedding
+highest windows (and, for clean texts, random ones besides) as its example, and descend through the mix. The first number of an embedding
 is not learned by descent: it is the smoothed log-odds of the sample's texts that have the word or four-gram, and of a word's
 four-grams the highest counts. That makes the first choice of windows sensible.
 """
@@ -14,7 +14,7 @@ four-grams the highest counts. That makes the first choice of windows sensible.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import held_out, map_arrow, rows_of, word_list
 
-WINDOW, STEP = 32, 24
+WINDOW, STEP, TOP = 128, 96, 3
 WORD_SLOTS, GRAM_SLOTS, DIM, HIDDEN = 1 << 16, 1 << 16, 6, 8
 #: At most so many labelled texts of each class are fetched to fit the network, the first by a hash of the text's id.
 SAMPLE = 1000
@@ -71,6 +71,7 @@ class Network:
             "word": small(WORD_SLOTS, DIM) * 0.1, "gram": small(GRAM_SLOTS, DIM) * 0.1,
             "w": small(2, 2 * DIM, 3 * HIDDEN), "u": small(2, HIDDEN, 3 * HIDDEN), "b": np.zeros((2, 1, 3 * HIDDEN), np.float32),
             "attend": small(2 * HIDDEN), "out": small(2 * HIDDEN), "bias": np.zeros(1, np.float32),
+            "mix": np.array([0.5, 0.5, 0], np.float32),
         }
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
@@ -115,11 +116,43 @@ class Network:
         logit = pooled @ self.p["out"] + self.p["bias"][0]
         return (logit, (s, alpha, pooled, kept)) if keep else logit
 
+    def mixed(self, logit: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits of texts that have ``counts`` windows each, the highest ``TOP`` of each text as rows of places (-1: has fewer), and
+        what is mixed: highest, mean, 1."""
+        own = np.repeat(np.arange(len(counts)), counts)
+        order = np.lexsort((-logit, own))
+        first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        top = np.stack([np.where(counts > k, order[np.minimum(first + k, len(order) - 1)], -1) for k in range(TOP)], axis=1)
+        mean = np.where(top >= 0, logit[top], 0).sum(axis=1) / np.minimum(counts, TOP)
+        parts = np.stack([logit[top[:, 0]], mean, np.ones(len(counts))], axis=1)
+        return parts @ self.p["mix"], top, parts
+
+    def text_gradients(self, x: np.ndarray, at: np.ndarray, counts: np.ndarray, label: np.ndarray, weight: np.ndarray):
+        """As ``gradients``, for texts that have ``counts`` of the windows ``at`` each, and through the mix."""
+        g = {}
+
+        def slope(logit: np.ndarray) -> np.ndarray:
+            whole, top, parts = self.mixed(logit, counts)
+            d = (1 / (1 + np.exp(-whole)) - label) * weight / len(counts)
+            g["mix"] = (parts.T @ d).astype(np.float32)
+            out = np.zeros(len(logit))
+            out[top[:, 0]] = d * self.p["mix"][0]
+            text, place = np.nonzero(top >= 0)
+            out[top[text, place]] += (d * self.p["mix"][1] / np.minimum(counts, TOP))[text]
+            return out
+
+        dense, dx = self._descent(x, at, slope)
+        return dense | g, dx
+
     def gradients(self, x: np.ndarray, at: np.ndarray, label: np.ndarray, weight: np.ndarray):
-        """Loss gradients of the dense parameters and of the inputs ``x`` (rows of distinct words)."""
+        """Loss gradients of the dense parameters and of the inputs ``x`` (rows of distinct words); each window is an example."""
+        return self._descent(x, at, lambda logit: (1 / (1 + np.exp(-logit)) - label) * weight / len(at))
+
+    def _descent(self, x: np.ndarray, at: np.ndarray, slope: Callable[[np.ndarray], np.ndarray]):
+        """Gradients, given the loss's slope by the windows' logits."""
         gates = self.projected(x)
         logit, (s, alpha, pooled, kept) = self.forward(gates, at, keep=True)
-        d = ((1 / (1 + np.exp(-logit)) - label) * weight / len(at)).astype(np.float32)
+        d = slope(logit).astype(np.float32)
         g = {k: np.zeros_like(self.p[k]) for k in ("w", "u", "b")}
         g["out"], g["bias"] = pooled.T @ d, d.sum(keepdims=True)
         dpool = d[:, None] * self.p["out"]
@@ -163,7 +196,7 @@ def _windows(texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
     return at, counts
 
 
-def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: int = 3, rate: float = 0.01) -> Network:
+def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: int = 4, rate: float = 0.01) -> Network:
     """Train on whole labelled texts, given as words. Without both classes the network stays as it starts."""
     net, rng = Network(seed), np.random.default_rng(seed)
     vocabulary = sorted({w for t in texts for w in t})
@@ -200,25 +233,27 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: int
     for turn in range(rounds):
         x = net.inputs(vocabulary)
         if turn == 0:
-            score = np.where(at >= 0, x[at, 0] + x[at, DIM], 0).max(axis=1)
+            score = np.sort(np.where(at >= 0, x[at, 0] + x[at, DIM], 0), axis=1)[:, -4:].sum(axis=1)
         else:
             gates = net.projected(x)
-            score = np.concatenate([net.forward(gates, at[k : k + 2048]) for k in range(0, len(at), 2048)])
-        best = np.lexsort((-score, owner))[first]
-        random = first + (rng.random(len(first)) * n_windows).astype(np.int64)
-        chosen = np.concatenate([best, random[labels == 0]])
+            score = np.concatenate([net.forward(gates, at[k : k + 512]) for k in range(0, len(at), 512)])
+        # Windows of an example: the highest of its text; for clean texts also random ones.
+        best, random = np.lexsort((-score, owner)), np.lexsort((rng.random(len(owner)), owner))
+        taken = np.minimum(n_windows, TOP)
+        examples = [best[f : f + n] for f, n in zip(first, taken)] + [random[f : f + n] for f, n in zip(first[labels == 0], taken[labels == 0])]
         target = np.concatenate([labels, np.zeros((labels == 0).sum())])
         weight = np.where(target == 1, len(target) * TOXIC_WEIGHT / target.sum(), len(target) * (1 - TOXIC_WEIGHT) / (1 - target).sum())
         for _ in range(3):
-            for batch in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // 128)):
+            for batch in np.array_split(rng.permutation(len(examples)), max(1, len(examples) // 64)):
                 step += 1
-                rows = at[chosen[batch]]
+                rows = at[np.concatenate([examples[k] for k in batch])]
+                sizes = np.array([len(examples[k]) for k in batch])
                 used, local = np.unique(rows, return_inverse=True)
                 local = local.reshape(rows.shape)
                 if used[0] == -1:
                     used, local = used[1:], local - 1
                 names = [vocabulary[k] for k in used]
-                g, dx = net.gradients(net.inputs(names), local, target[batch], weight[batch])
+                g, dx = net.text_gradients(net.inputs(names), local, sizes, target[batch], weight[batch])
                 for k, v in g.items():
                     m, s = moments.get(k, (np.zeros_like(v), np.zeros_like(v)))
                     m, s = 0.9 * m + 0.1 * v, 0.99 * s + 0.01 * v * v
@@ -249,9 +284,9 @@ class Scorer:
             self.known.update(zip(new, range(base, base + len(new))))
             self.gates = np.concatenate([self.gates[:base], self.net.projected(self.net.inputs(new))])
         at, counts = _windows([list(map(self.known.__getitem__, t)) for t in texts])
-        logit = np.concatenate([self.net.forward(self.gates, at[k : k + 1024]) for k in range(0, len(at), 1024)])
-        top = np.maximum.reduceat(logit, np.concatenate([[0], np.cumsum(counts)[:-1]]))
-        return np.where([len(t) > 0 for t in texts], 1 / (1 + np.exp(-top.astype(np.float64))), 0.0)
+        logit = np.concatenate([self.net.forward(self.gates, at[k : k + 512]) for k in range(0, len(at), 512)])
+        whole, _, _ = self.net.mixed(logit.astype(np.float64), counts)
+        return np.where([len(t) > 0 for t in texts], 1 / (1 + np.exp(-whole)), 0.0)
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataFrame:
