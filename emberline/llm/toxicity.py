@@ -1,7 +1,7 @@
 """Toxicity by a small bidirectional gated recurrent network with attention pooling, in numpy.
 
 A text is read as words; every word enters as its own embedding and as that of its character four-grams, so that unseen
-forms of a known stem still count. The network runs over windows of ``WINDOW`` words, a new one every
+forms of a known stem still count. Long runs without white space enter as overlapping pieces. The network runs over windows of ``WINDOW`` words, a new one every
 ``STEP`` words and one that ends with the text, so every word of every text is read and windows overlap. Signs may be spread over
 a text, so a text scores by a learned mix of its highest window and the mean of its ``TOP`` highest.
 
@@ -31,12 +31,24 @@ SAMPLE_WORDS = 1536
 THRESHOLD = 0.7
 #: Share of the loss that toxic examples have, whatever their number.
 TOXIC_WEIGHT = 0.2
+#: A run without white space that is longer than this many bytes, as in unspaced scripts, is read as pieces of it, a new one every
+#: ``PIECE_STEP`` bytes and one that ends with the run; each counts as a word.
+PIECE, PIECE_STEP = 40, 24
 _KEPT_WORDS = 200_000
 _EDGE = b".,!?;:|\"'()[]{}<>*_#-"
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return [w.strip(_EDGE) for w in word_list(text)]
+    words = [w.strip(_EDGE) for w in word_list(text)]
+    if not any(len(w) > PIECE for w in words):
+        return words
+    return [piece for w in words for piece in pieces(w)]
+
+
+def pieces(word: bytes) -> list[bytes]:
+    if len(word) <= PIECE:
+        return [word]
+    return [word[s : s + PIECE] for s in range(0, len(word) - PIECE, PIECE_STEP)] + [word[-PIECE:]]
 
 
 def _slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,7 +58,7 @@ def _slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grams: list[int] = []
     counts = np.empty(len(words), np.int64)
     for k, w in enumerate(words):
-        w = b"<" + w[:40] + b">"
+        w = b"<" + w + b">"
         g = [crc(w[i : i + 4]) & (GRAM_SLOTS - 1) for i in range(max(1, len(w) - 3))]
         counts[k] = len(g)
         grams += g

@@ -52,6 +52,19 @@ def test_signs_spread_over_a_text_add_up(labelled, fitted):
     assert bad[bad.lang != "en"].predicted.mean() > 0.6
 
 
+def test_long_runs_are_read_to_their_end(fitted):
+    for n in range(0, 400):
+        run = bytes(97 + (k * k + k // 7) % 26 for k in range(n))
+        parts = toxicity.words_of(run.decode())
+        assert all(len(p) <= toxicity.PIECE for p in parts)
+        assert all(any(run[k : k + 16] in p for p in parts) for k in range(n))
+    assert toxicity.words_of("short " + "日本語" * 30)[0] == b"short" and len(toxicity.words_of("日本語" * 30)) > 5
+    plain = "_".join("the river of stone runs under green hills at night".split() * 6)
+    for at in (60, 150, len(plain)):
+        planted = plain[:at] + "_worthless_idiot_pathetic_scum_moron_" + plain[at:]
+        assert toxicity.Scorer(fitted).scores([planted])[0] > max(toxicity.THRESHOLD, toxicity.Scorer(fitted).scores([plain])[0])
+
+
 def test_a_text_mixes_its_highest_windows():
     net = toxicity.Network()
     net.p["mix"] = np.array([0.5, 0.25, 1], np.float32)
