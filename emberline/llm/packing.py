@@ -9,21 +9,20 @@ power-of-two length. Nothing is padded while the shares are powers of two.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .chunks import library_ids
 from .common import map_arrow, rows_of
 
 CAPACITY = 1024
 END_ID = 0
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_FIELDS = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+_FIELDS = pa.schema([(c, pa.binary() if c == "ids" else pa.int64()) for c in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")])
 
 
 def slots(capacity: int) -> list[int]:
@@ -67,7 +66,8 @@ class Bins:
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """Every token of every document in exactly one piece, each piece in one sequence.
+    """Every token of every document in exactly one piece, each piece in one sequence, with its place there and its ids as
+    little-endian unsigned 32-bit bytes: a sequence is the ids of its pieces in the order of ``offset``. ``ids_crc32`` is theirs.
 
     Null and empty texts are one piece, the end id alone. Repeated rows are packed each for itself; a null doc_id stays
     null. An empty table gives no rows. Of other columns none is read. ``sequence_id`` holds the worker's number in its
@@ -81,14 +81,14 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
 
         def taken() -> pa.RecordBatch:
             rows, bins.out = bins.out, []
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_FIELDS)
+            return pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(zip(*rows), _FIELDS)], schema=_FIELDS)
 
         for batch in batches:
             for doc_id, parts in zip(rows_of(batch, "doc_id"), chunks.of(rows_of(batch, "text"))):
                 ids = b"".join(parts) + end
                 start, n = 0, len(ids) // 4
                 for length in cuts(n, capacity):
-                    bins.add(length, (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
+                    bins.add(length, (doc_id, start, length, ids[4 * start : 4 * (start + length)], n))
                     start += length
             if bins.out:
                 yield taken()
@@ -96,4 +96,5 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
         if bins.out:
             yield taken()
 
-    return map_arrow(docs, ["doc_id", "text"], work, SCHEMA)
+    packed = map_arrow(docs, ["doc_id", "text"], work, SCHEMA)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")

@@ -10,7 +10,6 @@ vocabulary marks word ends.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -18,7 +17,7 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .chunks import WORDS, Chunks
 from .common import map_arrow, rows_of
@@ -189,8 +188,8 @@ def decode(parts: list[tuple[bytes, str]]) -> str:
     return " ".join(name for _, name in parts if name)
 
 
-def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Per row doc_id, n_tokens and digests of ids and decoded text.
+def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """Per row doc_id, ids as little-endian unsigned 32-bit bytes, and the text they decode to.
 
     Null and empty texts have no ids and decode to an empty text. Repeated rows and null doc_ids give a row each; an empty
     table none; other columns aren't read. One pass without a shuffle.
@@ -199,12 +198,14 @@ def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = word_chunks(vocabulary)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for parts in chunks.of(rows_of(batch, "text")):
-                ids = b"".join([p[0] for p in parts])
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(decode(parts).encode()).hexdigest())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
-
-    return map_arrow(docs, ["doc_id", "text"], work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            split = chunks.of(rows_of(batch, "text"))
+            ids = [b"".join([p[0] for p in parts]) for parts in split]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary()), "text": pa.array(map(decode, split), pa.string())})
+
+    return map_arrow(docs, ["doc_id", "text"], work, "doc_id long, ids binary, text string")
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """Per row doc_id, n_tokens and digests of what ``encode`` gives."""
+    found = encode(docs, vocabulary)
+    return found.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -58,6 +58,31 @@ def test_pieces_hold_every_id_once_and_sequences_have_no_gap(docs):
         assert sorted(set(parts)) == sorted(parts[: len(set(parts))] if copies[key] == 1 else set(parts))
 
 
+def test_sequences_can_be_put_together_and_documents_taken_out(spark, docs):
+    import corpus_pipeline
+
+    parts, sequences = [], {}
+    for p in corpus_pipeline.packed(spark, docs, "").collect():
+        ids = np.frombuffer(p.ids, "<u4").tolist()
+        assert len(ids) == p.length and crc(ids) == p.ids_crc32
+        parts.append((p.doc_id, p.doc_tokens, p.start, tuple(ids)))
+        sequences.setdefault(p.sequence_id, []).append((p.offset, ids))
+    want = Counter()
+    for (i, _), (ids, _) in zip(listed(docs), library(BYTES, [t for _, t in listed(docs)])):
+        ids, at = ids + [0], 0
+        for n in packing.cuts(len(ids)):
+            want[i, len(ids), at, tuple(ids[at : at + n])] += 1
+            at += n
+    assert Counter(parts) == want
+    assert all(len(sum((ids for _, ids in sorted(s)), [])) <= packing.CAPACITY for s in sequences.values())
+
+
+def test_encoding_hands_on_ids_and_text(docs):
+    rows = listed(docs)
+    want = Counter((i, tuple(ids), text) for (i, _), (ids, text) in zip(rows, library(WORDS, [t for _, t in rows])))
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), r.text) for r in prefix_bpe.encode(docs, WORDS).collect()) == want
+
+
 def test_cuts_are_whole_bins_and_binary_digits():
     assert packing.cuts(2048 + 5) == [1024, 1024, 4, 1]
     assert packing.cuts(0) == []
