@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, edit_counts, fertility, grid_join, packing, prefix_bpe, quality_net, suffix_dedup, token_files, toxicity
+from . import alignment, chosen_path, edit_counts, fertility, grid_join, hard_negatives, packing, prefix_bpe, quality_net, suffix_dedup, token_files, toxicity, two_tier_bpe
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +55,45 @@ def op10_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op12_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_tier_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_gru_toxicity, op2_harmonic_packing, op3_cover_suffix_dedup, op4_edit_counts, op5_plane_files, op6_chosen_path_join, op7_prefix_bpe, op8_byte_cnn_quality, op9_fertility_rules, op10_grid_order_join)}
+    return {q.__name__: q for q in (op1_gru_toxicity, op2_harmonic_packing, op3_cover_suffix_dedup, op4_edit_counts, op5_plane_files, op6_chosen_path_join, op7_prefix_bpe, op8_byte_cnn_quality, op9_fertility_rules, op10_grid_order_join, op11_bond_negatives, op12_two_tier_bpe, op13_galloping_alignment)}
+
+
+#: Anchors against all rows, without blocks or bounds.
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id AS other_id, b.label, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, anchor_label, other_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), n AS (
+  SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.anchor_label
+  WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_bond_negatives": OP11_SQL}
