@@ -28,7 +28,7 @@ from ..session import settled
 from .common import batch_rows, map_arrow, rows_of
 
 #: Tokens (of the first vocabulary) and documents after which a block is closed. One text is never cut.
-BLOCK, BLOCK_ROWS = 1_000_000, 8192
+BLOCK, BLOCK_ROWS = 300_000, 8192
 #: Links of a group that are listed one by one; those of a larger group are counted from both sides' id counts.
 LISTED = 4096
 _HIGH = np.int64(32)
@@ -83,25 +83,32 @@ class ByteLevel(Vocabulary):
     """
 
     def __init__(self, path: str, pattern: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a worker on each core
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.library.encode_special_tokens = True
-        letters = _byte_letters()
-        names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
-        super().__init__([bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode() for name in names])
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-        self.ranks, made = None, set(merged)
-        if all(a < b for a, b in zip(merged, merged[1:])) and len(merged) + 256 <= len(names):
-            ranks = {self.token_bytes[i]: i for i in model["vocab"].values() if i in made or len(self.token_bytes[i]) == 1}
+            file = json.load(f)
+        numbers = file["model"]["vocab"] | {t["content"]: t["id"] for t in file["added_tokens"]}
+        letters, token_bytes = _byte_letters(), [b""] * (max(numbers.values()) + 1)
+        for name, i in numbers.items():
+            token_bytes[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
+        super().__init__(token_bytes)
+        self.path, self.library, self.ranks = path, None, None
+        merged = [numbers["".join(m if isinstance(m, list) else m.split(" "))] for m in file["model"]["merges"]]
+        if all(a < b for a, b in zip(merged, merged[1:])):
+            import tiktoken
+
+            ranks = {token_bytes[i]: i for i in merged} | {t: i for i, t in enumerate(token_bytes) if len(t) == 1}
             self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def _by_library(self, texts: list[str]) -> list[list[int]]:
+        if self.library is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a worker on each core
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+            self.library.encode_special_tokens = True
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         out, left = [], []
         for k, text in enumerate(texts):
@@ -109,8 +116,9 @@ class ByteLevel(Vocabulary):
             out.append(self.ranks.encode_ordinary(text) if known else None)
             if not known:
                 left.append(k)
-        for k, found in zip(left, self.library.encode_batch_fast([texts[k] for k in left], add_special_tokens=False)):
-            out[k] = found.ids
+        if left:
+            for k, ids in zip(left, self._by_library([texts[k] for k in left])):
+                out[k] = ids
         return out
 
 
@@ -262,7 +270,7 @@ def _blocks(aligned: DataFrame, carried: list[str]) -> DataFrame:
             each = rows.column("pairs").combine_chunks()
             pairs, codes = np.unique(each.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
             row = {"block": [task << 32 | n_blocks], "pairs": [pairs], "docs": [np.bincount(codes, minlength=len(pairs))], "sizes": [each.value_lengths().to_numpy(zero_copy_only=False)]}
-            row |= {"codes": [codes.astype("<i4").tobytes()], "times": [rows.column("times").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes()]}
+            row |= {"codes": [codes.astype("<i4").tobytes()], "times": [rows.column("times").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()]}
             fields = [("block", pa.int64()), ("pairs", _LONGS), ("docs", _LONGS), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("times", pa.binary())]
             arrays = [pa.array(row[name], kind) for name, kind in fields]
             for c in carried:
@@ -280,6 +288,7 @@ def _blocks(aligned: DataFrame, carried: list[str]) -> DataFrame:
                 held, n_rows, n_tokens, n_blocks = [], 0, 0, n_blocks + 1
         if held:
             yield closed()
+            held = []
 
     return settled(map_arrow(aligned, [*carried, "pairs", "times"], work, schema))
 
@@ -316,14 +325,14 @@ def with_corpus_counts(aligned: DataFrame, carried: list[str]) -> DataFrame:
                     order = np.argsort(answers.field("pair").to_numpy(zero_copy_only=False))
                     n = answers.field("n").to_numpy(zero_copy_only=False)[order]
                     best = answers.field("best").to_numpy(zero_copy_only=False)[order]
-                    codes, times = np.frombuffer(row["codes"].as_py(), "<i4"), np.frombuffer(row["times"].as_py(), "<i8")
+                    codes, times = np.frombuffer(row["codes"].as_buffer(), "<i4"), np.frombuffer(row["times"].as_buffer(), "<i4").astype(np.int64)
                     ends = np.cumsum(sizes)
                     best_sum = np.diff(np.concatenate([[0], np.cumsum(times * best[codes])])[np.concatenate([[0], ends])])
                     count_sum = np.diff(np.concatenate([[0], np.cumsum(times * n[codes])])[np.concatenate([[0], ends])])
                 yield pa.RecordBatch.from_arrays([*(row[c].values for c in carried), pa.array(best_sum, pa.int64()), pa.array(count_sum, pa.int64())], [*carried, "n_best", "count_sum"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", n_best long, count_sum long"
-    with batch_rows(aligned.sparkSession, 4):
+    with batch_rows(aligned.sparkSession, 1):
         return settled(map_arrow(met, ["sizes", "codes", "times", "answers", *carried], work, schema))
 
 
