@@ -446,7 +446,7 @@ def hourly_rollup_by_metric(t):
 @query
 def exact_p95_by_quality(t):
     """The exact ranked value in three large groups, one of them with most of the rows."""
-    return ranks.value_at_rank(t.readings(), ["quality_code"], "metric_value", whole_group=4_000)
+    return ranks.value_at_rank(t.readings(), ["quality_code"], "metric_value")
 
 
 @query

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,20 +108,52 @@ def test_spread_join_null_safe(spark):
     assert join_spread(f, d, "k", "left_anti", rows_per_slice=10, null_safe=True).filter("k IS NULL").count() == 0
 
 
-@pytest.mark.parametrize("whole_group, rows_per_slice", [(10_000, 2_000_000), (4_000, 30)])
-def test_value_at_rank(spark, whole_group, rows_per_slice):
+def at_rank(data, fraction=0.95):
+    groups = defaultdict(list)
+    for k, v in data:
+        groups[k].append(v)
+    found = {}
+    for k, vs in groups.items():
+        known = sorted((v for v in vs if v is not None), key=lambda v: (v != v, v))
+        found[k] = known[max(int(len(known) * fraction), 1) - 1] if known else None
+    return found
+
+
+@pytest.mark.parametrize("fraction", [0.05, 0.5, 0.95, 1.0])
+@pytest.mark.parametrize("steps, zoom", [(256, 1 << 22), (1, 4)])
+def test_value_at_rank(spark, monkeypatch, fraction, steps, zoom):
+    monkeypatch.setattr(ranks, "LOG_STEPS", steps)
+    monkeypatch.setattr(ranks, "ZOOM", zoom)
     rng = random.Random(3)
     data = [("hot", rng.choice([rng.random(), 0.5])) for _ in range(6000)] + [(f"g{i}", float(j)) for i in range(1, 45) for j in range(i)]
     data += [("same", 1.0)] * 300 + [("hot", None), ("none", None)] + [(None, float(i % 777)) for i in range(5000)]
+    data += [("wide", rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randrange(-300, 300)) for _ in range(500)] + [("wide", 0.0)]
+    data += [("close", 1.0 + k * 2.0**-52) for k in range(300)] + [("odd", v) for v in (float("inf"), -float("inf"), 5e-324, -5e-324, 1.7e308, -1.7e308)]
     rng.shuffle(data)
-    df = spark.createDataFrame(data, "k string, v double")
-    got = {x.k: x.p95 for x in ranks.value_at_rank(df, ["k"], "v", whole_group=whole_group, rows_per_slice=rows_per_slice).collect()}
-    groups = defaultdict(list)
-    for k, v in data:
-        if v is not None:
-            groups[k].append(v)
-    want = {k: sorted(vs)[int(len(vs) * 0.95) - 1] for k, vs in groups.items()}
-    assert got == {**want, "none": None}
+    got = {x.k: x.p95 for x in ranks.value_at_rank(spark.createDataFrame(data, "k string, v double"), ["k"], "v", fraction).collect()}
+    assert got == at_rank(data, fraction)
+
+
+def test_value_at_rank_of_one_group_of_decimals_and_of_nan(spark):
+    data = [(1, Decimal(k * k % 1009) / 100) for k in range(2000)]
+    df = spark.createDataFrame(data, "k int, v decimal(18,2)")
+    assert ranks.value_at_rank(df.drop("k"), [], "v").first()[0] == at_rank(data)[1]
+    got = ranks.value_at_rank(df, ["k"], "v", 0.25, "q", [F.count(F.lit(1)).alias("n")])
+    assert got.columns == ["k", "n", "q"] and tuple(got.first()) == (1, 2000, at_rank(data, 0.25)[1])
+    assert ranks.value_at_rank(df.limit(0), ["k"], "v").collect() == []
+    nan = spark.createDataFrame([(1, float("nan")), (1, 2.0), (1, float("inf"))], "k int, v double")
+    assert [ranks.value_at_rank(nan, ["k"], "v", f).first().p95 for f in (0.4, 0.7)] == [2.0, float("inf")]
+    assert ranks.value_at_rank(nan, ["k"], "v", 1.0).first().p95 != ranks.value_at_rank(nan, ["k"], "v", 1.0).first().p95
+    with pytest.raises(ValueError):
+        ranks.value_at_rank(df.withColumn("v", F.col("v").cast("decimal(30,2)")), ["k"], "v")
+
+
+def test_a_constant_hot_group_is_one_row_a_bin(spark):
+    data = [("hot", 7.0)] * 3000 + [("b", float(k)) for k in range(30)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(8)
+    assert {x.k: x.p95 for x in ranks.value_at_rank(df, ["k"], "v").collect()} == at_rank(data)
+    plan = df._sc._jvm.PythonSQLUtils.explainString(ranks.value_at_rank(df, ["k"], "v")._jdf.queryExecution(), "simple")
+    assert "Window" not in plan
 
 
 def test_newest_per_key(spark):
