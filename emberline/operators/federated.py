@@ -13,6 +13,7 @@ from ..functions.labels import bands, triage_rank
 from ..functions.numbers import fixed, mean, ratio
 from ..functions.times import day, days_upto, instant, Moment, since
 from .keyed import newest_per_key
+from .ordered import ROWS_PER_BUCKET
 from .signals import alerts_with_weather
 from .skew import join_spread
 
@@ -31,7 +32,7 @@ def _hour_parts(hourly: DataFrame) -> tuple:
 
 def alert_triage(
     alerts: DataFrame, devices: DataFrame, hourly: DataFrame, weather: DataFrame, as_of: Moment,
-    baseline_days: int = 14, top: int | None = 25, weather_at: str = "latest", slices: int | None = None,
+    baseline_days: int = 14, top: int | None = 25, weather_at: str = "latest", rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Unacknowledged alerts against the metric's own p95 and the weather at the site.
 
@@ -51,8 +52,7 @@ def alert_triage(
         rows, baseline, ["device_id", "metric_name"], "left", key_counts=opened.groupBy("device_id", "metric_name").count()
     )
     if weather_at == "raised":
-        sizes = opened.select("site_id").unionByName(weather.select("site_id"))
-        rows = alerts_with_weather(rows, weather, slices, sizes)
+        rows = alerts_with_weather(rows, weather, rows_per_bucket)
     else:
         latest = newest_per_key(weather.filter(F.col("observation_time") <= instant(as_of)), ["site_id"], ["observation_time"]).select(
             "site_id", "temperature_c", "humidity_pct", "conditions"

@@ -92,7 +92,7 @@ def sales_fact(orders: DataFrame, items: DataFrame, customers: DataFrame, produc
     )
 
 
-def commerce_customer_dim(customers: DataFrame, slices: int | None = None) -> DataFrame:
+def commerce_customer_dim(customers: DataFrame) -> DataFrame:
     value, orders = F.col("lifetime_value").cast("double"), F.col("total_orders")
     segment = (
         F.when(F.col("lifetime_value") > 5000, "high_value").when(F.col("lifetime_value") > 1000, "regular")
@@ -110,10 +110,10 @@ def commerce_customer_dim(customers: DataFrame, slices: int | None = None) -> Da
         *_have(customers, "preferred_payment_method"), *_have(customers, "marketing_opt_in", "boolean"),
         *_current_version("created_at"), "created_at", *_have(customers, "updated_at", "timestamp_ntz"),
     )
-    return surrogate_keys(rows, "customer_key", [F.asc("customer_id")], slices)
+    return surrogate_keys(rows, "customer_key", [F.asc("customer_id")], "customer_id")
 
 
-def product_dim(products: DataFrame, slices: int | None = None) -> DataFrame:
+def product_dim(products: DataFrame) -> DataFrame:
     price, cost = F.col("price").cast("double"), F.col("cost").cast("double")
     rows = products.select(
         "product_id", *_have(products, "sku name description category subcategory brand"),
@@ -127,7 +127,7 @@ def product_dim(products: DataFrame, slices: int | None = None) -> DataFrame:
         *_have(products, "is_active", "boolean"),
         *_current_version("created_at"), "created_at", *_have(products, "updated_at", "timestamp_ntz"),
     )
-    return surrogate_keys(rows, "product_key", [F.asc("product_id")], slices)
+    return surrogate_keys(rows, "product_key", [F.asc("product_id")], "product_id")
 
 
 MEASURES = "temperature humidity pressure energy_kwh co2_ppm pm25_ugm3 voc_ppb water_flow_lpm vibration_hz light_lux signal_strength battery_level"
@@ -157,7 +157,7 @@ def metrics_fact(readings: DataFrame, devices: DataFrame, as_of: Moment) -> Data
     )
 
 
-def device_dim(devices: DataFrame, as_of: Moment, slices: int | None = None) -> DataFrame:
+def device_dim(devices: DataFrame, as_of: Moment) -> DataFrame:
     rows = devices.select(
         "device_id", *_have(devices, f"device_name device_type device_class manufacturer model firmware_version {PLACE} site_id zone"),
         *_have(devices, "latitude longitude", "double"),
@@ -173,7 +173,7 @@ def device_dim(devices: DataFrame, as_of: Moment, slices: int | None = None) ->
         F.datediff(day(as_of), F.col("last_maintenance_date")).alias("days_since_last_maintenance"),
         *_current_version("installed_at"), F.col("installed_at").alias("created_at"), "updated_at",
     )
-    return surrogate_keys(rows, "device_key", [F.asc("device_id")], slices)
+    return surrogate_keys(rows, "device_key", [F.asc("device_id")], "device_id")
 
 
 def wide_hourly(readings: DataFrame, devices: DataFrame, as_of: Moment, expected: int = 4, minutes: int = 15) -> DataFrame:
@@ -255,7 +255,7 @@ def transaction_fact(transactions: DataFrame, accounts: DataFrame, customers: Da
     )
 
 
-def account_dim(accounts: DataFrame, last_transactions: DataFrame, as_of: Moment, slices: int | None = None) -> DataFrame:
+def account_dim(accounts: DataFrame, last_transactions: DataFrame, as_of: Moment) -> DataFrame:
     """Accounts with their age and the days since their last transaction."""
     rows = accounts.join(last_transactions, "account_id", "left").select(
         "account_id", "customer_id", *_have(accounts, "account_number"), "account_type", *_have(accounts, "account_subtype currency"),
@@ -270,10 +270,10 @@ def account_dim(accounts: DataFrame, last_transactions: DataFrame, as_of: Moment
         "status", "opened_date", *_have(accounts, "closed_date", "date"), (F.col("status") == "active").alias("is_active"),
         *_current_version("opened_date"), F.col("opened_date").alias("created_at"), *_have(accounts, "updated_at", "timestamp_ntz"),
     )
-    return surrogate_keys(rows, "account_key", [F.asc("account_id")], slices)
+    return surrogate_keys(rows, "account_key", [F.asc("account_id")], "account_id")
 
 
-def financial_customer_dim(customers: DataFrame, as_of: Moment, slices: int | None = None) -> DataFrame:
+def financial_customer_dim(customers: DataFrame, as_of: Moment) -> DataFrame:
     balance = F.col("total_balance").cast("double")
     rows = customers.select(
         "customer_id", *_have(customers, "customer_type first_name last_name business_name age_group city state country"),
@@ -291,4 +291,4 @@ def financial_customer_dim(customers: DataFrame, as_of: Moment, slices: int | No
         F.col("last_login").cast("date").alias("last_contact_date"),
         *_current_version("created_at"), "created_at", *_have(customers, "updated_at", "timestamp_ntz"),
     )
-    return surrogate_keys(rows, "customer_key", [F.asc("customer_id")], slices)
+    return surrogate_keys(rows, "customer_key", [F.asc("customer_id")], "customer_id")

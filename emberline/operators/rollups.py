@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import labels
 from ..functions.numbers import fixed, half_even, mean, ratio
 from ..functions.times import Moment, day, monday_of, month_of, month_starts, previous_months
-from .ordered import running
+from .ordered import ROWS_PER_BUCKET, running
 from .ranks import value_at_rank
 from .skew import join_spread
 
@@ -79,7 +79,7 @@ def daily_sales(orders: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def weekly_products(orders: DataFrame, items: DataFrame, products: DataFrame, slices: int | None = None) -> DataFrame:
+def weekly_products(orders: DataFrame, items: DataFrame, products: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Weekly units, revenue, mean price and return rate per product, ranked in its category.
 
     The rank runs over all products of a category, a group without a bound, so it is taken with
@@ -113,7 +113,7 @@ def weekly_products(orders: DataFrame, items: DataFrame, products: DataFrame, sl
     )
     return running(
         rows, ["product_category", "week_start_date"], [F.desc("units_sold"), F.desc("product_id")],
-        number="velocity_rank", slices=slices, bound=products.select("category"),
+        by="units_sold", number="velocity_rank", rows_per_bucket=rows_per_bucket,
     )
 
 

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import mean, ratio
 from ..functions.times import monday_of
-from .ordered import running
+from .ordered import ROWS_PER_BUCKET, running
 from .skew import join_spread
 
 
 def as_of_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
-    values: Sequence[str], tie_break: Sequence[str] = (), slices: int | None = None, bound: DataFrame | None = None,
+    values: Sequence[str], tie_break: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Every left row with the values of the newest right row at or before its time.
 
@@ -31,25 +31,25 @@ def as_of_join(
                      F.lit(None).cast(left.select(row.alias("s")).schema["s"].dataType).alias("_row"),
                      picked.alias("_known"), *[F.lit(None).cast("string").alias(f"_t{i}") for i in range(len(tie_break))])
     order = [F.asc("_at"), F.asc("_side"), *[F.asc(f"_t{i}") for i in range(len(tie_break))]]
-    both = running(a.unionByName(b), keys, order, last_known={"_match": F.col("_known")}, slices=slices, bound=bound)
+    both = running(a.unionByName(b), keys, order, by="_at", last_known={"_match": F.col("_known")}, rows_per_bucket=rows_per_bucket)
     return both.filter(F.col("_side") == 1).select(
         "_row.*", F.col(f"_match.{right_time}").alias(right_time), *[F.col(f"_match.{v}").alias(v) for v in values]
     )
 
 
 def alerts_with_weather(
-    alerts: DataFrame, weather: DataFrame, slices: int | None = None, bound: DataFrame | None = None
+    alerts: DataFrame, weather: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Alerts with the site's weather at the time they were raised."""
     return as_of_join(
         alerts, weather, ["site_id"], "raised_at", "observation_time",
-        ["temperature_c", "humidity_pct", "conditions"], ["alert_id"], slices, bound,
+        ["temperature_c", "humidity_pct", "conditions"], ["alert_id"], rows_per_bucket,
     )
 
 
-def firmware_in_force(rows: DataFrame, deployments: DataFrame, at: str, tie_break: Sequence[str] = (), slices: int | None = None) -> DataFrame:
+def firmware_in_force(rows: DataFrame, deployments: DataFrame, at: str, tie_break: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Rows with the firmware in force at their time; null after it was retired."""
-    found = as_of_join(rows, deployments, ["device_id"], at, "deployed_at", ["firmware_version", "retired_at"], tie_break, slices)
+    found = as_of_join(rows, deployments, ["device_id"], at, "deployed_at", ["firmware_version", "retired_at"], tie_break, rows_per_bucket)
     in_force = F.col("deployed_at").isNotNull() & (F.col("retired_at").isNull() | (F.col(at) < F.col("retired_at")))
     return found.select(
         *rows.columns,
@@ -59,7 +59,7 @@ def firmware_in_force(rows: DataFrame, deployments: DataFrame, at: str, tie_brea
 
 
 def before_failures(
-    failures: DataFrame, readings: DataFrame, hours: Sequence[int] = (72, 12), slices: int | None = None
+    failures: DataFrame, readings: DataFrame, hours: Sequence[int] = (72, 12), rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Count and mean of the device's readings in the last hours before each failure.
 
@@ -88,7 +88,7 @@ def before_failures(
     # Null values count neither as readings nor in the sum, as in count(value) and avg(value).
     value = F.coalesce("_v", empty)
     counted = F.when(F.col("_v").isNull(), 0).otherwise(F.col("_n"))
-    summed = running(points.unionByName(marks), ["device_id"], order, sums={"_cn": counted, "_cv": value}, slices=slices)
+    summed = running(points.unionByName(marks), ["device_id"], order, by="_at", sums={"_cn": counted, "_cv": value}, rows_per_bucket=rows_per_bucket)
     at_marks = summed.filter(F.col("_side") == 0).groupBy("device_id", "failure_id").agg(
         *[F.max(F.when(F.col("_mark") == h, F.col(c))).alias(f"{c}_{h}") for h in (0, *hours) for c in ("_cn", "_cv")]
     )
@@ -102,11 +102,11 @@ def before_failures(
                          ["device_id", "failure_id"])
 
 
-def failure_drift(failures: DataFrame, readings: DataFrame, slices: int | None = None) -> DataFrame:
+def failure_drift(failures: DataFrame, readings: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Means before each failure against the device's overall mean."""
     overall = readings.groupBy("device_id").agg(mean("metric_value").alias("device_mean"))
     rows = join_spread(
-        before_failures(failures, readings, slices=slices), overall, "device_id", "left", key_counts=failures.groupBy("device_id").count()
+        before_failures(failures, readings, rows_per_bucket=rows_per_bucket), overall, "device_id", "left", key_counts=failures.groupBy("device_id").count()
     )
     return rows.withColumn("drift_12h", ratio(F.col("mean_12h") - F.col("device_mean"), F.col("device_mean")))
 
@@ -144,23 +144,23 @@ def site_daily(devices: DataFrame, readings: DataFrame, alerts: DataFrame) -> Da
     return heard.join(raised, ["site_id", "summary_date"], "left").na.fill(0, ["alerts_raised", "alerts_critical"])
 
 
-def merged_windows(windows: DataFrame, slices: int | None = None) -> DataFrame:
+def merged_windows(windows: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Maintenance windows of a site with overlapping and touching ones merged."""
     per_start = windows.groupBy("site_id", "window_start").agg(F.max("window_end").alias("window_end"), F.count(F.lit(1)).alias("_n"))
     order = [F.asc("window_start")]
     covered = running(
-        per_start, ["site_id"], order, highest={"_covered": F.col("window_end")}, before=True, slices=slices,
-        bound=windows.select("site_id"), chained=True,
+        per_start, ["site_id"], order, by="window_start", highest={"_covered": F.col("window_end")}, before=True,
+        rows_per_bucket=rows_per_bucket, chained=True,
     )
     opens = F.col("_covered").isNull() | (F.col("window_start") > F.col("_covered"))
-    numbered = running(covered, ["site_id"], order, sums={"_island": opens.cast("long")})
+    numbered = running(covered, ["site_id"], order, by="window_start", sums={"_island": opens.cast("long")})
     return numbered.groupBy("site_id", "_island").agg(
         F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), F.sum("_n").alias("windows_merged")
     ).drop("_island")
 
 
-def site_downtime(windows: DataFrame, slices: int | None = None) -> DataFrame:
-    merged = merged_windows(windows, slices)
+def site_downtime(windows: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    merged = merged_windows(windows, rows_per_bucket)
     seconds = F.timestamp_diff("SECOND", F.col("window_start"), F.col("window_end"))
     return merged.groupBy("site_id").agg(
         F.count(F.lit(1)).alias("outages"),
@@ -172,13 +172,13 @@ def site_downtime(windows: DataFrame, slices: int | None = None) -> DataFrame:
 
 def sessions(
     clicks: DataFrame, gap: str = "INTERVAL 30 MINUTES", user: str = "customer_id", time: str = "event_time",
-    tie_break: Sequence[str] = ("event_id",), slices: int | None = None,
+    tie_break: Sequence[str] = ("event_id",), rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Sessions per user, closed by a pause longer than ``gap``; views and cart additions counted."""
     order = [F.asc(time), *[F.asc(c) for c in tie_break]]
-    stepped = running(clicks, [user], order, previous={"_before": F.col(time)}, slices=slices, chained=True)
+    stepped = running(clicks, [user], order, by=time, previous={"_before": F.col(time)}, rows_per_bucket=rows_per_bucket, chained=True)
     opens = F.col("_before").isNull() | (F.col(time) > F.col("_before") + F.expr(gap))
-    numbered = running(stepped, [user], order, sums={"_session": opens.cast("long")})
+    numbered = running(stepped, [user], order, by=time, sums={"_session": opens.cast("long")})
     return numbered.groupBy(user, "_session").agg(
         F.min(time).alias("session_start"),
         F.max(time).alias("session_end"),
@@ -202,7 +202,7 @@ def daily_bars(ticks: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def running_stock(
     changes: DataFrame, opening: DataFrame | None = None, order: Sequence[str] = ("transaction_date", "transaction_id"),
-    slices: int | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Stock after each change, never below zero.
 
@@ -214,10 +214,9 @@ def running_stock(
     if opening is not None:
         rows = rows.join(opening.select("product_id", "stock_quantity"), "product_id", "left")
     start = F.coalesce(F.col("stock_quantity"), F.lit(0)).cast("long") if opening is not None else F.lit(0).cast("long")
-    plain = running(rows, ["product_id"], by, sums={"_sum": F.col("quantity_change")}, slices=slices,
-                    bound=changes.select("product_id"), chained=True)
+    plain = running(rows, ["product_id"], by, by=order[0], sums={"_sum": F.col("quantity_change")}, rows_per_bucket=rows_per_bucket, chained=True)
     plain = plain.withColumn("_level", F.col("_sum") + start)
-    floored = running(plain, ["product_id"], by, lowest={"_deepest": F.col("_level")})
+    floored = running(plain, ["product_id"], by, by=order[0], lowest={"_deepest": F.col("_level")})
     return floored.select(
         *changes.columns, (F.col("_level") - F.least(F.col("_deepest"), F.lit(0))).alias("quantity_after")
     )

@@ -825,6 +825,7 @@ _SQL["running_customer_value"] = f"""
     SELECT customer_id, order_id, order_date, {d('total_amount')} AS total_amount, {d('sum(total_amount) OVER w')} AS value_so_far, {d('max(total_amount) OVER w')} AS largest_so_far,
            lag(order_date) OVER w AS previous_date, row_number() OVER w AS order_number
     FROM in_archive WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_id)"""
+_SQL["running_customer_value_in_buckets"] = _SQL["running_customer_value"]
 _SQL["newest_order"] = f"""
     SELECT DISTINCT ON (customer_id) customer_id, order_date, order_id, order_status, {d('total_amount')} AS total_amount FROM in_archive ORDER BY customer_id, order_date DESC, order_id DESC"""
 _SQL["order_calendar"] = f"""

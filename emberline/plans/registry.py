@@ -698,20 +698,30 @@ def spend_seasonality(t):
 @query
 def order_numbers(t):
     """Gap-free numbers over all orders."""
-    return ordered.surrogate_keys(t.orders_archive().select("order_id"), "order_number", [F.asc("order_id")])
+    return ordered.surrogate_keys(t.orders_archive().select("order_id"), "order_number", [F.asc("order_id")], "order_id", rows_per_bucket=1_000)
 
 
-@query
-def running_customer_value(t):
-    """Running value, running maximum and previous order per customer."""
+def _running_customer_value(t, rows_per_bucket: int):
     rows = t.orders_archive().select("customer_id", "order_id", "order_date", "total_amount")
     return ordered.running(
-        rows, ["customer_id"], [F.asc("order_date"), F.asc("order_id")],
+        rows, ["customer_id"], [F.asc("order_date"), F.asc("order_id")], by="order_date", rows_per_bucket=rows_per_bucket,
         sums={"value_so_far": F.col("total_amount")}, highest={"largest_so_far": F.col("total_amount")},
         previous={"previous_date": F.col("order_date")}, number="order_number",
     )
 
 
+@query
+def running_customer_value(t):
+    """Running value, running maximum and previous order per customer."""
+    return _running_customer_value(t, ordered.ROWS_PER_BUCKET)
+
+
+@query
+def running_customer_value_in_buckets(t):
+    """The same with buckets so small that nearly every customer has several, as a customer with a third of all orders would."""
+    return _running_customer_value(t, 5)
+
+
 @query
 def newest_order(t):
     rows = t.orders_archive().select("customer_id", "order_date", "order_id", "order_status", "total_amount")

@@ -116,7 +116,7 @@ def test_compounding_equals_last_over_first(tables):
 
 
 def test_velocity_ranks_have_no_gaps(tables):
-    weekly = rollups.weekly_products(tables.orders_archive(), tables.order_items(), tables.products(), slices=4)
+    weekly = rollups.weekly_products(tables.orders_archive(), tables.order_items(), tables.products(), rows_per_bucket=4)
     per = weekly.groupBy("product_category", "week_start_date").agg(
         F.count("*").alias("n"), F.max("velocity_rank").alias("top"), F.count_distinct("velocity_rank").alias("d")
     )

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from emberline.operators import keyed, ordered, ranks, signals
 from emberline.operators.skew import hot_keys, join_spread
@@ -47,15 +47,15 @@ def sequence(spark, n=500):
     return spark.createDataFrame(rows, "k string, t int, v int, mark boolean")
 
 
-@pytest.mark.parametrize("slices", [None, 1, 7])
+@pytest.mark.parametrize("per_bucket", [10**6, 100, 7])
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("before", [False, True])
-def test_running_folds(spark, slices, descending, before):
+def test_running_folds(spark, per_bucket, descending, before):
     df = sequence(spark)
     got = ordered.running(
-        df, ["k"], [F.desc("t") if descending else F.asc("t")],
+        df, ["k"], [F.desc("t") if descending else F.asc("t")], by="t",
         sums={"s": F.col("v")}, highest={"hi": F.col("v")}, lowest={"lo": F.col("v")}, last_known={"last": F.col("v")},
-        previous={"prev": F.col("v")}, number="n", before=before, slices=slices,
+        previous={"prev": F.col("v")}, number="n", before=before, rows_per_bucket=per_bucket,
     )
     assert got.columns == ["k", "t", "v", "mark", "s", "n", "hi", "lo", "last", "prev"]
     groups = defaultdict(list)
@@ -71,16 +71,41 @@ def test_running_folds(spark, slices, descending, before):
     assert {tuple(x) for x in got.collect()} == want
 
 
-def test_running_uses_many_slices(spark):
-    sliced = ordered.slice_in_order(sequence(spark), ["k"], [F.asc("t")], 7)
-    assert sliced.filter("k = 'hot'").select("_slice").distinct().count() > 2
+def test_large_groups_alone_are_cut(spark):
+    cut = ordered.in_buckets(sequence(spark), ["k"], "t", 100)
+    assert cut.filter("k = 'hot'").select("_bucket").distinct().count() > 5
+    assert cut.filter("k <> 'hot' AND _bucket IS NOT NULL").isEmpty()
 
 
-@pytest.mark.parametrize("slices", [None, 5])
-def test_second_fold_takes_over_the_placement(spark, slices):
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "double", "decimal(12,3)", "string"])
+@pytest.mark.parametrize("descending", [False, True])
+def test_buckets_follow_the_order_of_every_type(spark, kind, descending):
+    """Numbers in buckets equal those of a plain window; nulls, ties and odd values among the order values."""
+    rng = random.Random(11)
+    texts = {"date": ["2024-02-29", "1969-12-31"], "timestamp": ["2024-02-29 10:00:00.5", "1950-01-01 00:00:00"], "timestamp_ntz": ["2024-03-31 02:30:00", "1950-01-01 00:00:00"],
+             "double": ["-1.5", "0.0", "1e300"], "decimal(12,3)": ["-7.125", "0"], "string": ["", "order-9", "été", "Z", "order-10000000000"]}[kind]
+    made = {"date": lambda n: f"20{n % 30:02d}-01-{n % 28 + 1:02d}", "timestamp": lambda n: f"2020-01-{n % 28 + 1:02d} 00:00:{n % 60:02d}",
+            "timestamp_ntz": lambda n: f"2020-01-{n % 28 + 1:02d} 00:00:{n % 60:02d}", "double": lambda n: str(n / 7), "decimal(12,3)": lambda n: str(n), "string": lambda n: f"order-{n:05d}"}[kind]
+    data = [(i % 2, rng.choice([None, *texts]) if i % 5 == 0 else made(rng.randrange(9999)), i) for i in range(400)]
+    df = spark.createDataFrame(data, "g int, s string, i int").withColumn("t", F.col("s").cast(kind)).drop("s")
+    order = [F.desc_nulls_first("t") if descending else F.asc_nulls_last("t"), F.asc("i")]
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("long"))
+    assert rows_of(ordered.running(df, ["g"], order, by="t", number="n", rows_per_bucket=20)) == rows_of(want)
+
+
+@pytest.mark.parametrize("values", [[float("nan"), 1.0, None], [float("inf"), -float("inf"), 2.0], [3.0], [None]])
+def test_order_values_without_a_range(spark, values):
+    df = spark.createDataFrame([(None, values[i % len(values)], i) for i in range(60)], "g string, t double, i int")
+    order = [F.asc("t"), F.asc("i")]
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("long"))
+    assert rows_of(ordered.running(df, ["g"], order, by="t", number="n", rows_per_bucket=10)) == rows_of(want)
+
+
+@pytest.mark.parametrize("per_bucket", [10**6, 20])
+def test_second_fold_takes_over_the_buckets(spark, per_bucket):
     df = sequence(spark)
-    one = ordered.running(df, ["k"], [F.asc("t")], sums={"s": F.col("v")}, slices=slices, chained=True)
-    two = ordered.running(one, ["k"], [F.asc("t")], highest={"top": F.col("s")})
+    one = ordered.running(df, ["k"], [F.asc("t")], by="t", sums={"s": F.col("v")}, rows_per_bucket=per_bucket, chained=True)
+    two = ordered.running(one, ["k"], [F.asc("t")], by="t", highest={"top": F.col("s")})
     assert two.columns == ["k", "t", "v", "mark", "s", "top"]
     best = {}
     for x in sorted(two.collect(), key=lambda x: x.t):
@@ -88,16 +113,17 @@ def test_second_fold_takes_over_the_placement(spark, slices):
         assert x.top == best[x.k]
 
 
-def test_large_groups_are_noticed(spark, monkeypatch):
-    df = sequence(spark)
-    assert ordered.has_large_group(df, ["k"], 100) and not ordered.has_large_group(df, ["k"], 499)
-    monkeypatch.setattr(ordered, "has_large_group", lambda *_: True)
-    got = ordered.running(df, ["k"], [F.asc("t")], number="n", chained=True)
-    assert ordered.SLICE in got.columns and got.count() == df.count()
+def test_building_folds_and_ranks_starts_no_job(spark):
+    df, jobs = sequence(spark), lambda: spark._jsc.sc().dagScheduler().nextJobId()
+    before = jobs()
+    ordered.running(df, ["k"], [F.asc("t")], by="t", number="n", chained=True)
+    ordered.surrogate_keys(df.select("t"), "n", [F.asc("t")], "t")
+    ranks.value_at_rank(df, ["k"], "v")
+    assert jobs() == before
 
 
 def test_surrogate_keys_have_no_gaps(spark):
-    got = ordered.surrogate_keys(sequence(spark).select("t"), "n", [F.asc("t")], slices=6)
+    got = ordered.surrogate_keys(sequence(spark).select("t"), "n", [F.asc("t")], "t", rows_per_bucket=40)
     assert all(x.n == x.t + 1 for x in got.collect())
 
 
@@ -177,7 +203,7 @@ def test_as_of_join(spark):
     got = signals.as_of_join(
         spark.createDataFrame(left, "site string, at timestamp_ntz, id string"),
         spark.createDataFrame(right, "site string, seen timestamp_ntz, temp int"),
-        ["site"], "at", "seen", ["temp"], ["id"], slices=6,
+        ["site"], "at", "seen", ["temp"], ["id"], rows_per_bucket=10,
     )
     newest = {}
     for site, at, i in left:
@@ -193,7 +219,7 @@ def test_before_failures(spark):
     got = signals.before_failures(
         spark.createDataFrame(failures, "device_id string, failure_id string, failure_timestamp timestamp_ntz"),
         spark.createDataFrame(readings, "device_id string, reading_timestamp timestamp_ntz, metric_name string, metric_value int"),
-        slices=5,
+        rows_per_bucket=20,
     )
     rows = got.collect()
     assert len(rows) == len(failures)
@@ -211,7 +237,7 @@ def test_merged_windows(spark):
     for i in range(200):
         start = START + timedelta(minutes=rng.randrange(4000))
         data.append(("s" if i % 3 else "t", start, start + timedelta(minutes=rng.randrange(60))))
-    got = signals.merged_windows(spark.createDataFrame(data, "site_id string, window_start timestamp_ntz, window_end timestamp_ntz"), slices=5)
+    got = signals.merged_windows(spark.createDataFrame(data, "site_id string, window_start timestamp_ntz, window_end timestamp_ntz"), rows_per_bucket=20)
     want = set()
     for site in "st":
         merged = []
@@ -228,7 +254,7 @@ def test_merged_windows(spark):
 def test_sessions(spark):
     rng = random.Random(8)
     data = [("u" if i % 2 else f"u{i % 5}", START + timedelta(minutes=rng.randrange(5000)), rng.choice(["view", "click", "x"]), i) for i in range(300)]
-    got = signals.sessions(spark.createDataFrame(data, "customer_id string, event_time timestamp_ntz, event_type string, event_id int"), slices=4)
+    got = signals.sessions(spark.createDataFrame(data, "customer_id string, event_time timestamp_ntz, event_type string, event_id int"), rows_per_bucket=15)
     want = set()
     for user in {x[0] for x in data}:
         found = []
@@ -248,7 +274,7 @@ def test_running_stock_never_falls_below_zero(spark):
     opening = {"p": 4, "p0": 1, "p2": 0}
     got = signals.running_stock(
         spark.createDataFrame(data, "product_id string, transaction_date int, transaction_id string, quantity_change long"),
-        spark.createDataFrame(list(opening.items()), "product_id string, stock_quantity int"), slices=5,
+        spark.createDataFrame(list(opening.items()), "product_id string, stock_quantity int"), rows_per_bucket=20,
     )
     level, want = dict(opening), set()
     for p, day, i, change in data:
