@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.labels import bands, triage_rank
 from ..functions.numbers import fixed, mean, ratio
 from ..functions.times import day, days_upto, instant, Moment, since
-from .keyed import newest_per_key
+from .keyed import newest_per_key, only_for
 from .ordered import ROWS_PER_BUCKET
 from .signals import alerts_with_weather
 from .skew import join_spread
@@ -41,10 +41,11 @@ def alert_triage(
     """
     if weather_at not in ("latest", "raised"):
         raise ValueError("weather_at must be 'latest' or 'raised'")
-    baseline = hourly.filter(since("hour_start", as_of, baseline_days, *_hour_parts(hourly))).groupBy("device_id", "metric_name").agg(
+    opened = alerts.filter(~F.col("acknowledged"))
+    past = hourly.filter(since("hour_start", as_of, baseline_days, *_hour_parts(hourly)))
+    baseline = only_for(past, opened, ["device_id", "metric_name"]).groupBy("device_id", "metric_name").agg(
         F.max("p95_value").cast("double").alias("_p95"), mean("avg_value").alias("_avg")
     )
-    opened = alerts.filter(~F.col("acknowledged"))
     place = devices.select("device_id", "device_class", "model", "zone")
     # Hot keys are counted on the alerts alone, before the first join.
     rows = join_spread(opened, place, "device_id")
@@ -136,20 +137,27 @@ def top_categories(orders: DataFrame, items: DataFrame, per_order: bool = True)
 
 def cart_personalization(
     carts: DataFrame, customers: DataFrame, ltv: DataFrame, orders: DataFrame, items: DataFrame,
-    per_order: bool = True, top: int | None = 25,
+    per_order: bool = True, top: int | None = 25, as_of: Moment | None = None,
 ) -> DataFrame:
-    """Customers filling a cart, with their lifetime value and preferred category."""
+    """Customers filling a cart, with their lifetime value and preferred category.
+
+    Of the archive only these customers' orders, and of the lines only those of such orders, are aggregated. With ``as_of`` the
+    lifetime value is the newest by that day.
+    """
     filled = carts.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("items_in_cart"),
         F.sum(F.col("quantity") * F.col("unit_price")).cast("decimal(28,2)").alias("cart_value"),
     )
+    known = ltv if as_of is None else ltv.filter(F.col("snapshot_date") <= day(as_of))
     latest = newest_per_key(
-        ltv.select("customer_id", "ltv", "loyalty_tier", "cumulative_orders", "snapshot_date"), ["customer_id"], ["snapshot_date"]
+        only_for(known, carts, ["customer_id"]).select("customer_id", "ltv", "loyalty_tier", "cumulative_orders", "snapshot_date"), ["customer_id"], ["snapshot_date"]
     )
+    theirs = only_for(orders.select("customer_id", "order_id"), carts, ["customer_id"])
+    lines = only_for(items, theirs, ["order_id"])
     out = (
         filled.join(customers.select("customer_id"), "customer_id")
         .join(latest, "customer_id", "left")
-        .join(top_categories(orders, items, per_order), "customer_id", "left")
+        .join(top_categories(theirs, lines, per_order), "customer_id", "left")
         .select(
             "customer_id", "items_in_cart", "cart_value", F.col("ltv").alias("historical_ltv"),
             "loyalty_tier", "cumulative_orders", "top_preferred_category",
@@ -158,8 +166,12 @@ def cart_personalization(
     return _top(out, [F.desc("cart_value"), F.asc("customer_id")], top)
 
 
-def price_audit(products: DataFrame, quotes: DataFrame, above: float = 0.10, top: int | None = 30) -> DataFrame:
-    """Active products priced well above the mean competitor price of the newest week."""
+def price_audit(
+    products: DataFrame, quotes: DataFrame, above: float = 0.10, top: int | None = 30, as_of: Moment | None = None
+) -> DataFrame:
+    """Active products priced well above the mean competitor price of the newest week; with ``as_of``, the newest begun by that day."""
+    if as_of is not None:
+        quotes = quotes.filter(F.col("week_start_date") <= day(as_of))
     newest = quotes.agg(F.max("week_start_date").alias("w"))
     market = quotes.filter(F.col("week_start_date") == newest.scalar()).groupBy(F.col("our_product_id").alias("product_id")).agg(
         mean("competitor_price").alias("_market"), F.count(F.lit(1)).alias("competitor_quotes")
@@ -188,7 +200,7 @@ def order_risk(
 ) -> DataFrame:
     """Orders in fulfilment with the return rate of their customer. No history reads as LOW."""
     live = inflight.filter(F.col("order_status").isin("processing", "shipped"))
-    rows = join_spread(live, return_rates(archive), "customer_id", "left")
+    rows = join_spread(live, return_rates(only_for(archive, live, ["customer_id"])), "customer_id", "left")
     flag = bands(F.col("_rate"), (high, "HIGH"), (medium, "MEDIUM"), otherwise="LOW", strict=False)
     out = rows.select(
         "order_id", "customer_id", "order_date", "order_status", "total_amount", "lifetime_orders", "lifetime_returns",
@@ -228,20 +240,21 @@ def authorization_context(
     baseline_days: int = 180, times_average: float = 5, min_history: int = 3, top: int | None = 30,
 ) -> DataFrame:
     """Transactions asking for authorization against the customer's spending and risk tier."""
+    asking = authorizing.filter(F.col("auth_status") == "requesting")
+    asked = asking.groupBy("account_id", "merchant_category").count()
+    of_account = only_for(accounts.select("account_id", "customer_id"), asking, ["account_id"])
+    pairs = asked.drop("count").join(of_account, "account_id")
     spent = archive.filter(days_upto("txn_date", as_of, baseline_days) & (F.col("status") == "posted"))
-    usual = spent.groupBy("customer_id", "merchant_category").agg(
+    usual = only_for(spent, pairs, ["customer_id", "merchant_category"]).groupBy("customer_id", "merchant_category").agg(
         mean("amount").alias("_avg"), F.max("amount").cast("double").alias("_max"), F.count(F.lit(1)).alias("baseline_n")
     )
     known = risk.filter(F.col("snapshot_date") <= day(as_of))
-    latest = newest_per_key(known.select("customer_id", "risk_score", "risk_tier", "snapshot_date"), ["customer_id"], ["snapshot_date"])
+    latest = newest_per_key(
+        only_for(known, of_account, ["customer_id"]).select("customer_id", "risk_score", "risk_tier", "snapshot_date"), ["customer_id"], ["snapshot_date"]
+    )
     # History moves to the (account, category) pairs that are asking, so that the live rows meet it
     # on their own columns and no pair is formed that nobody asked for.
-    asking = authorizing.filter(F.col("auth_status") == "requesting")
-    asked = asking.groupBy("account_id", "merchant_category").count()
-    of_account = accounts.select("account_id", "customer_id")
-    context = join_spread(
-        asked.drop("count").join(of_account, "account_id"), usual, ["customer_id", "merchant_category"], "left"
-    ).drop("customer_id")
+    context = join_spread(pairs, usual, ["customer_id", "merchant_category"], "left").drop("customer_id")
     owner = join_spread(of_account, latest.drop("snapshot_date"), "customer_id", "left")
     rows = join_spread(asking, owner, "account_id")
     rows = join_spread(rows, context, ["account_id", "merchant_category"], "left", key_counts=asked)

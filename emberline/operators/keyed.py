@@ -17,6 +17,14 @@ def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.withColumn("_version", F.row_number().over(ranked)).filter(F.col("_version") == 1).drop("_version")
 
 
+def only_for(history: DataFrame, live: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """History rows whose keys occur among the live rows, before anything is aggregated or sorted.
+
+    A semi join: where the live keys are few Spark sends them to the history, which is then not shuffled at all.
+    """
+    return history.join(live.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def page_of(df: DataFrame, order: Sequence[Column], page: int = 1, page_size: int = 25) -> DataFrame:
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size must be positive")

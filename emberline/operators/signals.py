@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import mean, ratio
 from ..functions.times import monday_of
+from .keyed import only_for
 from .ordered import ROWS_PER_BUCKET, running
 from .skew import join_spread
 
@@ -63,10 +64,14 @@ def before_failures(
 ) -> DataFrame:
     """Count and mean of the device's readings in the last hours before each failure.
 
-    A reading lies in the window when ``failure - h <= t < failure``. Running count and sum per
-    device are read at the window's two ends and subtracted: one ordered pass, no pairs of
-    readings and failures. Values are decimals, so the subtraction is exact.
+    A reading lies in the window when ``failure - h <= t < failure``. First only readings stay that lie in an hour some failure's
+    longest window covers, a semi join by device and hour. Of these, running count and sum per device are read at the
+    window's two ends and subtracted: one ordered pass, no pairs of readings and failures. Values are decimals, so the
+    subtraction is exact.
     """
+    first, last = (F.date_trunc("hour", t) for t in (F.col("failure_timestamp") - F.expr(f"INTERVAL {max(hours)} HOURS"), F.col("failure_timestamp")))
+    covered = failures.select("device_id", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 HOUR"))).alias("_hour"))
+    readings = only_for(readings.withColumn("_hour", F.date_trunc("hour", "reading_timestamp")), covered, ["device_id", "_hour"])
     empty = F.lit(0).cast("decimal(28,6)")
     points = readings.select(
         "device_id", F.col("reading_timestamp").alias("_at"), F.lit(1).alias("_side"),
@@ -104,7 +109,7 @@ def before_failures(
 
 def failure_drift(failures: DataFrame, readings: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Means before each failure against the device's overall mean."""
-    overall = readings.groupBy("device_id").agg(mean("metric_value").alias("device_mean"))
+    overall = only_for(readings, failures, ["device_id"]).groupBy("device_id").agg(mean("metric_value").alias("device_mean"))
     rows = join_spread(
         before_failures(failures, readings, rows_per_bucket=rows_per_bucket), overall, "device_id", "left", key_counts=failures.groupBy("device_id").count()
     )

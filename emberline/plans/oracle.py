@@ -549,6 +549,7 @@ _SQL["recent_readings_past"] = _SQL["recent_readings"].replace(
 _SQL["site_health_past"] = _SQL["site_health"].replace(
     f"summary_date >= CAST({NOW} AS DATE) - 30", f"summary_date BETWEEN CAST({PAST} AS DATE) - 30 AND CAST({PAST} AS DATE)"
 )
+_SQL["cart_personalization_past"] = _SQL["cart_personalization"].replace("DATE '2001-07-31'", "DATE '2001-04-30'")
 _SQL["portfolio_exposure_past"] = _SQL["portfolio_exposure"].replace(TODAY, PAST_DAY)
 
 HOURLY_COLS = f"device_id, metric_name, hour_start, hour_year, hour_month, sample_count, {d('min_value')} AS min_value, {d('max_value')} AS max_value, avg_value, {d('p95_value')} AS p95_value, stddev_value"

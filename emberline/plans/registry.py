@@ -425,6 +425,14 @@ def site_health_past(t):
     return federated.site_health(t.device_state(), t.daily_site_summary(), IOT_PAST)
 
 
+@query
+def cart_personalization_past(t):
+    """Carts of today with the lifetime value known three months before."""
+    return federated.cart_personalization(
+        t.active_carts(), t.commerce_customers(), t.customer_ltv(), t.orders_archive(), t.order_items(), as_of="2001-05-15"
+    )
+
+
 @query
 def portfolio_exposure_past(t):
     return federated.portfolio_exposure(t.accounts(), t.portfolio_metrics(), t.market_data(), BUSINESS_PAST, "Brand#1")
