@@ -15,6 +15,9 @@ from emberline.session import job_folder
 #: brute-force versions.
 ORACLE_SQL = None
 
+#: A passage of fifty words, most of them short, has over 200 bytes. The operator's own query takes 400.
+REPEATED_BYTES = 200
+
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, fitted on labelled ones among them, doesn't call toxic."""
@@ -35,9 +38,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the long strings that occur more than once among them."""
+    """All documents, less the strings of ``REPEATED_BYTES`` bytes that occur more than once among them."""
     prepare(spark)
-    return suffix_dedup.without_repeats(docs)
+    return suffix_dedup.without_repeats(docs, REPEATED_BYTES)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
