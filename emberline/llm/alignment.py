@@ -65,24 +65,24 @@ class Vocabulary:
     def __init__(self, token_bytes: list[bytes]):
         self.token_bytes, self.sizes = token_bytes, np.array([len(t) for t in token_bytes], np.int64)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
+    def ids(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
     def of(self, texts: list[str]) -> list[np.ndarray | None]:
         """Ids of each text, which begins with a space or is empty, or None if their tokens' bytes in a row differ from the text's."""
         take = self.token_bytes.__getitem__
-        return [np.array(ids, np.int64) if b"".join(map(take, ids)) == text.encode() else None for text, ids in zip(texts, self._ids(texts))]
+        return [np.array(ids, np.int64) if b"".join(map(take, ids)) == text.encode() else None for text, ids in zip(texts, self.ids(texts))]
 
 
 class ByteLevel(Vocabulary):
-    """A byte-level vocabulary file of the tokenizers library; special strings are plain text.
+    """A byte-level vocabulary file of the tokenizers library; special strings are plain text, or with ``special`` ids of their own.
 
     Where its ids follow the order of its merges, the ranks of the tiktoken library are the same vocabulary, and that library is
     several times as fast. The two know different versions of Unicode, so texts with characters that Python's own, older table
     doesn't know are left to the tokenizers library.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, special: bool = False):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         numbers = file["model"]["vocab"] | {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -91,6 +91,7 @@ class ByteLevel(Vocabulary):
             token_bytes[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
         super().__init__(token_bytes)
         self.path, self.library, self.ranks = path, None, None
+        self.special = [t["content"] for t in file["added_tokens"]] if special else []
         merged = [numbers["".join(m if isinstance(m, list) else m.split(" "))] for m in file["model"]["merges"]]
         if all(a < b for a, b in zip(merged, merged[1:])):
             import tiktoken
@@ -106,13 +107,13 @@ class ByteLevel(Vocabulary):
             self.library = Tokenizer.from_file(self.path)
             self.library.no_truncation()
             self.library.no_padding()
-            self.library.encode_special_tokens = True
+            self.library.encode_special_tokens = not self.special
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
+    def ids(self, texts: list[str]) -> list[list[int]]:
         out, left = [], []
         for k, text in enumerate(texts):
-            known = self.ranks is not None and (text.isascii() or all(unicodedata.category(c) != "Cn" for c in set(text)))
+            known = self.ranks is not None and not any(s in text for s in self.special) and (text.isascii() or all(unicodedata.category(c) != "Cn" for c in set(text)))
             out.append(self.ranks.encode_ordinary(text) if known else None)
             if not known:
                 left.append(k)
@@ -132,7 +133,7 @@ class Pieces(Vocabulary):
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         super().__init__([bytes([int(p[3:-1], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
+    def ids(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode([t[1:] for t in texts], num_threads=1)
 
 

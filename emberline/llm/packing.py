@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import library_ids
+from .alignment import ByteLevel
 from .common import map_arrow, rows_of
 
 CAPACITY = 1024
@@ -65,8 +65,17 @@ class Bins:
                 held = held[n:]
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """Every token of every document in exactly one piece, each piece in one sequence, with its place there and its ids as
+_LOADED: dict[tuple, ByteLevel] = {}
+
+
+def _loaded(path: str, pattern: str) -> ByteLevel:
+    if (path, pattern) not in _LOADED:
+        _LOADED[path, pattern] = ByteLevel(path, pattern, special=True)
+    return _LOADED[path, pattern]
+
+
+def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+    """Ids by a byte-level vocabulary file whose library splits by ``pattern``: every token of every document in exactly one piece, each piece in one sequence, with its place there and its ids as
     little-endian unsigned 32-bit bytes: a sequence is the ids of its pieces in the order of ``offset``. ``ids_crc32`` is theirs.
 
     Null and empty texts are one piece, the end id alone. Repeated rows are packed each for itself; a null doc_id stays
@@ -75,7 +84,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = library_ids(vocabulary, spaced=True)
+        encoder = _loaded(vocabulary, pattern)
         end = np.array([END_ID], "<u4").tobytes()
         bins = Bins(TaskContext.get().partitionId(), capacity)
 
@@ -84,8 +93,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(zip(*rows), _FIELDS)], schema=_FIELDS)
 
         for batch in batches:
-            for doc_id, parts in zip(rows_of(batch, "doc_id"), chunks.of(rows_of(batch, "text"))):
-                ids = b"".join(parts) + end
+            for doc_id, found in zip(rows_of(batch, "doc_id"), encoder.ids([t or "" for t in rows_of(batch, "text")])):
+                ids = np.array(found, "<u4").tobytes() + end
                 start, n = 0, len(ids) // 4
                 for length in cuts(n, capacity):
                     bins.add(length, (doc_id, start, length, ids[4 * start : 4 * (start + length)], n))

@@ -19,7 +19,7 @@ def op1_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).drop("ids")
 
 
 def op3_cover_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def test_pieces_hold_every_id_once_and_sequences_have_no_gap(docs):
     for (i, t), (ids, _) in zip(rows, library(BYTES, [t for _, t in rows])):
         tokens[i, len(ids) + 1] = ids + [0]
     sequences, starts = {}, {}
-    for p in packing.pack(docs, BYTES).collect():
+    for p in packing.pack(docs, BYTES, public_tokenizers.PATTERN).collect():
         ids = tokens[p.doc_id, p.doc_tokens]
         assert p.length > 0 and crc(ids[p.start : p.start + p.length]) == p.ids_crc32
         sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
@@ -181,5 +181,5 @@ def test_given_edits(spark):
 
 
 def test_empty_tables(none):
-    for df in (packing.pack(none, BYTES), token_files.written_and_read(none, WORDS), prefix_bpe.encode_and_decode(none, WORDS), edit_counts.after_cleaning(none, BYTES)):
+    for df in (packing.pack(none, BYTES, public_tokenizers.PATTERN), token_files.written_and_read(none, WORDS), prefix_bpe.encode_and_decode(none, WORDS), edit_counts.after_cleaning(none, BYTES)):
         assert df.count() == 0
