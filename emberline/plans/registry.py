@@ -381,9 +381,9 @@ def site_list_in_order(t):
 
 @query
 def newest_readings_in_order(t):
-    return _placed(health.recent_readings(t.readings(), IOT_PAST, device_ids=["7", "42", "99", "100"]).coalesce(1)).select(
-        "place", "device_id", "metric_name", "reading_timestamp"
-    )
+    rows = health.recent_readings(t.readings(), IOT_PAST, device_ids=["7", "42", "99", "100"], newest_first=False)
+    order = [F.desc("reading_timestamp"), F.asc("device_id"), F.asc("metric_name")]
+    return ordered.surrogate_keys(rows.select("device_id", "metric_name", "reading_timestamp"), "place", order, "reading_timestamp")
 
 
 @query
