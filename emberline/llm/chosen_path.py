@@ -9,8 +9,8 @@ at 0.75 all trees miss a pair with probability 0.25 ** TREES.
 Only links that can still join two components matter. So equal sets are one vertex from the start, and every set of a root node is
 held against one of the node, its pivot, in full: how much they share, and what the set has besides. After that a pair needs
 a look only if its ends are in different components. Two sets that were both held against one pivot share at most the smaller
-of what each shares with it, and what both have besides; so only pairs that have some of the same besides, or sizes that leave room, go on. In a
-large group of near copies next to none do. The other pairs of a node, with an end that is unlike its pivot, go on if their tokens agree.
+of what each shares with it, and what both have besides; so only pairs that have enough of the same besides, or sizes that leave room, go on. Such
+pairs meet in the rarer shingles of what they have besides (a prefix filter). In a large group of near copies next to none do. The other pairs of a node, with an end that is unlike its pivot, go on if their tokens agree.
 Tokens only choose pairs: a link is confirmed on the full sets.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settled
 from .common import discard, map_arrow, mixed, release, rows_of, word_list
@@ -36,6 +36,8 @@ TOKENS, TREES, BRANCHES, DEPTH = 64, 20, 8, 3
 LONGS, AGREEING, FIRST_LONGS, FIRST_AGREEING = 18, 70, 9, 30
 #: A node is small if it has at most this many sets that are unlike its pivot.
 SMALL = 10_000
+#: What a set has besides its pivot is also kept as a bitmap of this many bits, one for each range of shingle hashes.
+BITS = 512
 
 _ODD = mixed(np.arange(1, 7 * LONGS + 1, dtype=np.uint64)) | np.uint64(1)
 _HIGH = np.uint64(32)
@@ -115,7 +117,8 @@ def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids with their full sets' sizes, how much they share, whether they link, and what ``a`` has besides."""
+    """The pairs (a, b) of ids with their full sets' sizes, how much they share, whether they link, and what ``a`` has besides,
+    as shingles and as a bitmap."""
     pairs = settled(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = settled(docs.select("doc_id", "text").join(ids, "doc_id"))
@@ -134,7 +137,7 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             return known[text]
 
         for batch in batches:
-            na, nb, shared, besides = [], [], [], []
+            na, nb, shared, besides, bits = [], [], [], [], []
             for ta, tb in zip(rows_of(batch, "text_a"), rows_of(batch, "text_b")):
                 x, y = shingles(ta), set_of(tb or "")
                 rest = np.setdiff1d(x, y, assume_unique=True)
@@ -142,12 +145,16 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 nb.append(len(y))
                 shared.append(len(x) - len(rest))
                 besides.append(rest.view(np.int64))
+                seen = np.zeros(BITS, bool)
+                seen[(rest % np.uint64(BITS)).astype(np.int64)] = True
+                bits.append(np.packbits(seen).view(np.int64))
             sizes = {"na": pa.array(na, pa.int64()), "nb": pa.array(nb, pa.int64()), "shared": pa.array(shared, pa.int64())}
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), **sizes, "besides": pa.array(besides, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), **sizes, "besides": pa.array(besides, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
-    found = map_arrow(both, ["a", "b", "text_a", "text_b"], work, "a long, b long, na long, nb long, shared long, besides array<long>")
+    found = map_arrow(both, ["a", "b", "text_a", "text_b"], work, "a long, b long, na long, nb long, shared long, besides array<long>, bits array<long>")
     out = settled(found.withColumn("link", _alike("shared", "na", "nb")))
     discard(texts)
+    discard(pairs)
     return out
 
 
@@ -164,7 +171,10 @@ def _pivots(sets: DataFrame) -> DataFrame:
     central = settled(shared.groupBy("v").agg(F.sum("c").alias("weight")))
     best = F.max(F.struct("weight", (-F.col("v")).alias("minus"), "n"))
     pivots = shared.select("key", "v", "n").join(central, "v").groupBy("key").agg(best.alias("best"))
-    return settled(pivots.select("key", (-F.col("best.minus")).alias("p"), F.col("best.n").alias("np")))
+    pivots = settled(pivots.select("key", (-F.col("best.minus")).alias("p"), F.col("best.n").alias("np")))
+    for done in (sizes, shared, central):
+        discard(done)
+    return pivots
 
 
 def _first_pairs(sets: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -174,30 +184,58 @@ def _first_pairs(sets: DataFrame, pivots: DataFrame) -> DataFrame:
     return _likely(pairs.select(F.col("v").alias("a"), F.col("p").alias("b")).distinct(), sets)
 
 
+def _most(v: str, w: str) -> str:
+    """What two sets share at most of what they have besides a pivot: a bit that one's ``bits`` have and the other's lack stands for
+    one shingle or more that isn't shared."""
+    one_sided = lambda x, y: " + ".join(f"bit_count({x}[{k}] & ~{y}[{k}])" for k in range(BITS // 64))
+    return f"least(n - i - ({one_sided(v, w)}), m - j - ({one_sided(w, v)}))"
+
+
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(size) * 20).cast("int")
+
+
+def _probes(outside: DataFrame, index: DataFrame, plain: list[str]) -> DataFrame:
+    """The shingles by which sets look for others, one row for each set, size class of the other, and shingle.
+
+    A set that must have ``k`` shingles of its besides in common with one of that size meets it in any ``len(besides) - k + 1`` of them, so
+    those that fewest sets hold under the pivot are enough. Shingles whose holders are all in one component lead nowhere new."""
+    holders = index.groupBy("p", "s").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
+    holders = holders.select("p", "s", F.when(F.col("low") != F.col("high"), F.col("c")).otherwise(0).alias("c"))
+    classes = index.select("p", "step").distinct()
+    smallest = F.greatest(F.ceil(F.exp(F.col("step") / 20) - 1e-6), F.ceil(F.col("n") * PERCENT / 100))
+    near = (F.exp((F.col("step") + 1) / 20) * 100 >= F.col("n") * PERCENT - 1) & (F.exp(F.col("step") / 20) * PERCENT <= F.col("n") * 100 + 1)
+    asks = outside.join(classes, "p").filter(near)
+    # 100 * shared >= PERCENT * (n + m - shared), solved for what is shared; at most i of it lies in the pivot
+    least = F.ceil((F.col("n") + smallest) * PERCENT / (100 + PERCENT) - 1e-6) - F.col("i")
+    asks = asks.withColumn("k", F.greatest(F.lit(1), least)).withColumn("spare", F.size("besides") - F.col("k")).filter("spare >= 0")
+    asks = asks.select(*plain, "step", "spare", F.explode("besides").alias("s")).join(holders, ["p", "s"])
+    rank = F.row_number().over(Window.partitionBy("p", "v", "step").orderBy("c", "s"))
+    return asks.withColumn("rank", rank).filter("rank <= spare + 1 and c > 0").select(*plain, "step", "s")
+
+
 def _pairs_at_pivots(held: DataFrame, labels: DataFrame) -> DataFrame:
     """Of sets held against one pivot, the pairs across components that may be alike by what each shares with the pivot and what
-    both have besides. Pairs that have nothing the same besides meet by size: the other one must be small enough to be alike."""
-    rows = held.select(F.col("b").alias("p"), F.col("a").alias("v"), F.col("na").alias("n"), F.col("shared").alias("i"), "besides")
+    both have besides. Pairs that have nothing the same besides meet by size: the other one must be small enough to be alike. The others
+    meet in a shingle, and only those go on whose bits leave room for what they would have to share."""
+    rows = held.select(F.col("b").alias("p"), F.col("a").alias("v"), F.col("na").alias("n"), F.col("shared").alias("i"), "besides", "bits")
     rows = rows.join(labels, "v").join(labels.select(F.col("v").alias("p"), F.col("label").alias("main")), "p")
-    rows = settled(rows)
-    names = {"v": "w", "n": "m", "i": "j", "label": "other"}
+    rows = settled(rows.withColumn("step", _size_class(F.col("n"))))
+    names = {"v": "w", "n": "m", "i": "j", "label": "other", "bits": "bits_w"}
     plain = ["p", "v", "n", "i", "label"]
     outside = rows.filter("label <> main")
     apart = (F.col("label") != F.col("other")) & (F.col("v") != F.col("w")) & _near_sizes("n", "m")
 
-    sharing = outside.select(*plain, F.explode("besides").alias("s"))
-    sharing = sharing.join(rows.select(*plain, F.explode("besides").alias("s")).withColumnsRenamed(names), ["p", "s"]).filter(apart)
-    sharing = sharing.groupBy("p", "v", "w").agg(F.count("*").alias("same"), *[F.first(c).alias(c) for c in ("n", "m", "i", "j")])
-    sharing = sharing.withColumn("most", F.least("i", "j") + F.col("same")).filter(_alike("most", "n", "m"))
-
-    def step(size: Column) -> Column:
-        return F.floor(F.log(size) * 20).cast("int")
+    index = rows.select(*plain, "bits", "step", F.explode("besides").alias("s"))
+    probes = _probes(outside.select(*plain, "bits", "besides"), index, [*plain, "bits"])
+    may = apart & _alike(f"(least(i, j) + {_most('bits', 'bits_w')})", "n", "m")
+    sharing = probes.join(index.withColumnsRenamed(names), ["p", "step", "s"]).filter(may)
 
     # 100 * i >= PERCENT * (n + m - i), solved for the other's size m
     room = F.floor(F.col("i") * (100 + PERCENT) / PERCENT) - F.col("n")
     least = F.ceil(F.col("n") * PERCENT / 100)
-    by_size = outside.select(*plain).filter(room >= least).withColumn("step", F.explode(F.sequence(step(least), step(room))))
-    by_size = by_size.join(rows.select(*plain, step(F.col("n")).alias("step")).withColumnsRenamed(names), ["p", "step"])
+    by_size = outside.select(*plain).filter(room >= least).withColumn("step", F.explode(F.sequence(_size_class(least), _size_class(room))))
+    by_size = by_size.join(rows.select(*plain, "step").withColumnsRenamed(names), ["p", "step"])
     by_size = by_size.filter(apart & _alike("least(i, j)", "n", "m"))
     return sharing.select("v", "w").unionByName(by_size.select("v", "w")).select(F.greatest("v", "w").alias("a"), F.least("v", "w").alias("b"))
 
@@ -262,6 +300,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     further = settled(_pairs_at_pivots(held, labels).unionByName(_pairs_in_nodes(sets, labels, held, pivots)).distinct())
     more = compared(_likely(further, sets), docs).filter("link").select("a", "b")
     groups = components(links.unionByName(more))
+    for done in (held, labels, further, pivots):
+        discard(done)
     release(spark)
     of_set = settled(sets.join(groups, "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("c")))
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settled
-from .common import release
+from .common import discard, release
 
 
 def _shape(edges: DataFrame) -> tuple:
@@ -33,7 +33,9 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: u and its smaller neighbours hang on the smallest of them.
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(lowest.select("a", F.col("m").alias("b")))
-        edges = settled(small.distinct())
+        last, edges = edges, settled(small.distinct())
+        discard(last)
+        discard(large)
         release(edges.sparkSession)
         now = _shape(edges)
         if now == before:

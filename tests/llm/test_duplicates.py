@@ -263,3 +263,31 @@ def test_empty_tables(spark, none):
     assert chosen_path.near_duplicates(none).count() == suffix_dedup.digests(none).count() == 0
     assert suffix_dedup.without_repeats(none).count() == chosen_path.one_of_each(none).count() == 0
     assert grid_join.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
+
+
+def test_bits_bound_what_two_sets_share(spark):
+    """The bitmap bound never lies below what is shared, so no pair is lost by it."""
+    r = random.Random(3)
+    rows = []
+    for _ in range(60):
+        x, y = ({r.randrange(2**63) for _ in range(r.choice([0, 1, 30, 700]))} for _ in range(2))
+        y |= set(r.sample(sorted(x), len(x) // r.choice([1, 2, 9])))
+        bits = []
+        for part in (x, y):
+            seen = np.zeros(chosen_path.BITS, bool)
+            seen[[k % chosen_path.BITS for k in part]] = True
+            bits.append(np.packbits(seen).view(np.int64).tolist())
+        rows.append((len(x), 0, len(y), 0, *bits, len(x & y)))
+    df = spark.createDataFrame(rows, "n long, i long, m long, j long, bv array<long>, bw array<long>, same long")
+    got = df.select(F.expr(chosen_path._most("bv", "bw")).alias("most"), "same", "n").collect()
+    assert all(x.most >= x.same for x in got) and any(x.most < x.n for x in got)
+
+
+def test_unlinked_copies_of_one_text_that_share_their_edits(spark):
+    """Sets held against one pivot that all differ from it in the same passage: pairs between them meet by shingles besides the pivot's."""
+    r = random.Random(21)
+    base = [f"b{k}" for k in range(150)]
+    other = base[:110] + [f"o{k}" for k in range(40)]
+    texts = [" ".join(base)] + [edited(r, base, 0.01) for _ in range(40)] + [edited(r, other, r.choice([0.01, 0.03, 0.05, 0.06])) for _ in range(80)]
+    rows = list(enumerate(texts))
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == near_by_force(rows)
