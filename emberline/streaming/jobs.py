@@ -107,50 +107,95 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", folder: str
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def _versions(spark: SparkSession, base: str) -> dict[int, object]:
-    """The versions of a table below ``base`` that were written to their end, with their folders."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(base)
-    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(root):
-        return {}
-    found = [f.getPath() for f in store.listStatus(root) if f.getPath().getName().startswith("version=")]
-    whole = [p for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return {int(p.getName().removeprefix("version=")): p for p in whole}
+#: The column, and so the folder name, that says which bucket of an upserted table a row is in.
+_BUCKET = "upsert_bucket"
+
+
+def _written(spark: SparkSession, root: str) -> dict[int, dict[int, object]]:
+    """Per bucket the versions of it below ``root`` that were written to their end, with their folders."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[int, dict[int, object]] = {}
+    if not store.exists(top):
+        return found
+    for version in store.listStatus(top):
+        path = version.getPath()
+        if not store.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+            continue
+        for part in store.listStatus(path):
+            name = part.getPath().getName()
+            if name.startswith(f"{_BUCKET}="):
+                number = int(path.getName().removeprefix("version="))
+                found.setdefault(int(name.removeprefix(f"{_BUCKET}=")), {})[number] = part.getPath()
+    return found
+
+
+def _drop_superseded(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Delete what no batch can need again. Of each bucket stay the version of this batch, if it has one, and the newest before it,
+    which this batch reads when it runs again. Versions without a bucket left go as a whole."""
+    versions = _written(spark, root)
+    gone, left = [], set()
+    for of_bucket in versions.values():
+        before = [v for v in of_bucket if v < batch_id]
+        for v, path in of_bucket.items():
+            if v < max(before, default=v):
+                gone.append(path)
+            else:
+                left.add(v)
+    gone += {path.getParent().toString(): path.getParent() for of_bucket in versions.values() for v, path in of_bucket.items() if v not in left}.values()
+    for path in gone:
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def upsert_to_table(
-    stream: DataFrame, name: str, keys: Sequence[str], order: Sequence[str], folder: str | None = None
+    stream: DataFrame, name: str, keys: Sequence[str], order: Sequence[str], folder: str | None = None, buckets: int = 64
 ) -> DataFrame:
     """Keep the newest row per key across micro-batches and return the final table.
 
-    Every batch writes a new version of the table next to the old one and the versions are named
-    by batch, so a batch that is run again replaces its own output only. The version before stays
-    until the next batch, older ones go. A job that is to go on where it stopped names its ``folder``.
+    The table lies in ``buckets`` by a hash of the key. A batch reads and writes only the buckets that
+    its keys fall in, as a version named by the batch, so a batch that is run again replaces its own
+    output only. A job that is to go on where it stopped names its ``folder`` and keeps its number of
+    buckets; another number raises ValueError. At scale choose it so that a bucket is a few files.
     """
+    if buckets < 1:
+        raise ValueError("buckets must be positive")
+    if _BUCKET in stream.columns:
+        raise ValueError(f"the column {_BUCKET} is the table's own")
     spark = stream.sparkSession
     base = folder or job_folder(spark, "streams", f"{name}-{uuid.uuid4().hex}")
     schema = stream.schema
+    root = f"{base}/in_{buckets}_buckets"
+    above = spark._jvm.org.apache.hadoop.fs.Path(base)
+    store = above.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    others = [f.getPath().getName() for f in store.listStatus(above)] if store.exists(above) else []
+    if any(o.startswith("in_") and o.endswith("_buckets") and not root.endswith(f"/{o}") for o in others):
+        raise ValueError(f"the table in {base} has another number of buckets")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        changes = newest_per_key(batch, keys, order)
-        if batch_id > 0:
-            current = session.read.schema(schema).parquet(f"{base}/version={batch_id - 1}")
-            changes = newest_per_key(current.unionByName(changes), keys, order)
-        changes.write.mode("overwrite").parquet(f"{base}/version={batch_id}")
-        for version, path in _versions(session, base).items():
-            if version < batch_id - 1:
-                path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int").alias(_BUCKET)
+        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most ``buckets`` numbers
+        current = []
+        for number, versions in _written(session, root).items():
+            before = [v for v in versions if v < batch_id]
+            if number in touched and before:
+                current.append(versions[max(before)].toString())
+        rows = newest_per_key(batch, keys, order)
+        if current:
+            rows = newest_per_key(session.read.schema(schema).parquet(*current).unionByName(rows), keys, order)
+        rows = rows.select("*", bucket).hint("rebalance", _BUCKET)
+        rows.write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{root}/version={batch_id}")
+        _drop_superseded(session, root, batch_id)
 
     query = (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    done = _versions(spark, base)
-    if not done:
+    newest = [versions[max(versions)].toString() for versions in _written(spark, root).values()]
+    if not newest:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/version={max(done)}")
+    return spark.read.schema(schema).parquet(*newest)
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberline.operators import keyed, rollups
@@ -61,6 +62,45 @@ def test_upsert_over_batches(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, twin.collect()))
 
 
+def add_file(spark, folder, n, rows):
+    """One more file in the folder of a stream."""
+    import os
+
+    side = folder.parent / f"side{n}"
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(side))
+    (part,) = [f for f in side.iterdir() if f.suffix == ".parquet"]
+    os.rename(part, folder / f"b{n}.parquet")
+    os.utime(folder / f"b{n}.parquet", (1_000_000 + n, 1_000_000 + n))
+
+
+def test_upsert_goes_on_after_a_stop_and_rewrites_touched_buckets_only(spark, tmp_path):
+    inbox, base = tmp_path / "inbox", tmp_path / "table"
+    inbox.mkdir()
+    many = [row(0, k, f"d{k}") for k in range(200)]
+    run = lambda stream, n=16: jobs.upsert_to_table(stream, "t", ["device_id"], ["reading_timestamp"], str(base), n)
+    stream = files(spark, inbox, many)
+    assert run(stream).count() == 200
+    versions = lambda: {int(b): sorted(v) for b, v in jobs._written(spark, f"{base}/in_16_buckets").items()}
+    assert versions() == {b: [0] for b in range(16)}
+    late = [row(1, 1000, "d7"), row(-1, 1, "d7")]
+    add_file(spark, inbox, 1, late)
+    got = sorted(map(tuple, run(stream).collect()))
+    twin = keyed.newest_per_key(spark.createDataFrame(many + late, SCHEMA), ["device_id"], ["reading_timestamp"])
+    assert got == sorted(map(tuple, twin.collect()))
+    (touched,) = [b for b, v in versions().items() if v == [0, 1]]
+    assert all(v == [0] for b, v in versions().items() if b != touched)
+    add_file(spark, inbox, 2, [row(2, 5, "d7")])
+    assert {tuple(x) for x in run(stream).collect()} - set(got) == {row(2, 5, "d7")}
+    assert versions()[touched] == [1, 2]  # what batch 2 would read again, and its own
+    with pytest.raises(ValueError):
+        run(stream, 8)
+
+
+def test_upsert_of_no_rows(spark, tmp_path):
+    got = jobs.upsert_to_table(files(spark, tmp_path, []), "t", ["device_id"], ["reading_timestamp"])
+    assert got.count() == 0 and got.columns == spark.createDataFrame([], SCHEMA).columns
+
+
 def test_flags_per_reading(spark, tmp_path):
     stream = jobs.with_event_time(files(spark, tmp_path, [row(0, 25), row(0.1, 20)], [row(0.2, 30, "unseen")]), "reading_timestamp")
     baseline = spark.createDataFrame(
