@@ -202,16 +202,17 @@ def _probes(outside: DataFrame, index: DataFrame, plain: list[str]) -> DataFrame
     those that fewest sets hold under the pivot are enough. Shingles whose holders are all in one component lead nowhere new."""
     holders = index.groupBy("p", "s").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
     holders = holders.select("p", "s", F.when(F.col("low") != F.col("high"), F.col("c")).otherwise(0).alias("c"))
-    classes = index.select("p", "step").distinct()
+    # Size classes are few, as they grow by a twentieth of a logarithm.
+    classes = index.groupBy("p").agg(F.collect_set("step").alias("steps"))
+    asks = outside.withColumn("nb", F.size("besides")).select(*plain, "nb", F.explode("besides").alias("s")).join(holders, ["p", "s"]).join(classes, "p")
+    asks = asks.withColumn("rank", F.row_number().over(Window.partitionBy("p", "v").orderBy("c", "s"))).filter("c > 0")
+    asks = asks.withColumn("step", F.explode("steps")).drop("steps")
     smallest = F.greatest(F.ceil(F.exp(F.col("step") / 20) - 1e-6), F.ceil(F.col("n") * PERCENT / 100))
     near = (F.exp((F.col("step") + 1) / 20) * 100 >= F.col("n") * PERCENT - 1) & (F.exp(F.col("step") / 20) * PERCENT <= F.col("n") * 100 + 1)
-    asks = outside.join(classes, "p").filter(near)
     # 100 * shared >= PERCENT * (n + m - shared), solved for what is shared; at most i of it lies in the pivot
     least = F.ceil((F.col("n") + smallest) * PERCENT / (100 + PERCENT) - 1e-6) - F.col("i")
-    asks = asks.withColumn("k", F.greatest(F.lit(1), least)).withColumn("spare", F.size("besides") - F.col("k")).filter("spare >= 0")
-    asks = asks.select(*plain, "step", "spare", F.explode("besides").alias("s")).join(holders, ["p", "s"])
-    rank = F.row_number().over(Window.partitionBy("p", "v", "step").orderBy("c", "s"))
-    return asks.withColumn("rank", rank).filter("rank <= spare + 1 and c > 0").select(*plain, "step", "s")
+    prefix = F.col("nb") - F.greatest(F.lit(1), least) + 1
+    return asks.filter(near & (F.col("rank") <= prefix)).select(*plain, "step", "s")
 
 
 def _pairs_at_pivots(held: DataFrame, labels: DataFrame) -> DataFrame:
