@@ -127,6 +127,36 @@ def running(
     return folded.select(*kept, *[F.col(f"_o_{n}").alias(n) for n in folds])
 
 
+def floored(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], *, by: str, name: str, change: Column, start: Column,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """A running sum from ``start`` that never falls below zero; ``start`` is the same for all rows of a group.
+
+    What a bucket does to the level before it is x -> max(least, x + total), and such functions compose: the level is the plain sum less the
+    deepest shortfall so far. So a bucket hands on two numbers, its total and its lowest point, and one pass over the rows does.
+    A null change is none.
+    """
+    placed = in_buckets(df.withColumns({"_change": F.coalesce(change.cast("long"), F.lit(0).cast("long")), "_start": start}), keys, by, rows_per_bucket)
+    group = [*keys, BUCKET]
+    so_far = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumn("_sum", F.sum("_change").over(so_far)).withColumn("_low", F.min("_sum").over(so_far))
+
+    handed = local.filter(F.col(BUCKET).isNotNull()).groupBy(*group).agg(F.min(by).alias(by), F.sum("_change").alias("_total"), F.min("_low").alias("_lowest"))
+    # Buckets are ranges of ``by``, so any value of it ranks its bucket, in either direction.
+    ranked = Window.partitionBy(*keys).orderBy(order[0], BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        handed.withColumn("_before", F.coalesce(F.sum("_total").over(ranked), F.lit(0)))
+        .withColumn("_deepest", F.min(F.col("_before") + F.col("_lowest")).over(ranked))
+        .select(F.struct(*group).alias("_g"), "_before", "_deepest")
+    )
+    found = local.withColumn("_g", F.struct(*group)).join(carried, "_g", "left")
+    level = F.col("_start") + F.coalesce("_before", F.lit(0)) + F.col("_sum")
+    # least() passes over nulls, so the first bucket of a group, and groups of one bucket, need no case of their own.
+    deepest = F.col("_start") + F.least(F.col("_deepest"), F.coalesce("_before", F.lit(0)) + F.col("_low"))
+    return found.select(*df.columns, (level - F.least(deepest, F.lit(0))).cast("long").alias(name))
+
+
 def surrogate_keys(df: DataFrame, name: str, order: Sequence[Column], by: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Gap-free numbers 1, 2, … in ``order``, whose first term sorts ``by``, without sending all rows to one task."""
     return running(df, [], order, by=by, number=name, rows_per_bucket=rows_per_bucket)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.numbers import mean, ratio
 from ..functions.times import monday_of
 from .keyed import only_for
-from .ordered import ROWS_PER_BUCKET, running
+from .ordered import BUCKET, ROWS_PER_BUCKET, floored, running
 from .skew import join_spread
 
 
@@ -150,15 +150,23 @@ def site_daily(devices: DataFrame, readings: DataFrame, alerts: DataFrame) -> Da
 
 
 def merged_windows(windows: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Maintenance windows of a site with overlapping and touching ones merged."""
+    """Maintenance windows of a site with overlapping and touching ones merged.
+
+    Each range of start times merges its own windows into pieces, knowing only how far the ranges before it reach. Pieces that
+    continue across a border are then joined, a fold over pieces instead of windows.
+    """
     per_start = windows.groupBy("site_id", "window_start").agg(F.max("window_end").alias("window_end"), F.count(F.lit(1)).alias("_n"))
     order = [F.asc("window_start")]
     covered = running(
         per_start, ["site_id"], order, by="window_start", highest={"_covered": F.col("window_end")}, before=True,
         rows_per_bucket=rows_per_bucket, chained=True,
     )
-    opens = F.col("_covered").isNull() | (F.col("window_start") > F.col("_covered"))
-    numbered = running(covered, ["site_id"], order, by="window_start", sums={"_island": opens.cast("long")})
+    opens = (F.col("_covered").isNull() | (F.col("window_start") > F.col("_covered"))).cast("long")
+    within = Window.partitionBy("site_id", BUCKET).orderBy(*order)
+    pieces = covered.withColumn("_opens", opens).withColumn("_piece", F.sum("_opens").over(within)).groupBy("site_id", BUCKET, "_piece").agg(
+        F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), F.sum("_n").alias("_n"), F.max("_opens").alias("_opens")
+    ).drop(BUCKET, "_piece")
+    numbered = running(pieces, ["site_id"], order, by="window_start", sums={"_island": F.col("_opens")}, rows_per_bucket=rows_per_bucket)
     return numbered.groupBy("site_id", "_island").agg(
         F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), F.sum("_n").alias("windows_merged")
     ).drop("_island")
@@ -175,22 +183,32 @@ def site_downtime(windows: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) ->
     )
 
 
-def sessions(
-    clicks: DataFrame, gap: str = "INTERVAL 30 MINUTES", user: str = "customer_id", time: str = "event_time",
-    tie_break: Sequence[str] = ("event_id",), rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
-    """Sessions per user, closed by a pause longer than ``gap``; views and cart additions counted."""
-    order = [F.asc(time), *[F.asc(c) for c in tie_break]]
-    stepped = running(clicks, [user], order, by=time, previous={"_before": F.col(time)}, rows_per_bucket=rows_per_bucket, chained=True)
-    opens = F.col("_before").isNull() | (F.col(time) > F.col("_before") + F.expr(gap))
-    numbered = running(stepped, [user], order, by=time, sums={"_session": opens.cast("long")})
-    return numbered.groupBy(user, "_session").agg(
+def sessions(clicks: DataFrame, gap: str = "INTERVAL 30 MINUTES", user: str = "customer_id", time: str = "event_time") -> DataFrame:
+    """Sessions per user, closed by a pause longer than ``gap``; views and cart additions counted.
+
+    Events of one user in one span of ``gap`` length are never a longer pause apart, so they are one session and combine into one
+    row before the shuffle, however many they are. Sessions are then runs of these rows, of which a user has no more than the
+    calendar has spans: no event is ordered. Events without a time are a session of their own, the first.
+    """
+    epoch = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+    width = f"greatest(1L, timestampdiff(MICROSECOND, {epoch}, {epoch} + {gap}))"
+    since_epoch = f"timestampdiff(MICROSECOND, {epoch}, CAST(`{time}` AS TIMESTAMP_NTZ))"
+    spans = clicks.withColumn("_span", F.expr(f"floor({since_epoch} / {width})")).groupBy(user, "_span").agg(
         F.min(time).alias("session_start"),
         F.max(time).alias("session_end"),
         F.count(F.lit(1)).alias("event_count"),
         F.count_if(F.col("event_type") == "view").alias("page_views"),
         F.count_if(F.col("event_type") == "click").alias("cart_additions"),
-    ).select(user, F.col("_session").alias("session_number"), "session_start", "session_end", "event_count", "page_views", "cart_additions")
+    )
+    ordered = Window.partitionBy(user).orderBy(F.asc_nulls_first("_span"))
+    before = F.lag("session_end").over(ordered)
+    opens = before.isNull() | (F.col("session_start") > before + F.expr(gap))
+    numbered = spans.withColumn("_opens", opens.cast("long")).withColumn("session_number", F.sum("_opens").over(ordered))
+    return numbered.groupBy(user, "session_number").agg(
+        F.min("session_start").alias("session_start"),
+        F.max("session_end").alias("session_end"),
+        *[F.sum(c).alias(c) for c in ("event_count", "page_views", "cart_additions")],
+    )
 
 
 def daily_bars(ticks: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -209,22 +227,14 @@ def running_stock(
     changes: DataFrame, opening: DataFrame | None = None, order: Sequence[str] = ("transaction_date", "transaction_id"),
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Stock after each change, never below zero.
-
-    A floored running sum equals the plain running sum plus the deepest shortfall so far, so two
-    ordinary running folds replace the step-by-step rule.
-    """
-    by = [F.asc(c) for c in order]
+    """Stock after each change, never below zero; without an opening stock it starts at zero."""
     rows = changes
     if opening is not None:
         rows = rows.join(opening.select("product_id", "stock_quantity"), "product_id", "left")
     start = F.coalesce(F.col("stock_quantity"), F.lit(0)).cast("long") if opening is not None else F.lit(0).cast("long")
-    plain = running(rows, ["product_id"], by, by=order[0], sums={"_sum": F.col("quantity_change")}, rows_per_bucket=rows_per_bucket, chained=True)
-    plain = plain.withColumn("_level", F.col("_sum") + start)
-    floored = running(plain, ["product_id"], by, by=order[0], lowest={"_deepest": F.col("_level")})
-    return floored.select(
-        *changes.columns, (F.col("_level") - F.least(F.col("_deepest"), F.lit(0))).alias("quantity_after")
-    )
+    by = [F.asc(c) for c in order]
+    stock = floored(rows, ["product_id"], by, by=order[0], name="quantity_after", change=F.col("quantity_change"), start=start, rows_per_bucket=rows_per_bucket)
+    return stock.select(*changes.columns, "quantity_after")
 
 
 def demand_index(

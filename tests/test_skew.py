@@ -254,7 +254,7 @@ def test_merged_windows(spark):
 def test_sessions(spark):
     rng = random.Random(8)
     data = [("u" if i % 2 else f"u{i % 5}", START + timedelta(minutes=rng.randrange(5000)), rng.choice(["view", "click", "x"]), i) for i in range(300)]
-    got = signals.sessions(spark.createDataFrame(data, "customer_id string, event_time timestamp_ntz, event_type string, event_id int"), rows_per_bucket=15)
+    got = signals.sessions(spark.createDataFrame(data, "customer_id string, event_time timestamp_ntz, event_type string, event_id int"))
     want = set()
     for user in {x[0] for x in data}:
         found = []
@@ -281,3 +281,49 @@ def test_running_stock_never_falls_below_zero(spark):
         level[p] = max(0, level.get(p, 0) + change)
         want.add((i, level[p]))
     assert {(x.transaction_id, x.quantity_after) for x in got.collect()} == want
+
+
+def test_sessions_order_no_event_and_a_busy_user_arrives_combined(spark):
+    hot = [("hot", START + timedelta(seconds=k % 3000), "view", k) for k in range(4000)]
+    data = hot + [("hot", START + timedelta(minutes=80), "click", 1), ("hot", None, "view", 2), ("hot", None, "x", 3), (None, START, "view", 4)]
+    df = spark.createDataFrame(data, "customer_id string, event_time timestamp_ntz, event_type string, event_id int").repartition(4)
+    got = signals.sessions(df)
+    end = START + timedelta(seconds=2999)
+    # The pause from the last view to the click is 30 minutes and a second.
+    assert {tuple(x) for x in got.collect()} == {
+        ("hot", 1, None, None, 2, 1, 0), ("hot", 2, START, end, 4000, 4000, 0),
+        ("hot", 3, START + timedelta(minutes=80), START + timedelta(minutes=80), 1, 0, 1), (None, 1, START, START, 1, 1, 0),
+    }
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert plan.index("partial_count") > plan.index("Window")  # counted before anything is ordered
+    assert signals.sessions(df.limit(0)).collect() == []
+    touching = spark.createDataFrame([("u", START + timedelta(minutes=30 * k), "view", k) for k in range(5)], df.schema)
+    assert signals.sessions(touching).count() == 1 and signals.sessions(touching, "INTERVAL 0 SECONDS").count() == 5
+
+
+@pytest.mark.parametrize("rows_per_bucket", [3, 25, 1_000_000])
+def test_one_product_with_all_changes(spark, rows_per_bucket):
+    rng = random.Random(rows_per_bucket)
+    data = [("p", i // 2, f"{i:04d}", rng.choice([-9, -4, 3, 6, None])) for i in range(400)] + [(None, 1, "n", -3), (None, 2, "m", 5)]
+    df = spark.createDataFrame(data, "product_id string, transaction_date int, transaction_id string, quantity_change int").repartition(5)
+    got = {x.transaction_id: x.quantity_after for x in signals.running_stock(df, rows_per_bucket=rows_per_bucket).collect()}
+    level, want = {}, {}
+    for p, _, i, change in data:
+        level[p] = max(0, level.get(p, 0) + (change or 0))
+        want[i] = level[p]
+    assert got == want
+    back = ordered.floored(df, ["product_id"], [F.desc("transaction_date"), F.desc("transaction_id")], by="transaction_date", name="left",
+                           change=F.col("quantity_change"), start=F.lit(7), rows_per_bucket=rows_per_bucket)
+    level, want = {}, {}
+    for p, _, i, change in sorted(data, key=lambda x: (x[1], x[2]), reverse=True):
+        level[p] = max(0, level.get(p, 7) + (change or 0))
+        want[i] = level[p]
+    assert {x.transaction_id: x.left for x in back.collect()} == want
+
+
+def test_windows_of_one_site_merge_across_borders(spark):
+    one = [("s", START, START + timedelta(days=9))] + [("s", START + timedelta(hours=k), START + timedelta(hours=k, minutes=k % 90)) for k in range(300)]
+    df = spark.createDataFrame(one + one[:5], "site_id string, window_start timestamp_ntz, window_end timestamp_ntz")
+    for size in (4, 30, 1_000_000):
+        assert {tuple(x) for x in signals.merged_windows(df, size).collect()} == {tuple(x) for x in signals.merged_windows(df, 10**6).collect()}
+    assert signals.merged_windows(df, 4).agg(F.sum("windows_merged")).first()[0] == len(one) + 5
