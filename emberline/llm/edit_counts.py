@@ -2,8 +2,11 @@
 
 A text is kept as a row of segments under a tree of sums: how many characters and tokens each subtree has. Segments end where
 white space follows other text, where the vocabulary always ends a piece, so the tokens of a text are those of its segments
-together. An edit finds its segments by walking the character sums, re-encodes these and one whole segment on either side,
-whose outer borders the edit can't move, and updates the sums on the way up. Nothing else is encoded again.
+together. An edit finds its segments by walking the character sums and re-encodes these; where it has changed what makes an outer
+border one (white space after other text), the next segment on that side is context and is encoded again with them. The region is cut
+into segments again, which go back to their places under the tree, and the sums are updated on the way up. Places are added, and the
+tree is built anew over the known sums, only where an edit has put in more text than they take. Nothing else is encoded again, so work
+grows with the edits; a run without white space is one segment, however long.
 """
 
 from __future__ import annotations
@@ -29,31 +32,44 @@ NUMBER = re.compile(r"\+?\d[\d ()-]{6,}\d")
 Edit = tuple[int, int, str]
 
 
+def _starts(chunks: list[str], per_segment: int = SEGMENT_CHUNKS) -> list[int]:
+    """Where segments of about ``per_segment`` chunks begin."""
+    starts: list[int] = []
+    for k in range(0, len(chunks), per_segment):
+        while k < len(chunks) and k and not _BLANK.match(chunks[k]):
+            k += 1
+        if k < len(chunks) and (not starts or k > starts[-1]):
+            starts.append(k)
+    return starts
+
+
 class CountedText:
     """A text's segments under a binary tree of character and token sums."""
 
-    def __init__(self, chunks: list[str], ids: list[bytes], count: Callable[[str], int]):
+    def __init__(self, chunks: list[str], ids: list[bytes], count: Callable[[str], tuple[list[str], list[bytes]]]):
         self.count = count
-        starts = []
-        for k in range(0, len(chunks), SEGMENT_CHUNKS):
-            while k < len(chunks) and k and not _BLANK.match(chunks[k]):
-                k += 1
-            if k < len(chunks) and (not starts or k > starts[-1]):
-                starts.append(k)
-        ends = [*starts[1:], len(chunks)]
-        self.segments = ["".join(chunks[a:b]) for a, b in zip(starts, ends)]
+        self.encoded = 0
+        self.segments, tokens = self._cut(chunks, ids, SEGMENT_CHUNKS)
+        self._build(np.array(tokens, np.int64))
+
+    @staticmethod
+    def _cut(chunks: list[str], ids: list[bytes], per_segment: int) -> tuple[list[str], list[int]]:
+        starts = _starts(chunks, per_segment)
+        spans = list(zip(starts, [*starts[1:], len(chunks)]))
+        return ["".join(chunks[a:b]) for a, b in spans], [sum(map(len, ids[a:b])) // 4 for a, b in spans]
+
+    def _build(self, tokens: np.ndarray) -> None:
+        """The tree over the segments, whose tokens are known."""
         self.size = 1 << max(0, (max(1, len(self.segments)) - 1).bit_length())
         self.chars, self.tokens = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
-        for k, (a, b) in enumerate(zip(starts, ends)):
-            self.chars[self.size + k] = len(self.segments[k])
-            self.tokens[self.size + k] = sum(map(len, ids[a:b])) // 4
+        self.chars[self.size : self.size + len(self.segments)] = list(map(len, self.segments))
+        self.tokens[self.size : self.size + len(self.segments)] = tokens
         width = self.size
         while width > 1:
             half = width // 2
             for sums in (self.chars, self.tokens):
                 sums[half:width] = sums[width : 2 * width].reshape(-1, 2).sum(axis=1)
             width = half
-        self.encoded = 0
 
     @property
     def n_tokens(self) -> int:
@@ -93,30 +109,39 @@ class CountedText:
             self.segments = [""]
         first, before = self._find(start)
         last, _ = self._find(max(start, end - 1))
-        # One whole segment of context to either side; segments that edits have emptied are passed over.
-        while first > 0:
-            first -= 1
-            before -= len(self.segments[first])
-            if self.segments[first]:
-                break
-        while last + 1 < len(self.segments):
-            last += 1
-            if self.segments[last]:
-                break
         region = "".join(self.segments[first : last + 1])
         region = region[: start - before] + insert + region[end - before :]
+        # A border holds where white space follows other text. The neighbour's side of it is as it was. Emptied segments are passed over.
+        while first > 0 and not (region and _BLANK.match(region)):
+            first -= 1
+            region = self.segments[first] + region
+        while last + 1 < len(self.segments) and not (region and not _BLANK.match(region[-1])):
+            last += 1
+            region += self.segments[last]
         self.encoded += len(region)
-        self._set(first, region, self.count(region))
-        for k in range(first + 1, last + 1):
-            if self.segments[k]:
-                self._set(k, "", 0)
+        places = last + 1 - first
+        chunks, ids = self.count(region)
+        own = max(SEGMENT_CHUNKS, -(-len(chunks) // places))
+        segments, tokens = self._cut(chunks, ids, own if own <= 2 * SEGMENT_CHUNKS else SEGMENT_CHUNKS)
+        if len(segments) <= places:
+            empty = places - len(segments)
+            for k, (segment, n) in enumerate(zip(segments + [""] * empty, tokens + [0] * empty), start=first):
+                if segment or self.segments[k]:
+                    self._set(k, segment, n)
+        else:
+            known = self.tokens[self.size : self.size + len(self.segments)]
+            known = np.concatenate([known[:first], tokens, known[last + 1 :]])
+            self.segments[first : last + 1] = segments
+            filled = np.array([bool(s) for s in self.segments])
+            self.segments = [s for s in self.segments if s]
+            self._build(known[filled])
 
 
 def counted(texts: list[str | None], chunks: Chunks) -> list[CountedText]:
     """The trees of a batch of texts."""
 
-    def count(text: str) -> int:
-        return sum(map(len, chunks.of([text])[0])) // 4
+    def count(text: str) -> tuple[list[str], list[bytes]]:
+        return chunks.pattern.findall(text), chunks.of([text])[0]
 
     ids = chunks.of(texts)
     return [CountedText(chunks.pattern.findall(t or ""), i, count) for t, i in zip(texts, ids)]

@@ -172,6 +172,29 @@ def test_cleaning_counts(spark, docs):
     assert Counter(tuple(r)[:5] for r in edit_counts.after_cleaning(docs, BYTES).collect()) == want
 
 
+def test_work_grows_with_the_edits():
+    held, t = chunks.library_ids(BYTES, spaced=True), Tokenizer.from_file(BYTES)
+    for n in (200, 1600):
+        text = " ".join(f"words before number {k} and then mail{k}@host{k}.example.org in a line of text, some more of it\nhere and there" for k in range(n))
+        (tree,) = edit_counts.counted([text], held)
+        for a, b, insert in edit_counts.cleaning_edits(text):
+            tree.edit(a, b, insert)
+            text = text[:a] + insert + text[b:]
+        assert tree.encoded < 3 * len(text) and tree.text() == text
+        assert tree.n_tokens == len(t.encode(text, add_special_tokens=False).ids)
+    # Growing at one place: the tree is built anew now and then, and its segments stay small.
+    for _ in range(300):
+        tree.edit(900, 900, " put in a few more words here,")
+        text = text[:900] + " put in a few more words here," + text[900:]
+    assert tree.text() == text and tree.n_tokens == len(t.encode(text, add_special_tokens=False).ids)
+    assert max(len(chunks.SPACED.findall(s)) for s in tree.segments) <= 2 * edit_counts.SEGMENT_CHUNKS + 8
+    # Down to nothing and up again.
+    tree.edit(0, len(text), "")
+    assert (tree.n_tokens, tree.text()) == (0, "")
+    tree.edit(0, 0, "new words")
+    assert tree.n_tokens == 2
+
+
 def test_given_edits(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "left alone")], "doc_id long, text string")
     edits = spark.createDataFrame([(1, 2, 0, 3, None), (1, 1, 4, 7, "2"), (2, 1, 0, 0, "new words")], "doc_id long, seq int, start int, end int, insert string")
