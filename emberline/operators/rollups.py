@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import labels
 from ..functions.numbers import fixed, half_even, mean, ratio
 from ..functions.times import Moment, day, monday_of, month_of, month_starts, previous_months
+from .members import member_bitmaps, member_counts
 from .ordered import ROWS_PER_BUCKET, running
 from .ranks import value_at_rank
 from .skew import join_spread
@@ -79,6 +83,28 @@ def daily_sales(orders: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def daily_buyers(orders: DataFrame, items: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Who bought, per day and category, as bitmaps of customer numbers; customers without a number are left out."""
+    per_order = items.select("order_id", "product_category").distinct()
+    bought = per_order.join(orders.select("order_id", "customer_id", "order_date"), "order_id").select("customer_id", "order_date", "product_category").distinct()
+    placed = join_spread(bought, numbers, "customer_id")
+    return member_bitmaps(placed, [F.col("order_date").alias("summary_date"), "product_category"])
+
+
+def buyers_by_period(daily: DataFrame, periods: Sequence[str] = ("day", "week", "month"), by: Sequence[str] = ("product_category",)) -> DataFrame:
+    """Distinct customers per day, week, month, quarter or year and ``by``, all from the daily bitmaps."""
+    absent = sorted(set(periods) - {"day", "week", "month", "quarter", "year"})
+    if absent or not periods:
+        raise ValueError(f"no such period: {', '.join(absent)}")
+    each = [
+        member_counts(daily, [F.date_trunc(p, "summary_date").cast("date").alias("period_start"), *by], "unique_customers").select(
+            F.lit(p).alias("period"), "period_start", *by, "unique_customers"
+        )
+        for p in periods
+    ]
+    return reduce(DataFrame.unionByName, each)
+
+
 def weekly_products(orders: DataFrame, items: DataFrame, products: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Weekly units, revenue, mean price and return rate per product, ranked in its category.
 

@@ -564,6 +564,13 @@ _SQL["daily_sales"] = f"""
            {d('sum(discount_amount)')} AS discount_total, {d('sum(line_total)')} AS net_revenue, count(*) FILTER (order_status = 'returned') AS return_count,
            {d("coalesce(sum(line_total) FILTER (order_status = 'returned'), 0)")} AS return_amount, count(DISTINCT customer_id) AS unique_customers
     FROM in_items JOIN in_archive USING (order_id) GROUP BY order_date, product_category, shipping_country, shipping_state"""
+BUYERS = "FROM in_items JOIN in_archive USING (order_id) JOIN in_customers USING (customer_id)"
+_SQL["buyers_by_period"] = " UNION ALL ".join(
+    f"SELECT '{p}' AS period, CAST(date_trunc('{p}', order_date) AS DATE) AS period_start, product_category, count(DISTINCT customer_id) AS unique_customers {BUYERS} GROUP BY 1, 2, 3"
+    for p in ("day", "week", "month"))
+_SQL["buyers_of_all_categories"] = " UNION ALL ".join(
+    f"SELECT '{p}' AS period, CAST(date_trunc('{p}', order_date) AS DATE) AS period_start, count(DISTINCT customer_id) AS unique_customers {BUYERS} GROUP BY 1, 2"
+    for p in ("week", "quarter", "year"))
 _SQL["weekly_products"] = f"""
     SELECT product_id, product_category, week_start_date, {i('year(week_start_date)')} AS week_year, {i('weekofyear(week_start_date)')} AS week_of_year, units_sold,
            {d('gross')} AS gross_revenue, {d(even_cents('CAST(gross * 100 AS HUGEINT)', 'units_sold'))} AS average_selling_price,
@@ -837,6 +844,18 @@ _SQL["typed_csv_rows"] = "SELECT event_id, ts, CASE WHEN event_id % 89 <> 0 THEN
 _SQL["typed_csv_rejects"] = "SELECT CAST(event_id AS VARCHAR) AS event_id, 'n/a' AS value, 'value' AS faulty_columns FROM events WHERE event_id % 97 = 0"
 _SQL["load_reconciliation"] = """
     SELECT 'events' AS table_name, count(*) AS source_rows, count(*) FILTER (event_id % 97 <> 0) AS target_rows, count(*) FILTER (event_id % 97 = 0) AS rejected_rows, true AS balanced FROM events"""
+_SQL["guessed_csv_rows"] = """
+    SELECT event_id, ts, CASE WHEN event_id % 89 <> 0 THEN CAST(user_id AS DOUBLE) END AS user_id, CASE WHEN event_id % 97 <> 0 THEN value END AS value,
+           'double' AS user_type, 'string' AS value_type FROM events"""
+_SQL["batched_csv_rows"] = "SELECT event_id, user_id, event_type, 'events' AS table_name FROM events"
+_SQL["blank_cells_as_null"] = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE event_type END AS label, value FROM events"
+_SQL["json_cells"] = """
+    SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 2::BIGINT AS n_ids, event_id AS first_id, user_id AS second_id FROM events WHERE event_id % 31 <> 0"""
+_SQL["uuid_forms"] = """
+    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN h WHEN event_id % 5 = 0 THEN upper(u) WHEN event_id % 7 = 0 THEN left(u, 35) ELSE u END AS id,
+           event_id % 3 <> 0 AND (event_id % 5 = 0 OR event_id % 7 <> 0) AS is_uuid
+    FROM (SELECT event_id, h, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS u FROM (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h FROM events))"""
+_SQL["clamped_values"] = "SELECT event_id, least(greatest(value, 10), 50) AS value FROM events"
 _SQL["conformed_archive"] = f"""
     SELECT device_id, reading_timestamp, metric_name, {d('metric_value')} AS metric_value, quality_code, {i('year(reading_timestamp)')} AS reading_year,
            {i('month(reading_timestamp)')} AS reading_month FROM in_readings"""

@@ -7,9 +7,10 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..functions.numbers import fixed
+from ..functions import labels
+from ..functions.numbers import clamp, fixed
 from ..functions.times import day, instant, iso_weekday, monday_of, month_of
-from ..operators import federated, health, keyed, marts, ordered, ranks, rollups, signals
+from ..operators import federated, health, keyed, marts, members, ordered, ranks, rollups, signals
 from ..sources import catalog, ingest
 from ..sources.views import BUSINESS_TODAY, IOT_NOW, DomainTables
 from ..streaming import jobs
@@ -462,6 +463,21 @@ def daily_sales(t):
     return rollups.daily_sales(t.orders_archive(), t.order_items())
 
 
+def _daily_buyers(t: DomainTables) -> DataFrame:
+    numbers = t.written("customer_numbers", lambda: members.member_numbers(t.commerce_customers(), "customer_id"))
+    return t.written("daily_buyers", lambda: rollups.daily_buyers(t.orders_archive(), t.order_items(), numbers))
+
+
+@query
+def buyers_by_period(t):
+    return rollups.buyers_by_period(_daily_buyers(t))
+
+
+@query
+def buyers_of_all_categories(t):
+    return rollups.buyers_by_period(_daily_buyers(t), ("week", "quarter", "year"), by=())
+
+
 @query
 def weekly_products(t):
     return rollups.weekly_products(t.orders_archive(), t.order_items(), t.products())
@@ -754,7 +770,7 @@ _EVENT_TYPES = T.StructType([
 ])
 
 
-def _event_files(t: DomainTables) -> ingest.Loaded:
+def _event_folder(t: DomainTables) -> str:
     """The events as CSV files in which every 97th value is no number and every 89th user is missing."""
     e = F.col("event_id")
     text = t.given("events").select(
@@ -762,7 +778,11 @@ def _event_files(t: DomainTables) -> ingest.Loaded:
         F.when(e % 89 == 0, "").otherwise(F.concat(F.col("user_id"), F.lit(".0"))).alias("user_id"),
         "event_type", F.when(e % 97 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("value"),
     )
-    return ingest.read_csv(t.spark, t.written_once("event_files", lambda path: ingest.write_csv(text, path)), _EVENT_TYPES)
+    return t.written_once("event_files", lambda path: ingest.write_csv(text, path))
+
+
+def _event_files(t: DomainTables) -> ingest.Loaded:
+    return ingest.read_csv(t.spark, _event_folder(t), _EVENT_TYPES)
 
 
 @query
@@ -843,6 +863,62 @@ def table_profile(t):
     return ingest.table_counts({n: t.given(n) for n in (*stars, *texts)})
 
 
+@query
+def guessed_csv_rows(t):
+    """The event files with the types Spark finds in the cells: one cell that is no number makes its whole column text."""
+    rows = ingest.read_csv_guessed(t.spark, _event_folder(t))
+    kinds = dict(rows.dtypes)
+    return rows.select("event_id", "ts", "user_id", F.col("value").try_cast("double").alias("value"), F.lit(kinds["user_id"]).alias("user_type"), F.lit(kinds["value"]).alias("value_type"))
+
+
+@query
+def batched_csv_rows(t):
+    """Events in four batch files of one table, typed and with the table their names stand for."""
+    names = [f"events_{k:02d}" for k in range(4)]
+    rows = t.given("events").select("event_id", "user_id", "event_type")
+
+    def write(path: str) -> None:
+        for k, name in enumerate(names):
+            ingest.write_csv(rows.filter(F.col("event_id") % len(names) == k), f"{path}/{name}")
+
+    folder = t.written_once("event_batches", write)
+    return ingest.read_csv(t.spark, [f"{folder}/{n}" for n in names], rows.schema, with_table=True).good
+
+
+@query
+def blank_cells_as_null(t):
+    """Events written as Parquet, where empty text becomes null and other text stays."""
+    e = F.col("event_id")
+    rows = t.given("events").select(e, F.when(e % 5 == 0, "").when(e % 5 == 1, " ").otherwise(F.col("event_type")).alias("label"), "value")
+    return t.spark.read.parquet(t.written_once("event_parquet", lambda path: ingest.write_parquet(rows, path)))
+
+
+@query
+def json_cells(t):
+    """Map and array cells of the events, the arrays as JSON or as bracketed lists; every 31st array is no list of numbers."""
+    e, u = F.col("event_id"), F.col("user_id")
+    cells = t.given("events").select(
+        e.cast("string").alias("event_id"), "props",
+        F.when(e % 31 == 0, F.lit("[1, x]")).when(e % 2 == 0, F.format_string("[%d, %d]", e, u)).otherwise(F.format_string("['%d','%d',]", e, u)).alias("ids"),
+    )
+    good = ingest.typed_rows(cells, T.StructType.fromDDL("event_id long, props map<string,int>, ids array<long>")).good
+    return good.select("event_id", F.col("props")["k"].alias("k"), F.size("ids").alias("n_ids"), F.try_element_at("ids", F.lit(1)).alias("first_id"), F.try_element_at("ids", F.lit(2)).alias("second_id"))
+
+
+@query
+def uuid_forms(t):
+    """Ids by form: those of the events as UUID text, every third without its dashes, every fifth upper-case, every seventh cut short."""
+    e, h = F.col("event_id"), F.md5(F.col("event_id").cast("string"))
+    dashed = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    form = F.when(e % 3 == 0, h).when(e % 5 == 0, F.upper(dashed)).when(e % 7 == 0, F.substring(dashed, 1, 35)).otherwise(dashed)
+    return t.given("events").select(e, form.alias("id")).select("event_id", "id", labels.is_uuid("id").alias("is_uuid"))
+
+
+@query
+def clamped_values(t):
+    return t.given("events").select("event_id", clamp(F.col("value"), 10.0, 50.0).alias("value"))
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 

@@ -36,7 +36,9 @@ def _parsed(text: Column, kind: T.DataType) -> Column:
             # A bracketed comma list is accepted where the cell is no JSON.
             inner = F.regexp_replace(text, r"^\[|\]$", "")
             cells = F.transform(F.split(inner, ","), lambda x: F.regexp_replace(F.trim(x), r"^[\"']|[\"']$", ""))
-            return F.coalesce(from_json, F.filter(cells, lambda x: x != "").cast(kind))
+            typed = F.transform(F.filter(cells, lambda x: x != ""), lambda x: x.try_cast(kind.elementType))
+            # One unreadable element makes the cell unreadable.
+            return F.coalesce(from_json, F.when(~F.exists(typed, lambda x: x.isNull()), typed))
         return from_json
     return F.trim(text).try_cast(kind)
 
