@@ -371,20 +371,27 @@ def matching_devices(devices: DataFrame, site_id: str | None = None, status: str
     return devices
 
 
+def _anomaly_place(status: Column) -> Column:
+    return F.when(status == "anomalous", 0).when(status == "unknown", 1).otherwise(2)
+
+
+# Each sort's column, whether it falls, and what of the value is sorted by. Nulls come last.
+_SORTS = {
+    "lastHeartbeat:desc": ("last_heartbeat", True, None),
+    "batteryPercent:asc": ("battery_percent", False, None),
+    "signalStrength:asc": ("signal_strength_dbm", False, None),
+    "status:asc": ("status", False, None),
+    "anomalyStatus:desc": ("anomaly_status", False, _anomaly_place),
+    "openAlertCount:desc": ("open_alert_count", True, None),
+}
+
+
 def list_order(sort: str) -> list[Column]:
     """Sort keys of the device list; ties are settled by the device id."""
-    orders = {
-        "lastHeartbeat:desc": [F.desc_nulls_last("last_heartbeat")],
-        "batteryPercent:asc": [F.asc_nulls_last("battery_percent")],
-        "signalStrength:asc": [F.asc_nulls_last("signal_strength_dbm")],
-        "status:asc": [F.asc_nulls_last("status")],
-        "anomalyStatus:desc": [
-            F.when(F.col("anomaly_status") == "anomalous", 0).when(F.col("anomaly_status") == "unknown", 1).otherwise(2)
-        ],
-        "openAlertCount:desc": [F.desc_nulls_last("open_alert_count")],
-    }
-    _one_of("sort", sort, orders)
-    return [*orders[sort], F.asc("device_id")]
+    _one_of("sort", sort, _SORTS)
+    column, falls, place = _SORTS[sort]
+    key = F.col(column) if place is None else place(F.col(column))
+    return [F.desc_nulls_last(key) if falls else F.asc_nulls_last(key), F.asc("device_id")]
 
 
 class DeviceList(NamedTuple):
@@ -433,15 +440,25 @@ def list_devices(
     return DeviceList(items, page_totals(counted, page_size))
 
 
-def devices_after(devices: DataFrame, last_heartbeat: Moment, device_id: str, page_size: int = 25) -> DataFrame:
-    """The next page after a known row. Unlike an offset it does not sort what was seen already."""
-    at = instant(last_heartbeat)
-    beyond = (
-        (F.col("last_heartbeat") < at)
-        | F.col("last_heartbeat").isNull()
-        | ((F.col("last_heartbeat") == at) & (F.col("device_id") > device_id))
-    )
-    return devices.filter(beyond).orderBy(*list_order("lastHeartbeat:desc")).limit(page_size)
+def devices_after(devices: DataFrame, value, device_id: str, page_size: int = 25, sort: str = "lastHeartbeat:desc") -> DataFrame:
+    """The next page after a known row, given its value in the sorted column (null too) and its id.
+
+    The sort by anomaly status or open alerts needs the fleet's rows. What lies before the row is filtered out in the scan where
+    the column is stored, so page 10,000 costs what page 1 costs: each task keeps a page, whatever came before. An offset would
+    make it keep all pages up to then.
+    """
+    _check("page_size", page_size, MAX_PAGE_SIZE)
+    _one_of("sort", sort, _SORTS)
+    name, falls, place = _SORTS[sort]
+    column, known = F.col(name), instant(value) if sort == "lastHeartbeat:desc" and value is not None else F.lit(value)
+    if place is not None:
+        column, known = place(column), place(known)
+    if value is None and place is None:
+        beyond = column.isNull() & (F.col("device_id") > device_id)
+    else:
+        later = column < known if falls else column > known
+        beyond = later | column.isNull() | ((column == known) & (F.col("device_id") > device_id))
+    return devices.filter(beyond).orderBy(*list_order(sort)).limit(page_size)
 
 
 def site_ids(devices: DataFrame) -> DataFrame:

@@ -331,6 +331,12 @@ _SQL["device_page_by_alerts"] = f"SELECT {FLEET_COLS} FROM in_fleet ORDER BY ope
 _SQL["device_page_by_battery"] = f"""
     SELECT {DEVICE_COLS}, 'unknown' AS anomaly_status, 0::BIGINT AS anomaly_metric_count, NULL::VARCHAR AS highest_alert_severity, 0::BIGINT AS open_alert_count
     FROM in_devices ORDER BY battery_percent, device_id LIMIT 100"""
+_SQL["devices_after_a_battery_level"] = f"""
+    SELECT {DEVICE_COLS} FROM in_devices WHERE battery_percent > 40 OR battery_percent IS NULL OR (battery_percent = 40 AND device_id > '42')
+    ORDER BY battery_percent NULLS LAST, device_id LIMIT 100"""
+_SQL["devices_after_an_anomaly_status"] = f"""
+    SELECT {FLEET_COLS} FROM in_fleet WHERE anomaly_status <> 'anomalous' OR device_id > '42'
+    ORDER BY CASE anomaly_status WHEN 'anomalous' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END, device_id LIMIT 25"""
 _SQL["anomalous_devices"] = f"SELECT {FLEET_COLS} FROM in_fleet WHERE anomaly_status = 'anomalous' ORDER BY {BY_HEARTBEAT} LIMIT 100"
 _SQL["anomalous_on_page"] = f"""
     SELECT * FROM (SELECT {FLEET_COLS} FROM in_fleet WHERE status = 'online' ORDER BY {BY_HEARTBEAT} LIMIT 25) WHERE anomaly_status = 'anomalous'"""

@@ -141,6 +141,17 @@ def device_page_by_battery(t):
     return health.list_devices(t.device_state(), None, None, None, sort="batteryPercent:asc", page_size=100).items
 
 
+@query
+def devices_after_a_battery_level(t):
+    """The page after a known device, by battery: no page before it is sorted again."""
+    return health.devices_after(t.device_state(), 40, "42", 100, "batteryPercent:asc")
+
+
+@query
+def devices_after_an_anomaly_status(t):
+    return health.devices_after(_fleet(t), "anomalous", "42", sort="anomalyStatus:desc")
+
+
 @query
 def anomalous_devices(t):
     return health.list_devices(

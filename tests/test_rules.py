@@ -247,3 +247,23 @@ def test_baseline_prunes_partitions(spark, tmp_path):
     assert "hour_year" in filters and "* 12" in filters
     row = got.first()
     assert (row.baseline_avg, row.baseline_hours, row.sample_count) == (4.0, 1, 4)
+
+
+@pytest.mark.parametrize("sort", list(health._SORTS))
+def test_page_after_page_by_known_rows(spark, sort):
+    start = datetime(2024, 1, 1)
+    rows = [
+        (f"d{k:03d}", start + timedelta(minutes=k % 7) if k % 5 else None, k % 4 if k % 6 else None, -(k % 3) if k % 8 else None,
+         ["online", "offline", None][k % 3], ["normal", "anomalous", "unknown"][k % 3], k % 2)
+        for k in range(83)
+    ]
+    df = spark.createDataFrame(rows, "device_id string, last_heartbeat timestamp_ntz, battery_percent int, signal_strength_dbm int, status string, anomaly_status string, open_alert_count long").repartition(4)
+    column = health._SORTS[sort][0]
+    whole = [r.device_id for r in df.orderBy(*health.list_order(sort)).collect()]
+    page, seen = df.orderBy(*health.list_order(sort)).limit(20).collect(), []
+    while page:
+        seen += [r.device_id for r in page]
+        page = health.devices_after(df, page[-1][column], page[-1].device_id, 20, sort).collect()
+    assert seen == whole and len(set(seen)) == 83
+    with pytest.raises(ValueError):
+        health.devices_after(df, None, "d1", 10, "name:asc")
