@@ -165,8 +165,8 @@ def merged_windows(windows: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -
     within = Window.partitionBy("site_id", BUCKET).orderBy(*order)
     pieces = covered.withColumn("_opens", opens).withColumn("_piece", F.sum("_opens").over(within)).groupBy("site_id", BUCKET, "_piece").agg(
         F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), F.sum("_n").alias("_n"), F.max("_opens").alias("_opens")
-    ).drop(BUCKET, "_piece")
-    numbered = running(pieces, ["site_id"], order, by="window_start", sums={"_island": F.col("_opens")}, rows_per_bucket=rows_per_bucket)
+    ).drop("_piece")
+    numbered = running(pieces, ["site_id"], order, by="window_start", sums={"_island": F.col("_opens")})
     return numbered.groupBy("site_id", "_island").agg(
         F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), F.sum("_n").alias("windows_merged")
     ).drop("_island")
