@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+_WORD, _BITS = "_word", "_bits"
+
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One whole row per key: the one with the greatest ``order`` values.
@@ -25,6 +27,20 @@ def only_for(history: DataFrame, live: DataFrame, keys: Sequence[str]) -> DataFr
     return history.join(live.select(*keys).distinct(), list(keys), "left_semi")
 
 
+def key_bits(df: DataFrame, column: str) -> DataFrame:
+    """The whole numbers in ``column``, 64 neighbours to a row: a 64th of the keys where they are dense, never more rows than keys."""
+    n = F.col(column)
+    known = df.filter(n.isNotNull()).select(n.cast("long").alias("_n"))
+    return known.groupBy(F.shiftright("_n", 6).alias(_WORD)).agg(F.bit_or(F.expr("shiftleft(1L, int(_n & 63))")).alias(_BITS))
+
+
+def only_known(rows: DataFrame, bits: DataFrame, column: str) -> DataFrame:
+    """Rows whose number is in ``key_bits``: a semi join by a table that is mostly small enough to be sent to the rows, which then stay where they are."""
+    n = F.col(column).cast("long")
+    met = rows.withColumn(_WORD, F.shiftright(n, 6)).join(bits, _WORD)
+    return met.filter(F.expr(f"getbit({_BITS}, int(bigint(`{column}`) & 63)) = 1")).select(*rows.columns)
+
+
 def page_of(df: DataFrame, order: Sequence[Column], page: int = 1, page_size: int = 25) -> DataFrame:
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size must be positive")

@@ -240,15 +240,19 @@ def running_stock(
 def demand_index(
     orders: DataFrame, items: DataFrame, promo_weeks: Sequence[int] = (), trailing: int = 8
 ) -> DataFrame:
-    """Weekly units per category against the mean and slope of the weeks before, and its seasonal index.
+    """Weekly units per category against the mean and slope of the weeks before, and its seasonal index."""
+    per_order = items.groupBy("order_id", "product_category").agg(F.sum("quantity").alias("quantity"))
+    return demand_index_of_sales(per_order.join(orders.select("order_id", "order_date"), "order_id"), promo_weeks, trailing)
+
+
+def demand_index_of_sales(sales: DataFrame, promo_weeks: Sequence[int] = (), trailing: int = 8) -> DataFrame:
+    """``demand_index`` from rows of product_category, order_date and quantity.
 
     One row per category and week before any window, so a window sees a calendar, not sales.
     """
-    per_order = items.groupBy("order_id", "product_category").agg(F.sum("quantity").alias("_units"))
     weekly = (
-        per_order.join(orders.select("order_id", "order_date"), "order_id")
-        .groupBy("product_category", monday_of("order_date").alias("week_start_date"))
-        .agg(F.sum("_units").alias("units"))
+        sales.groupBy("product_category", monday_of("order_date").alias("week_start_date"))
+        .agg(F.sum("quantity").alias("units"))
         .withColumn("week_of_year", F.weekofyear("week_start_date"))
         .withColumn("_t", F.datediff("week_start_date", F.lit("1990-01-01").cast("date")) / 7)
     )

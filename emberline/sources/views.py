@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.numbers import fixed
 from ..functions.times import day, hour_of, instant
-from ..operators.keyed import newest_per_key
+from ..operators.keyed import key_bits, newest_per_key, only_for, only_known
 from ..operators.rollups import cohort_retention, daily_sales, hourly_rollup, monthly_ltv
 from ..operators.signals import daily_bars, sessions
 from ..session import job_folder
@@ -44,6 +44,22 @@ def _cash(c: Column) -> Column:
     return c.cast("decimal(14,2)")
 
 
+def _cents(c: Column) -> Column:
+    return F.round(c.cast("decimal(30,8)"), 2).cast("decimal(14,2)")
+
+
+def _price() -> Column:
+    return F.col("l_extendedprice").cast("decimal(14,2)")
+
+
+def _off() -> Column:
+    return F.col("l_discount").cast("decimal(4,2)")
+
+
+def _unit_price() -> Column:
+    return _cents(F.col("l_extendedprice") / F.col("l_quantity"))
+
+
 class DomainTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -281,45 +297,67 @@ class DomainTables:
         )
         return self._orders(("O", "P"), status)
 
-    def clean_lines(self) -> DataFrame:
+    def clean_lines(self, lines: DataFrame | None = None) -> DataFrame:
         """One line per (order, line number): the greatest of the versions."""
         return newest_per_key(
-            self.given("lineitem"), ["l_orderkey", "l_linenumber"],
+            self.given("lineitem") if lines is None else lines, ["l_orderkey", "l_linenumber"],
             ["l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate"],
         )
 
+    def archive_lines(self) -> DataFrame:
+        """Clean lines of archived orders in the columns of the given table, whether or not their part is known.
+
+        A plan, not a written table, so a question moves only the columns it names. Lines are laid out by order, once: that serves the choice of the
+        orders, of a line's version, and a later join by ``l_orderkey``. The merge join makes it one plan for tables of any size.
+        """
+        archive = self.given("orders").filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("l_orderkey"))
+        return self.clean_lines(only_for(self.given("lineitem").hint("merge"), archive, ["l_orderkey"]))
+
+    def archive_keys(self) -> DataFrame:
+        """Archived orders by the keys of the given tables, for ``archive_lines``."""
+        return self.given("orders").filter(F.col("o_orderstatus") == "F").select(
+            F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.col("o_orderdate").cast("date").alias("order_date")
+        ).hint("merge")
+
+    def key_bits(self, name: str, column: str) -> DataFrame:
+        return self.written(f"{name}_bits", lambda: key_bits(self.given(name), column))
+
+    def item_amounts(self) -> DataFrame:
+        """The amounts of ``order_items`` as a plan, without the products' columns, which only decide that a line counts."""
+        lines = only_known(self.clean_lines(), self.key_bits("part", "p_partkey"), "l_partkey")
+        return lines.select(
+            _text("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("item_sequence"), _unit_price().alias("unit_price"),
+            F.col("l_quantity").cast("int").alias("quantity"), _cents(_price() * _off()).alias("discount_amount"),
+        )
+
     def order_items(self) -> DataFrame:
+        """Lines with their product. What is written are the given columns; those computed from them are computed where they are read."""
+
         def build() -> DataFrame:
-            price, off, tax = (
-                F.col("l_extendedprice").cast("decimal(14,2)"),
-                F.col("l_discount").cast("decimal(4,2)"),
-                F.col("l_tax").cast("decimal(4,2)"),
-            )
-            cents = lambda c: F.round(c.cast("decimal(30,8)"), 2).cast("decimal(14,2)")
             lines = self.clean_lines().select(
-                _text("l_orderkey").alias("order_id"),
-                F.col("l_linenumber").alias("item_sequence"),
-                F.col("l_partkey").alias("p_partkey"),
-                F.col("l_quantity").cast("int").alias("quantity"),
-                cents(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-                cents(price * off).alias("discount_amount"),
-                cents(price * (1 - off) * tax).alias("tax_amount"),
-                cents(price * (1 - off) * (1 + tax)).alias("line_total"),
+                "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                 F.col("l_shipdate").cast("date").alias("ship_date"),
-                F.col("l_suppkey").alias("supplier_id"),
-            )
-            part = self.given("part").select("p_partkey", "p_type", "p_name", "p_brand")
-            return lines.join(part, "p_partkey").select(
-                "order_id", "item_sequence",
-                _text("p_partkey").alias("product_id"),
-                F.col("p_name").alias("product_name"),
-                F.concat(F.lit("SKU-"), F.col("p_partkey")).alias("product_sku"),
-                F.col("p_type").alias("product_category"),
-                F.col("p_brand").alias("product_brand"),
-                "quantity", "unit_price", "discount_amount", "tax_amount", "line_total", "ship_date", "supplier_id",
             )
-
-        return self.written("order_items", build)
+            part = self.given("part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_name", "p_brand")
+            return lines.join(part, "l_partkey")
+
+        off, tax = _off(), F.col("l_tax").cast("decimal(4,2)")
+        return self.written("order_items", build).select(
+            _text("l_orderkey").alias("order_id"),
+            F.col("l_linenumber").alias("item_sequence"),
+            _text("l_partkey").alias("product_id"),
+            F.col("p_name").alias("product_name"),
+            F.concat(F.lit("SKU-"), F.col("l_partkey")).alias("product_sku"),
+            F.col("p_type").alias("product_category"),
+            F.col("p_brand").alias("product_brand"),
+            F.col("l_quantity").cast("int").alias("quantity"),
+            _unit_price().alias("unit_price"),
+            _cents(_price() * off).alias("discount_amount"),
+            _cents(_price() * (1 - off) * tax).alias("tax_amount"),
+            _cents(_price() * (1 - off) * (1 + tax)).alias("line_total"),
+            "ship_date",
+            F.col("l_suppkey").alias("supplier_id"),
+        )
 
     def active_carts(self, days: int = 30) -> DataFrame:
         fresh = self.given("orders").filter(
