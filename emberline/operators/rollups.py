@@ -93,9 +93,7 @@ def daily_buyers(orders: DataFrame, items: DataFrame, numbers: DataFrame) -> Dat
 
 def buyers_by_period(daily: DataFrame, periods: Sequence[str] = ("day", "week", "month"), by: Sequence[str] = ("product_category",)) -> DataFrame:
     """Distinct customers per day, week, month, quarter or year and ``by``, all from the daily bitmaps."""
-    absent = sorted(set(periods) - {"day", "week", "month", "quarter", "year"})
-    if absent or not periods:
-        raise ValueError(f"no such period: {', '.join(absent)}")
+    _known_periods(periods)
     each = [
         member_counts(daily, [F.date_trunc(p, "summary_date").cast("date").alias("period_start"), *by], "unique_customers").select(
             F.lit(p).alias("period"), "period_start", *by, "unique_customers"
@@ -105,6 +103,24 @@ def buyers_by_period(daily: DataFrame, periods: Sequence[str] = ("day", "week",
     return reduce(DataFrame.unionByName, each)
 
 
+def _known_periods(periods: Sequence[str]) -> None:
+    absent = sorted(set(periods) - {"day", "week", "month", "quarter", "year"})
+    if absent or not periods:
+        raise ValueError(f"no such period: {', '.join(absent)}")
+
+
+def buyers_of_purchases(purchases: DataFrame, periods: Sequence[str] = ("day", "week", "month"), by: Sequence[str] = ("product_category",)) -> DataFrame:
+    """``buyers_by_period`` from rows of customer_id, order_date and ``by``, where most groups hold few customers.
+
+    Rows are laid out by customer and ``by`` once. There each customer becomes one row a period, and only counts leave.
+    """
+    _known_periods(periods)
+    placed = purchases.filter(F.col("customer_id").isNotNull()).select("customer_id", "order_date", *by).repartition("customer_id", *by)
+    starts = F.array(*[F.struct(F.lit(p).alias("period"), F.date_trunc(p, "order_date").cast("date").alias("period_start")) for p in periods])
+    once = placed.select("customer_id", *by, F.inline(starts)).distinct()
+    return once.groupBy("period", "period_start", *by).agg(F.count(F.lit(1)).alias("unique_customers"))
+
+
 def weekly_products(orders: DataFrame, items: DataFrame, products: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Weekly units, revenue, mean price and return rate per product, ranked in its category.
 

@@ -62,3 +62,33 @@ def test_numbers_are_known_by_their_bits(spark):
 def test_amounts_read_no_written_lines(spark, no_items, name):
     rows = registry.queries()[name](spark, FOLDER)
     assert rows.count() > 0
+
+
+def test_buyers_of_purchases(spark):
+    rng = random.Random(4)
+    first = date(2023, 12, 28)
+    data = [(rng.choice([None, *range(9)]), rng.choice([None, *(first + timedelta(days=k) for k in range(50))]), rng.choice(["x", "y", None])) for _ in range(300)]
+    want = {}
+    for c, d, category in data:
+        if c is not None:
+            for p, start in (("day", d), ("week", d and d - timedelta(days=d.weekday())), ("month", d and d.replace(day=1))):
+                want.setdefault((p, start, category), set()).add(c)
+    rows = spark.createDataFrame(data, "customer_id long, order_date date, product_category string").repartition(5)
+    assert {tuple(r)[:3]: r[3] for r in rollups.buyers_of_purchases(rows).collect()} == {k: len(v) for k, v in want.items()}
+    with pytest.raises(ValueError):
+        rollups.buyers_of_purchases(rows, ["decade"])
+    assert rollups.buyers_of_purchases(rows.limit(0)).collect() == []
+
+
+def test_buyers_by_period_builds_no_sparse_bitmaps(spark, no_items):
+    rows = registry.queries()["buyers_by_period"](spark, FOLDER)
+    assert rows.count() > 0 and "bitmap" not in plan_of(rows)
+
+
+def test_buyers_of_all_categories_hold_no_bitmaps(spark, no_items):
+    rows = registry.queries()["buyers_of_all_categories"](spark, FOLDER)
+    assert rows.count() > 0 and "bitmap" not in plan_of(rows)
+    year = {r.period_start.year: r.unique_customers for r in rows.filter("period = 'year'").collect()}
+    t = views.DomainTables(spark, FOLDER)
+    orders = t.archive_lines().select("l_orderkey").distinct().join(t.archive_keys(), "l_orderkey")
+    assert year == {r.y: r.n for r in orders.groupBy(F.year("order_date").alias("y")).agg(F.count_distinct("o_custkey").alias("n")).collect()}
