@@ -92,3 +92,17 @@ def test_buyers_of_all_categories_hold_no_bitmaps(spark, no_items):
     t = views.DomainTables(spark, FOLDER)
     orders = t.archive_lines().select("l_orderkey").distinct().join(t.archive_keys(), "l_orderkey")
     assert year == {r.y: r.n for r in orders.groupBy(F.year("order_date").alias("y")).agg(F.count_distinct("o_custkey").alias("n")).collect()}
+
+
+def test_purchase_lines_read_no_written_lines(spark, no_items):
+    assert registry.queries()["purchase_lines"](spark, FOLDER).count() > 0
+
+
+def test_purchases_are_the_same_in_place(spark):
+    rng = random.Random(5)
+    customers = spark.createDataFrame([(f"c{k}", f"f{k}", f"l{k}") for k in range(5)], "customer_id string, first_name string, last_name string")
+    orders = spark.createDataFrame([(f"o{k}", f"c{rng.randrange(6)}") for k in range(40)], "order_id string, customer_id string")
+    items = spark.createDataFrame([(f"o{rng.randrange(45)}", k, f"p{rng.randrange(7)}") for k in range(200)], "order_id string, item_sequence int, product_id string")
+    products = spark.createDataFrame([(f"p{k}", f"n{k}", k / 2) for k in range(6)], "product_id string, name string, price double")
+    both = [f(customers, orders, items, products).collect() for f in (federated.purchases, federated.purchases_in_place)]
+    assert sorted(both[0]) == sorted(both[1]) and both[0]
