@@ -368,7 +368,13 @@ class DomainTables:
 
     def competitor_prices(self) -> DataFrame:
         """Per product, week and supplier: 95 % of the mean unit price of the lines."""
-        lines = self.order_items().withColumn("week_start_date", F.date_trunc("week", "ship_date").cast("date"))
+
+        def build() -> DataFrame:
+            lines = only_known(self.clean_lines(), self.key_bits("part", "p_partkey"), "l_partkey")
+            week = F.date_trunc("week", F.col("l_shipdate").cast("date")).cast("date").alias("week_start_date")
+            return lines.select("l_partkey", "l_suppkey", week, _unit_price().alias("unit_price"))
+
+        lines = self.written("quoted_lines", build).withColumns({"product_id": _text("l_partkey"), "supplier_id": F.col("l_suppkey")})
         per = lines.groupBy(F.col("product_id").alias("our_product_id"), "week_start_date", "supplier_id").agg(
             F.sum("unit_price").alias("_sum"), F.count(F.lit(1)).alias("_n")
         )

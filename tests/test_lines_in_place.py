@@ -106,3 +106,7 @@ def test_purchases_are_the_same_in_place(spark):
     products = spark.createDataFrame([(f"p{k}", f"n{k}", k / 2) for k in range(6)], "product_id string, name string, price double")
     both = [f(customers, orders, items, products).collect() for f in (federated.purchases, federated.purchases_in_place)]
     assert sorted(both[0]) == sorted(both[1]) and both[0]
+
+
+def test_price_audit_reads_no_written_lines(spark, no_items):
+    assert registry.queries()["price_audit"](spark, FOLDER).columns[0] == "product_id"
