@@ -130,6 +130,15 @@ def _written(spark: SparkSession, root: str) -> dict[int, dict[int, object]]:
     return found
 
 
+def _versions(spark: SparkSession, base: str) -> list[list[str]]:
+    """The folders of the table in ``base`` by age: the newest version of every bucket, the one before it where that is still kept, and so on."""
+    above = spark._jvm.org.apache.hadoop.fs.Path(base)
+    roots = [f.getPath() for f in above.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(above)]
+    buckets = [b for r in roots if r.getName().startswith("in_") and r.getName().endswith("_buckets") for b in _written(spark, r.toString()).values()]
+    aged = [[b[v].toString() for v in sorted(b, reverse=True)] for b in buckets]
+    return [[b[k] for b in aged if k < len(b)] for k in range(max(map(len, aged), default=0))]
+
+
 def _drop_superseded(spark: SparkSession, root: str, batch_id: int) -> None:
     """Delete what no batch can need again. Of each bucket stay the version of this batch, if it has one, and the newest before it,
     which this batch reads when it runs again. Versions without a bucket left go as a whole."""
@@ -192,10 +201,10 @@ def upsert_to_table(
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    newest = [versions[max(versions)].toString() for versions in _written(spark, root).values()]
-    if not newest:
+    versions = _versions(spark, base)
+    if not versions:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*newest)
+    return spark.read.schema(schema).parquet(*versions[0])
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
