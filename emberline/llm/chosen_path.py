@@ -2,9 +2,11 @@
 
 A text is the set of its five-word shingles. Every set has a row of minwise tokens. Each of ``TREES`` trees starts by
 one of them: sets with the same value share a node. A node that is small is compared exhaustively; a larger one branches by
-``BRANCHES`` further tokens, chosen by tree and depth, and its children are treated alike, down to ``DEPTH``, where what is
-left is compared in whatever size it has. Two sets of similarity s share a first node of a given tree with probability s, so
-at 0.75 all trees miss a pair with probability 0.25 ** TREES.
+``BRANCHES`` paths of ``STEPS`` further tokens each, chosen by node and depth, and its children are treated alike, down to ``DEPTH``, where what is
+left is compared in whatever size it has. Two sets of similarity s share a first node of a given tree with probability s and each path with
+s ** STEPS. At 0.75 a branching loses them with probability 0.004, so all trees miss a pair with 0.25 ** TREES where nodes are small, and with
+(0.25 + 0.75 * 0.0084) ** TREES, which is 1.5e-12, where they branch twice. Sets that have only a passage in common, say 0.3 alike, share a path with 0.027: a branching
+leaves a quarter of their pairs, and a node of ``z`` such sets costs no more than ``z * SMALL`` where paths part them.
 
 Only links that can still join two components matter. So equal sets are one vertex from the start, and every set of a root node is
 held against one of the node, its pivot, in full: how much they share, and what the set has besides. After that a pair needs
@@ -25,17 +27,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settled
-from .common import discard, map_arrow, mixed, release, rows_of, word_list
+from .common import discard, map_arrow, mixed, release, rows_of, tasks_for, word_list
 from .graph import components
 
 SHINGLE = 5
 PERCENT = 75
-TOKENS, TREES, BRANCHES, DEPTH = 64, 20, 8, 3
+TOKENS, TREES, BRANCHES, STEPS, DEPTH = 64, 20, 10, 3, 3
 #: For comparisons a set has 126 tokens of a byte each, seven to a long. A pair goes to the confirmation if 70 of them agree: 94.5 are
 #: expected at the threshold and 70 lie five deviations below. Inside nodes the first 63 are looked at before the others: 47.25 and 30.
 LONGS, AGREEING, FIRST_LONGS, FIRST_AGREEING = 18, 70, 9, 30
 #: A node is small if it has at most this many sets that are unlike its pivot.
-SMALL = 10_000
+SMALL = 500
+#: Rows that a task writes, of documents and of pairs with their texts.
+WRITTEN, WRITTEN_PAIRS = 10_000, 5_000
 #: What a set has besides its pivot is also kept as a bitmap of this many bits, one for each range of shingle hashes.
 BITS = 512
 
@@ -109,12 +113,14 @@ def _agree_in_all(a: str, b: str) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> {_equal_bytes('x', 'y')}), 0, (n, same) -> n + same) >= {AGREEING}")
 
 
-def _by_token(df: DataFrame, which: Column) -> DataFrame:
-    """One row for each set and chosen token; ``key`` names the node the token leads to, from the node the row is in."""
+def _by_token(df: DataFrame, which: Column, steps: int = 1) -> DataFrame:
+    """One row for each set and chosen place; ``key`` names the node that the ``steps`` tokens from that place on lead to, from the node the row
+    is in. After the last token comes the first that roots don't use."""
     keep = [c for c in df.columns if c not in ("key", "tok")]
     above = F.col("key") if "key" in df.columns else F.lit(0).cast("long")
     chosen = df.withColumn("pos", F.explode(which))
-    return chosen.select(*keep, F.xxhash64(above, "pos", F.element_at("tok", F.col("pos") + 1)).alias("key"))
+    places = [F.col("pos") if k == 0 else F.lit(TREES) + (F.col("pos") - TREES + k) % (TOKENS - TREES) for k in range(steps)]
+    return chosen.select(*keep, F.xxhash64(above, "pos", *[F.element_at("tok", p.cast("int") + 1) for p in places]).alias("key"))
 
 
 def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -124,12 +130,13 @@ def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(_agree("sa", "sb", LONGS, AGREEING)).select("a", "b")
 
 
-def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
     """The pairs (a, b) of ids with their full sets' sizes, how much they share, whether they link, and what ``a`` has besides,
     as shingles and as a bitmap."""
-    pairs = settled(pairs)
+    pairs = settled(pairs, tasks)
+    held = max(tasks, tasks_for(docs.sparkSession, pairs.count(), WRITTEN_PAIRS))
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = settled(docs.select("doc_id", "text").join(ids, "doc_id"))
+    texts = settled(docs.select("doc_id", "text").join(ids, "doc_id"), tasks)
     release(docs.sparkSession)
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -159,7 +166,7 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             sizes = {"na": pa.array(na, pa.int64()), "nb": pa.array(nb, pa.int64()), "shared": pa.array(shared, pa.int64())}
             yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), **sizes, "besides": pa.array(besides, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
-    found = map_arrow(both, ["a", "b", "text_a", "text_b"], work, "a long, b long, na long, nb long, shared long, besides array<long>, bits array<long>")
+    found = map_arrow(both.coalesce(held), ["a", "b", "text_a", "text_b"], work, "a long, b long, na long, nb long, shared long, besides array<long>, bits array<long>")
     out = settled(found.withColumn("link", _alike("shared", "na", "nb")))
     discard(texts)
     discard(pairs)
@@ -170,16 +177,16 @@ def _alike(shared: str, na: str, nb: str) -> Column:
     return F.expr(f"{shared} > 0 and 100 * {shared} >= {PERCENT} * ({na} + {nb} - {shared})")
 
 
-def _pivots(sets: DataFrame) -> DataFrame:
+def _pivots(sets: DataFrame, tasks: int) -> DataFrame:
     """(key, p, np): of each root node with two sets or more the one whose tokens lead to the largest nodes, as those of a text in the
     middle of its near copies do; at ties the smallest id."""
     at = _by_token(sets.select("v", "n", "tok"), F.sequence(F.lit(0), F.lit(TREES - 1)))
-    sizes = settled(at.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
-    shared = settled(at.join(sizes, "key"))
-    central = settled(shared.groupBy("v").agg(F.sum("c").alias("weight")))
+    sizes = settled(at.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), tasks)
+    shared = settled(at.join(sizes, "key"), tasks)
+    central = settled(shared.groupBy("v").agg(F.sum("c").alias("weight")), tasks)
     best = F.max(F.struct("weight", (-F.col("v")).alias("minus"), "n"))
     pivots = shared.select("key", "v", "n").join(central, "v").groupBy("key").agg(best.alias("best"))
-    pivots = settled(pivots.select("key", (-F.col("best.minus")).alias("p"), F.col("best.n").alias("np")))
+    pivots = settled(pivots.select("key", (-F.col("best.minus")).alias("p"), F.col("best.n").alias("np")), tasks)
     for done in (sizes, shared, central):
         discard(done)
     return pivots
@@ -212,8 +219,9 @@ def _probes(outside: DataFrame, index: DataFrame, plain: list[str]) -> DataFrame
     holders = holders.select("p", "s", F.when(F.col("low") != F.col("high"), F.col("c")).otherwise(0).alias("c"))
     # Size classes are few, as they grow by a twentieth of a logarithm.
     classes = index.groupBy("p").agg(F.collect_set("step").alias("steps"))
-    asks = outside.withColumn("nb", F.size("besides")).select(*plain, "nb", F.explode("besides").alias("s")).join(holders, ["p", "s"]).join(classes, "p")
-    asks = asks.withColumn("rank", F.row_number().over(Window.partitionBy("p", "v").orderBy("c", "s"))).filter("c > 0")
+    asks = outside.withColumn("nb", F.size("besides")).select(*plain, "nb", F.explode("besides").alias("s")).join(holders, ["p", "s"])
+    # Ranked before they meet the classes: rows dealt by pivot and set, not by pivot alone.
+    asks = asks.withColumn("rank", F.row_number().over(Window.partitionBy("p", "v").orderBy("c", "s"))).filter("c > 0").join(classes, "p")
     asks = asks.withColumn("step", F.explode("steps")).drop("steps")
     smallest = F.greatest(F.ceil(F.exp(F.col("step") / 20) - 1e-6), F.ceil(F.col("n") * PERCENT / 100))
     near = (F.exp((F.col("step") + 1) / 20) * 100 >= F.col("n") * PERCENT - 1) & (F.exp(F.col("step") / 20) * PERCENT <= F.col("n") * 100 + 1)
@@ -223,13 +231,13 @@ def _probes(outside: DataFrame, index: DataFrame, plain: list[str]) -> DataFrame
     return asks.filter(near & (F.col("rank") <= prefix)).select(*plain, "step", "s")
 
 
-def _pairs_at_pivots(held: DataFrame, labels: DataFrame) -> DataFrame:
+def _pairs_at_pivots(held: DataFrame, labels: DataFrame, tasks: int) -> DataFrame:
     """Of sets held against one pivot, the pairs across components that may be alike by what each shares with the pivot and what
     both have besides. Pairs that have nothing the same besides meet by size: the other one must be small enough to be alike. The others
     meet in a shingle, and only those go on whose bits leave room for what they would have to share."""
     rows = held.select(F.col("b").alias("p"), F.col("a").alias("v"), F.col("na").alias("n"), F.col("shared").alias("i"), "besides", "bits")
     rows = rows.join(labels, "v").join(labels.select(F.col("v").alias("p"), F.col("label").alias("main")), "p")
-    rows = settled(rows.withColumn("step", _size_class(F.col("n"))))
+    rows = settled(rows.withColumn("step", _size_class(F.col("n"))), tasks)
     names = {"v": "w", "n": "m", "i": "j", "label": "other", "bits": "bits_w"}
     plain = ["p", "v", "n", "i", "label"]
     outside = rows.filter("label <> main")
@@ -249,12 +257,12 @@ def _pairs_at_pivots(held: DataFrame, labels: DataFrame) -> DataFrame:
     return sharing.select("v", "w").unionByName(by_size.select("v", "w")).select(F.greatest("v", "w").alias("a"), F.least("v", "w").alias("b"))
 
 
-def _open(at: DataFrame) -> DataFrame:
+def _open(at: DataFrame, tasks: int) -> DataFrame:
     """Rows of nodes that hold more than one component and a set that is unlike the pivot, and whether the node is small. Counting is by
     (node, component), so a large group is a few rows."""
     tally = at.groupBy("key", "label").agg(F.count(F.when(F.col("unlike"), 1)).alias("z"))
     nodes = tally.groupBy("key").agg(F.count("*").alias("labels"), F.sum("z").alias("z")).filter("labels > 1 and z > 0")
-    return at.join(settled(nodes.select("key", (F.col("z") <= SMALL).alias("small"))), "key")
+    return at.join(settled(nodes.select("key", (F.col("z") <= SMALL).alias("small")), tasks), "key")
 
 
 def _across(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -268,25 +276,25 @@ def _across(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def _pairs_in_nodes(sets: DataFrame, labels: DataFrame, held: DataFrame, pivots: DataFrame) -> DataFrame:
+def _pairs_in_nodes(sets: DataFrame, labels: DataFrame, held: DataFrame, pivots: DataFrame, tasks: int) -> DataFrame:
     """Pairs between components, from all trees, each node down to where it is small, with an end unlike the root node's pivot."""
     rows = _by_token(sets.join(labels, "v").select("v", "n", "tok", "label"), F.sequence(F.lit(0), F.lit(TREES - 1)))
     mixed_nodes = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    pivots = settled(pivots.join(mixed_nodes, "key").select("key", "p"))
+    pivots = settled(pivots.join(mixed_nodes, "key").select("key", "p"), tasks)
     known = held.select(F.col("a").alias("v"), F.col("b").alias("p"), F.lit(False).alias("unlike"))
     rows = rows.join(pivots, "key").filter("v <> p").join(known, ["v", "p"], "left").select("key", "v", "n", "label", F.coalesce("unlike", F.lit(True)).alias("unlike"))
     pairs = None
     for depth in range(1, DEPTH + 1):
-        rows = settled(_open(rows))
+        rows = settled(_open(rows, tasks), tasks)
         at_end = depth == DEPTH
         found = _across(rows if at_end else rows.filter("small"), sets)
         pairs = found if pairs is None else pairs.unionByName(found)
         rows = rows.filter(~F.col("small"))
         if at_end or rows.isEmpty():
             break
-        # Further tokens, other ones for each node and depth.
-        which = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda k: (F.lit(TREES) + F.pmod(F.xxhash64("key", F.lit(depth)) % 1000 + 5 * k, F.lit(TOKENS - TREES))).cast("int"))
-        rows = _by_token(rows.select("v", "n", "label", "unlike", "key").join(sets.select("v", "tok"), "v"), which)
+        # Further tokens, other ones for each node and depth, and none in two paths.
+        which = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda k: (F.lit(TREES) + F.pmod(F.xxhash64("key", F.lit(depth)) % 1000 + STEPS * k, F.lit(TOKENS - TREES))).cast("int"))
+        rows = _by_token(rows.select("v", "n", "label", "unlike", "key").join(sets.select("v", "tok"), "v"), which, STEPS)
     return pairs
 
 
@@ -299,21 +307,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = settled(features(docs))
+    tasks = tasks_for(spark, rows.count(), WRITTEN)
     named = rows.filter("n_shingles > 0 and doc_id is not null")
-    sets = settled(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.first("n_shingles").alias("n"), F.first("tok").alias("tok"), F.first("sig").alias("sig")))
+    sets = settled(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.first("n_shingles").alias("n"), F.first("tok").alias("tok"), F.first("sig").alias("sig")), tasks)
     release(spark)
-    pivots = _pivots(sets)
-    held = compared(_first_pairs(sets, pivots), docs)
+    pivots = _pivots(sets, tasks)
+    held = compared(_first_pairs(sets, pivots), docs, tasks)
     links = held.filter("link").select("a", "b")
-    known = components(links).withColumnRenamed("component", "label")
-    labels = settled(sets.select("v").distinct().join(known, "v", "left").select("v", F.coalesce("label", "v").alias("label")))
-    further = settled(_pairs_at_pivots(held, labels).unionByName(_pairs_in_nodes(sets, labels, held, pivots)).distinct())
-    more = compared(_likely(further, sets), docs).filter("link").select("a", "b")
-    groups = components(links.unionByName(more))
+    known = components(links, tasks).withColumnRenamed("component", "label")
+    labels = settled(sets.select("v").distinct().join(known, "v", "left").select("v", F.coalesce("label", "v").alias("label")), tasks)
+    found = _pairs_at_pivots(held, labels, tasks).unionByName(_pairs_in_nodes(sets, labels, held, pivots, tasks))
+    further = settled(found.coalesce(4 * tasks).distinct(), tasks)
+    more = compared(_likely(further, sets), docs, tasks).filter("link").select("a", "b")
+    groups = components(links.unionByName(more), tasks)
     for done in (held, labels, further, pivots):
         discard(done)
     release(spark)
-    of_set = settled(sets.join(groups, "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("c")))
+    of_set = settled(sets.join(groups, "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("c")), tasks)
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")
     one = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(one, F.col("doc_id")))
