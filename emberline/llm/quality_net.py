@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, map_arrow, rows_of
+from .common import held_out, in_one_task, map_arrow, rows_of
 
 CHUNK, STEP = 512, 448
 DIM, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 12, 2, 24, 16
@@ -159,7 +159,7 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataF
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Network:
-    """Fit on a bounded sample of ``bound`` texts a class, ``SAMPLE_CHUNKS`` chunks each, fetched to the driver."""
+    """Fit on a bounded sample of ``bound`` texts a class, ``SAMPLE_CHUNKS`` chunks each, in one task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,9 +168,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Network:
             flat, ends = [c.tobytes().rstrip(b"\0") for c in chunks], np.cumsum(counts)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "label": batch.column(2), "chunks": pa.array([flat[e - n : e] for e, n in zip(ends, counts)], pa.list_(pa.binary()))})
 
-    rows = map_arrow(sample(docs, labels, "quality", bound), ["doc_id", "text", "label"], cut, "doc_id long, label int, chunks array<binary>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["chunks"]))
-    return fit([r["chunks"] for r in rows], np.array([r["label"] for r in rows], np.float64) if rows else np.zeros(0))
+    def fitted(rows: list[dict]) -> Network:
+        rows.sort(key=lambda r: (r["doc_id"], r["chunks"]))
+        return fit([r["chunks"] for r in rows], np.array([r["label"] for r in rows], np.float64) if rows else np.zeros(0))
+
+    return in_one_task(map_arrow(sample(docs, labels, "quality", bound), ["doc_id", "text", "label"], cut, "doc_id long, label int, chunks array<binary>"), fitted)
 
 
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, map_arrow, rows_of, word_list
+from .common import held_out, in_one_task, map_arrow, rows_of, word_list
 
 WINDOW, STEP, TOP = 128, 96, 3
 WORD_SLOTS, GRAM_SLOTS, DIM, HIDDEN = 1 << 16, 1 << 16, 6, 8
@@ -309,7 +309,7 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataF
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Network:
-    """Fit on a bounded sample, fetched to the driver in the order of ids: ``bound`` texts a class of bounded length."""
+    """Fit on a bounded sample, in one task and in the order of ids: ``bound`` texts a class of bounded length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,9 +322,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Network:
                 out.append(b" ".join(w or b"." for w in words))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "label": batch.column(2), "words": pa.array(out, pa.binary())})
 
-    rows = map_arrow(sample(docs, labels, "toxic", bound), ["doc_id", "text", "label"], cut, "doc_id long, label int, words binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return fit([bytes(r["words"]).split() for r in rows], np.array([r["label"] for r in rows], np.float64) if rows else np.zeros(1))
+    def fitted(rows: list[dict]) -> Network:
+        rows.sort(key=lambda r: (r["doc_id"], r["words"]))
+        return fit([bytes(r["words"]).split() for r in rows], np.array([r["label"] for r in rows], np.float64) if rows else np.zeros(1))
+
+    return in_one_task(map_arrow(sample(docs, labels, "toxic", bound), ["doc_id", "text", "label"], cut, "doc_id long, label int, words binary"), fitted)
 
 
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,10 +1,13 @@
 """Small tables are written by few tasks, and few links are followed without shuffles, however many shuffle partitions there are."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from emberline import session
 from emberline.llm import graph
+from emberline.llm.common import in_one_task
 
 
 @pytest.fixture
@@ -38,3 +41,12 @@ def test_components_of_few_links_are_written_as_one_file_a_turn(spark, uncoalesc
 def test_settled_writes_by_so_many_tasks(spark, uncoalesced):
     rows = spark.range(1000).groupBy("id").count()
     assert len(session.settled(rows, 3).inputFiles()) == 3 and session.settled(rows, 3).count() == 1000
+
+
+def test_a_model_is_fitted_in_a_task_and_not_in_the_driver(spark):
+    def fit(rows):
+        return os.getpid(), sorted(r["id"] for r in rows)
+
+    where, ids = in_one_task(spark.range(0, 100, 1, 7), fit)
+    assert where != os.getpid() and ids == list(range(100))
+    assert in_one_task(spark.range(0), fit)[1] == []
