@@ -6,13 +6,15 @@ added up so far and, for what is left, something between the sums of the least a
 allows. Rows whose range can't matter any more leave the candidate bitmap; the last ones standing are known exactly.
 
 Two scans: the first keeps an anchor's best rows of its own label, its positives. Each positive's score opens a window of
-scores, and the second scan keeps the best rows of other labels in each window. Anchors travel to blocks in groups, and a group and a
-block give at most a few rows an anchor, whatever the block holds; the best of all blocks are taken by Spark, which limits
-them before the shuffle.
+scores, and the second scan keeps the best rows of other labels in each window. Anchors travel to all blocks in groups, and in rounds of
+a bounded number of bytes: neither the driver nor an executor ever holds more of them, however many there are, and no group is repeated
+once a block. A group and a block give at most a few rows an anchor, whatever the block holds; the best of all blocks are taken by Spark,
+which limits them before the shuffle.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import settled
-from .common import batch_rows, map_arrow, rows_of
+from ..session import job_folder, settled
+from .common import batch_rows, map_arrow, release, rows_of
 
 SCALE = 256
 ANCHOR_EVERY = 50
@@ -30,6 +32,8 @@ POSITIVES, NEGATIVES = 5, 3
 LEAST, MOST = 50, 95
 #: Rows of a block, anchors of a group, and dimensions read between two looks at the bitmap.
 BLOCK, GROUP, STRIDE = 4096, 256, 8
+#: Bytes of anchors that travel to all blocks in one round, and tasks that blocks are dealt to for each that runs at once.
+ROUND, DEALT = 8 << 20, 4
 #: Components beyond this could make a score overflow 64 bits.
 LARGEST = 1 << 24
 
@@ -82,24 +86,33 @@ def _anchors(blocks: DataFrame, every: int) -> DataFrame:
     """Groups of anchors: per anchor its row (block and place), id, label and values."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_groups, task = 0, TaskContext.get().partitionId()
+        held, size, n_groups, task = [], 0, 0, TaskContext.get().partitionId()
+
+        def closed() -> pa.RecordBatch:
+            rows = [(task << 32 | n_groups, *row) for row in held]
+            return _batch(rows, {"grp": pa.int64(), "home": pa.int64(), "place": pa.int32(), "anchor_id": pa.int64(), "anchor_label": pa.int64(), "values": pa.binary()})
+
         for batch in batches:
             for row in batch.to_pylist():
                 columns = np.frombuffer(row["columns"], "<i4").reshape(row["dims"], -1)
-                places = [k for k, i in enumerate(row["ids"]) if i % every == 0]
-                for first in range(0, len(places), GROUP):
-                    some = places[first : first + GROUP]
-                    n = len(some)
-                    yield pa.RecordBatch.from_pydict({
-                        "grp": pa.array([task << 32 | n_groups] * n, pa.int64()), "home": pa.array([row["block"]] * n, pa.int64()), "place": pa.array(some, pa.int32()),
-                        "anchor_id": pa.array([row["ids"][k] for k in some], pa.int64()), "anchor_label": pa.array([row["labels"][k] for k in some], pa.int64()),
-                        "values": pa.array([columns[:, k].tobytes() for k in some], pa.binary()),
-                    })
-                    n_groups += 1
+                for k, i in enumerate(row["ids"]):
+                    if i % every == 0:
+                        held.append((row["block"], k, i, row["labels"][k], columns[:, k].tobytes()))
+                        size += len(held[-1][-1])
+                        if len(held) == GROUP or size >= ROUND // 8:
+                            yield closed()
+                            held, size, n_groups = [], 0, n_groups + 1
+        if held:
+            yield closed()
 
     return settled(map_arrow(blocks, ["block", "ids", "labels", "dims", "columns"], work, "grp long, home long, place int, anchor_id long, anchor_label long, values binary"))
 
 
+def laid_out(columns: np.ndarray) -> np.ndarray:
+    """A block's values as doubles, which multiply faster, where no sum of an anchor's products could pass 2^53 and so be rounded."""
+    return columns.astype(np.float64 if len(columns) * int(np.abs(columns).max(initial=0)) * LARGEST <= 1 << 53 else np.int64)
+
+
 class Block:
     """A block's columns, and the least and greatest value of each dimension."""
 
@@ -108,25 +121,26 @@ class Block:
         self.least, self.greatest = columns.min(axis=1), columns.max(axis=1)
 
     def scan(self, anchor: np.ndarray, candidates: np.ndarray, keeps) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that may matter and their exact scores. ``keeps(low, high)`` says of rows whose scores lie in these ranges which may."""
+        """Rows that may matter and their exact scores. ``keeps(low, high)`` says of rows whose scores lie in these ranges, all equally wide,
+        which may."""
         n = min(len(anchor), len(self.columns))  # dimensions that one side lacks count nothing
-        q = anchor[:n]
+        q = anchor[:n].astype(self.columns.dtype)
         order = np.argsort(-np.abs(q), kind="stable")
         worst, best = np.minimum(q * self.least[:n], q * self.greatest[:n])[order], np.maximum(q * self.least[:n], q * self.greatest[:n])[order]
         # What the dimensions from the k-th on can still take away or add.
         rest_low, rest_high = np.append(np.cumsum(worst[::-1])[::-1], 0), np.append(np.cumsum(best[::-1])[::-1], 0)
         rows = np.flatnonzero(candidates)
-        so_far, every = np.zeros(len(rows), np.int64), False
+        so_far = np.zeros(len(rows), q.dtype)
         for at in range(0, n, STRIDE):
-            for d in order[at : at + STRIDE]:
-                if q[d]:
-                    so_far += q[d] * self.columns[d][rows]
             upto = min(at + STRIDE, n)
+            dims = order[at:upto]
+            # Picking more than few rows costs more than reading all.
+            so_far += (q[dims] @ self.columns[dims])[rows] if 10 * len(rows) > len(candidates) else q[dims] @ self.columns[dims[:, None], rows]
             if len(rows):
                 stay = keeps(so_far + rest_low[upto], so_far + rest_high[upto])
                 if not stay.all():
                     rows, so_far = rows[stay], so_far[stay]
-        return rows, so_far
+        return rows, so_far.astype(np.int64)
 
     def best_alike(self, anchor: np.ndarray, label: int, place: int, most: int) -> tuple[np.ndarray, np.ndarray]:
         """At most ``most`` rows of the label, but for ``place`` (the anchor's own, or -1): the highest scores, then the smallest ids."""
@@ -144,9 +158,19 @@ class Block:
     def best_within(self, anchor: np.ndarray, label: int, windows: list[tuple[int, int]], most: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each window of scores at most ``most`` rows of other labels in it: the highest scores, then the smallest ids."""
         open_ = {w for w in windows if w[0] <= w[1]}
+        widest, covered = max((greatest - least for least, greatest in open_), default=-1), []
+        for least, greatest in sorted(open_):
+            if covered and least <= covered[-1][1] + 1:
+                covered[-1] = covered[-1][0], max(greatest, covered[-1][1])
+            else:
+                covered.append((least, greatest))
 
         def keeps(low: np.ndarray, high: np.ndarray) -> np.ndarray:
             stay = np.zeros(len(low), bool)
+            if high[0] - low[0] > widest:  # no range lies in a window as a whole
+                for least, greatest in covered:
+                    stay |= (high >= least) & (low <= greatest)
+                return stay
             for least, greatest in open_:
                 may = (high >= least) & (low <= greatest)
                 sure = low[(low >= least) & (high <= greatest)]
@@ -172,19 +196,23 @@ def window(score: int, least: int = LEAST, most: int = MOST) -> tuple[int, int]:
 _CARRIED = ["home", "place", "anchor_id", "anchor_label", "values"]
 
 
-def _meet(groups: DataFrame, blocks: DataFrame, n_places: int) -> DataFrame:
-    """Every group of anchors beside every block. A block has one of ``n_places`` places, and the groups, the smaller side, are
-    repeated once a place."""
-    spread = groups.withColumn("at_place", F.explode(F.sequence(F.lit(0), F.lit(n_places - 1))))
-    return spread.join(blocks.withColumn("at_place", F.pmod(F.xxhash64("block"), F.lit(n_places)).cast("int")), "at_place")
+def _meet(blocks: DataFrame, anchors: DataFrame, carried: list[str]) -> DataFrame:
+    """Every block beside every group of anchors. A group is one row of at most ``GROUP`` anchors; the anchors are those of one round, which
+    every executor can hold. Blocks are dealt out once, since they may lie in few files, and not repeated."""
+    groups = anchors.groupBy("grp").agg(F.collect_list(F.struct(*carried)).alias("anchors"))
+    return blocks.repartition(DEALT * blocks.sparkSession.sparkContext.defaultParallelism).crossJoin(F.broadcast(groups))
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list[dict], Block]]:
-    """A batch's rows: the block's number, a group's anchors, the block."""
-    for k in range(batch.num_rows):
-        row = {name: batch.column(name)[k] for name in batch.schema.names}
-        columns = np.frombuffer(row["columns"].as_buffer(), "<i4").reshape(row["dims"].as_py(), -1).astype(np.int64)
-        yield row["block"].as_py(), row["anchors"].as_py(), Block(row["ids"].values.to_numpy(), row["labels"].values.to_numpy(), columns)
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], Block]]:
+    """Of each row the block's number, a group's anchors, the block."""
+    number, block = None, None
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k] for name in batch.schema.names}
+            if row["block"].as_py() != number:
+                number, columns = row["block"].as_py(), np.frombuffer(row["columns"].as_buffer(), "<i4").reshape(row["dims"].as_py(), -1)
+                block = Block(row["ids"].values.to_numpy(), row["labels"].values.to_numpy(), laid_out(columns))
+            yield number, row["anchors"].as_py(), block
 
 
 def mine(vectors: DataFrame, every: int = ANCHOR_EVERY, positives: int = POSITIVES, negatives: int = NEGATIVES, least: int = LEAST, most: int = MOST) -> DataFrame:
@@ -198,45 +226,44 @@ def mine(vectors: DataFrame, every: int = ANCHOR_EVERY, positives: int = POSITIV
     repeated row is a row of its own: it may be an anchor again and another copy's positive. Of two lengths, what the shorter vector
     lacks counts nothing; an empty one scores 0 with all. An empty table gives no rows. Only vec_id, label and embedding are read.
     """
-    blocks = _blocks(vectors)
-    n_places = max(1, blocks.count())
+    spark, blocks = vectors.sparkSession, _blocks(vectors)
     anchors = _anchors(blocks, every)
-    # A group is one row: at most ``GROUP`` anchors.
-    groups = anchors.groupBy("grp").agg(F.collect_list(F.struct(*_CARRIED)).alias("anchors"))
+    # Besides its values an anchor carries about as many bytes, and so many for each positive.
+    n_rounds = max(1, -(-(anchors.agg(F.sum(F.length("values") + 100 + 40 * positives)).first()[0] or 0) // ROUND))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, group, block in _rows(batch):
-                out = []
-                for a in group:
-                    ids, scores = block.best_alike(np.frombuffer(a["values"], "<i4").astype(np.int64), a["anchor_label"], a["place"] if a["home"] == number else -1, positives)
-                    out += [(a["home"], a["place"], i, s) for i, s in zip(ids.tolist(), scores.tolist())]
-                yield _batch(out, {"home": pa.int64(), "place": pa.int32(), "id": pa.int64(), "score": pa.int64()})
-
-    columns = ["block", "ids", "labels", "dims", "columns", "anchors"]
-    with batch_rows(vectors.sparkSession, 4):
-        found = map_arrow(_meet(groups, blocks, n_places), columns, alike, "home long, place int, id long, score long")
-        first = Window.partitionBy("home", "place").orderBy(F.desc("score"), "id")
-        chosen = settled(found.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= positives))
-    asked = anchors.join(chosen.groupBy("home", "place").agg(F.array_sort(F.collect_list(F.struct("at", "id", "score"))).alias("positives")), ["home", "place"])
-    groups = asked.groupBy("grp").agg(F.collect_list(F.struct(*_CARRIED, "positives")).alias("anchors"))
+        for number, group, block in _pairs(batches):
+            out = []
+            for a in group:
+                ids, scores = block.best_alike(np.frombuffer(a["values"], "<i4").astype(np.int64), a["anchor_label"], a["place"] if a["home"] == number else -1, positives)
+                out += [(a["home"], a["place"], i, s) for i, s in zip(ids.tolist(), scores.tolist())]
+            yield _batch(out, {"home": pa.int64(), "place": pa.int32(), "id": pa.int64(), "score": pa.int64()})
 
     def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, group, block in _rows(batch):
-                out = []
-                for a in group:
-                    windows = [window(p["score"], least, most) for p in a["positives"]]
-                    best = block.best_within(np.frombuffer(a["values"], "<i4").astype(np.int64), a["anchor_label"], windows, negatives)
-                    for p, (ids, scores) in zip(a["positives"], best):
-                        out += [(a["home"], a["place"], a["anchor_id"], p["at"], p["id"], p["score"], i, s) for i, s in zip(ids.tolist(), scores.tolist())]
-                yield _batch(out, {"home": pa.int64(), "place": pa.int32(), "anchor_id": pa.int64(), "at": pa.int32(), "positive_id": pa.int64(), "positive_score": pa.int64(), "negative_id": pa.int64(), "negative_score": pa.int64()})
-
-    with batch_rows(vectors.sparkSession, 4):
-        found = map_arrow(_meet(groups, blocks, n_places), columns, unlike, "home long, place int, anchor_id long, at int, positive_id long, positive_score long, negative_id long, negative_score long")
-        first = Window.partitionBy("home", "place", "at").orderBy(F.desc("negative_score"), "negative_id")
-        kept = settled(found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= negatives))
-    return kept.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+        for _, group, block in _pairs(batches):
+            out = []
+            for a in group:
+                windows = [window(p["score"], least, most) for p in a["positives"]]
+                best = block.best_within(np.frombuffer(a["values"], "<i4").astype(np.int64), a["anchor_label"], windows, negatives)
+                for p, (ids, scores) in zip(a["positives"], best):
+                    out += [(a["home"], a["place"], a["anchor_id"], p["at"], p["id"], p["score"], i, s) for i, s in zip(ids.tolist(), scores.tolist())]
+            yield _batch(out, {"home": pa.int64(), "place": pa.int32(), "anchor_id": pa.int64(), "at": pa.int32(), "positive_id": pa.int64(), "positive_score": pa.int64(), "negative_id": pa.int64(), "negative_score": pa.int64()})
+
+    columns, kept = ["block", "ids", "labels", "dims", "columns", "anchors"], job_folder(spark, "settled", uuid.uuid4().hex)
+    for at in range(n_rounds):
+        asking = anchors.filter(F.pmod(F.xxhash64("grp"), F.lit(n_rounds)) == at)
+        with batch_rows(spark, 4):
+            found = map_arrow(_meet(blocks, asking, _CARRIED), columns, alike, "home long, place int, id long, score long")
+            first = Window.partitionBy("home", "place").orderBy(F.desc("score"), "id")
+            chosen = settled(found.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= positives))
+        best = chosen.groupBy("home", "place").agg(F.array_sort(F.collect_list(F.struct("at", "id", "score"))).alias("positives"))
+        with batch_rows(spark, 4):
+            found = map_arrow(_meet(blocks, asking.join(best, ["home", "place"]), [*_CARRIED, "positives"]), columns, unlike, "home long, place int, anchor_id long, at int, positive_id long, positive_score long, negative_id long, negative_score long")
+            first = Window.partitionBy("home", "place", "at").orderBy(F.desc("negative_score"), "negative_id")
+            ranked = found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= negatives)
+            ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").write.mode("append").parquet(kept)
+        release(spark)  # what this round sent and shuffled
+    return spark.read.schema("anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long").parquet(kept)
 
 
 def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:

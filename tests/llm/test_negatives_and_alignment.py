@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from emberline.llm import alignment, hard_negatives, queries, two_tier_bpe
@@ -67,6 +68,45 @@ def test_negatives_of_odd_rows(spark, monkeypatch, block, group):
     assert hard_negatives.mine(df.limit(0)).collect() == []
 
 
+def test_anchors_travel_to_blocks_in_rounds(spark, monkeypatch):
+    for name, value in {"BLOCK": 16, "GROUP": 4, "ROUND": 6_000}.items():
+        monkeypatch.setattr(hard_negatives, name, value, raising=False)
+    rng, met, map_arrow = np.random.default_rng(8), [], hard_negatives.map_arrow
+
+    def spied(df, columns, work, schema):
+        if "anchors" in columns:
+            met.append(df.select("block", F.explode("anchors").alias("a")).select("block", "a.home", "a.place").collect())
+        return map_arrow(df, columns, work, schema)
+
+    monkeypatch.setattr(hard_negatives, "map_arrow", spied)
+    rows = [(i, (rng.integers(-9, 10, 12) / 4).tolist(), int(rng.integers(0, 3))) for i in range(300)]
+    found = hard_negatives.mine(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5), every=5)
+    assert sorted(map(tuple, found.collect())) == plainly_mined(rows, every=5)
+    # Each of 60 anchors meets each block once a scan, and no round holds many anchors: one takes 48 bytes of values and up to 300 more.
+    blocks = {block for rows in met for block, _, _ in rows}
+    sent = [len(rows) / len(blocks) for rows in met]
+    assert sum(sent) == 2 * 60 and max(sent) <= 30 and len({r for rows in met for r in rows}) == 60 * len(blocks)
+
+
+def test_values_too_large_for_doubles_are_added_up_as_integers():
+    small, large = np.full((64, 3), 1 << 20), np.array([[(1 << 24) - 1, 1]] * 64)
+    assert hard_negatives.laid_out(small).dtype == np.float64 and hard_negatives.laid_out(large).dtype == np.int64
+    block = hard_negatives.Block(np.arange(2), np.zeros(2, np.int64), hard_negatives.laid_out(large))
+    _, scores = block.best_alike(np.full(64, (1 << 24) - 1), 0, -1, 2)
+    assert scores.tolist() == [64 * ((1 << 24) - 1) ** 2, 64 * ((1 << 24) - 1)]
+
+
+def test_windows_that_meet_or_lie_apart_keep_their_rows():
+    rng = np.random.default_rng(9)
+    block = hard_negatives.Block(np.arange(500), np.zeros(500, np.int64), hard_negatives.laid_out(rng.integers(-20, 21, (40, 500))))
+    anchor = rng.integers(-20, 21, 40)
+    scores = (anchor @ block.columns).astype(int).tolist()
+    windows = [(100, 300), (250, 900), (901, 950), (-700, -200), (5, 4), (2000, 2100), (-60, -60), (0, 0)]
+    for (least, greatest), (ids, found) in zip(windows, block.best_within(anchor, 1, windows, 3)):
+        want = sorted((-s, i) for i, s in enumerate(scores) if least <= s <= greatest)[:3]
+        assert list(zip((-found).tolist(), ids.tolist())) == want
+
+
 def test_the_scan_drops_rows_before_it_has_read_all(monkeypatch):
     rng = np.random.default_rng(5)
     block = hard_negatives.Block(np.arange(2000), np.zeros(2000, np.int64), rng.integers(-20, 21, (64, 2000)))
