@@ -6,10 +6,9 @@ added up so far and, for what is left, something between the sums of the least a
 allows. Rows whose range can't matter any more leave the candidate bitmap; the last ones standing are known exactly.
 
 Two scans: the first keeps an anchor's best rows of its own label, its positives. Each positive's score opens a window of
-scores, and the second scan keeps the best rows of other labels in each window. Anchors travel to all blocks in groups, and in rounds of
-a bounded number of bytes: neither the driver nor an executor ever holds more of them, however many there are, and no group is repeated
-once a block. A group and a block give at most a few rows an anchor, whatever the block holds; the best of all blocks are taken by Spark,
-which limits them before the shuffle.
+scores, and the second scan keeps the best rows of other labels in each window. Anchors travel to all blocks in rounds of a bounded number
+of bytes: neither the driver nor an executor ever holds more of them, however many there are, and none is repeated once a block. A block
+gives at most a few rows an anchor, whatever it holds; the best of all blocks are taken by Spark, which limits them before the shuffle.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ ANCHOR_EVERY = 50
 POSITIVES, NEGATIVES = 5, 3
 #: A negative's score lies between these per cent of the positive's.
 LEAST, MOST = 50, 95
-#: Rows of a block, anchors of a group, and dimensions read between two looks at the bitmap.
+#: Rows of a block, anchors whose rows are written at once, and dimensions read between two looks at the bitmap.
 BLOCK, GROUP, STRIDE = 4096, 256, 8
 #: Bytes of anchors that travel to all blocks in one round, and tasks that blocks are dealt to for each that runs at once.
 ROUND, DEALT = 8 << 20, 4
@@ -83,29 +82,18 @@ def _blocks(vectors: DataFrame) -> DataFrame:
 
 
 def _anchors(blocks: DataFrame, every: int) -> DataFrame:
-    """Groups of anchors: per anchor its row (block and place), id, label and values."""
+    """Per anchor its row (block and place), id, label and values."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, n_groups, task = [], 0, 0, TaskContext.get().partitionId()
-
-        def closed() -> pa.RecordBatch:
-            rows = [(task << 32 | n_groups, *row) for row in held]
-            return _batch(rows, {"grp": pa.int64(), "home": pa.int64(), "place": pa.int32(), "anchor_id": pa.int64(), "anchor_label": pa.int64(), "values": pa.binary()})
-
         for batch in batches:
             for row in batch.to_pylist():
                 columns = np.frombuffer(row["columns"], "<i4").reshape(row["dims"], -1)
-                for k, i in enumerate(row["ids"]):
-                    if i % every == 0:
-                        held.append((row["block"], k, i, row["labels"][k], columns[:, k].tobytes()))
-                        size += len(held[-1][-1])
-                        if len(held) == GROUP or size >= ROUND // 8:
-                            yield closed()
-                            held, size, n_groups = [], 0, n_groups + 1
-        if held:
-            yield closed()
+                places = [k for k, i in enumerate(row["ids"]) if i % every == 0]
+                for first in range(0, len(places), GROUP):
+                    some = [(row["block"], k, row["ids"][k], row["labels"][k], columns[:, k].tobytes()) for k in places[first : first + GROUP]]
+                    yield _batch(some, {"home": pa.int64(), "place": pa.int32(), "anchor_id": pa.int64(), "anchor_label": pa.int64(), "values": pa.binary()})
 
-    return settled(map_arrow(blocks, ["block", "ids", "labels", "dims", "columns"], work, "grp long, home long, place int, anchor_id long, anchor_label long, values binary"))
+    return settled(map_arrow(blocks, ["block", "ids", "labels", "dims", "columns"], work, "home long, place int, anchor_id long, anchor_label long, values binary"))
 
 
 def laid_out(columns: np.ndarray) -> np.ndarray:
@@ -197,22 +185,21 @@ _CARRIED = ["home", "place", "anchor_id", "anchor_label", "values"]
 
 
 def _meet(blocks: DataFrame, anchors: DataFrame, carried: list[str]) -> DataFrame:
-    """Every block beside every group of anchors. A group is one row of at most ``GROUP`` anchors; the anchors are those of one round, which
-    every executor can hold. Blocks are dealt out once, since they may lie in few files, and not repeated."""
-    groups = anchors.groupBy("grp").agg(F.collect_list(F.struct(*carried)).alias("anchors"))
-    return blocks.repartition(DEALT * blocks.sparkSession.sparkContext.defaultParallelism).crossJoin(F.broadcast(groups))
+    """Every block beside the anchors of one round, which are one row: they are few enough bytes for the driver and every executor. Blocks are
+    dealt out once, since they may lie in few files, and not repeated."""
+    together = anchors.agg(F.collect_list(F.struct(*carried)).alias("anchors"))
+    return blocks.repartition(DEALT * blocks.sparkSession.sparkContext.defaultParallelism).crossJoin(F.broadcast(together))
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], Block]]:
-    """Of each row the block's number, a group's anchors, the block."""
-    number, block = None, None
+    """Of each row the block's number, some of the anchors, the block, until all anchors were there."""
     for batch in batches:
         for k in range(batch.num_rows):
             row = {name: batch.column(name)[k] for name in batch.schema.names}
-            if row["block"].as_py() != number:
-                number, columns = row["block"].as_py(), np.frombuffer(row["columns"].as_buffer(), "<i4").reshape(row["dims"].as_py(), -1)
-                block = Block(row["ids"].values.to_numpy(), row["labels"].values.to_numpy(), laid_out(columns))
-            yield number, row["anchors"].as_py(), block
+            number, columns = row["block"].as_py(), np.frombuffer(row["columns"].as_buffer(), "<i4").reshape(row["dims"].as_py(), -1)
+            block, anchors = Block(row["ids"].values.to_numpy(), row["labels"].values.to_numpy(), laid_out(columns)), row["anchors"].values
+            for first in range(0, len(anchors), GROUP):
+                yield number, anchors.slice(first, GROUP).to_pylist(), block
 
 
 def mine(vectors: DataFrame, every: int = ANCHOR_EVERY, positives: int = POSITIVES, negatives: int = NEGATIVES, least: int = LEAST, most: int = MOST) -> DataFrame:
@@ -251,13 +238,13 @@ def mine(vectors: DataFrame, every: int = ANCHOR_EVERY, positives: int = POSITIV
 
     columns, kept = ["block", "ids", "labels", "dims", "columns", "anchors"], job_folder(spark, "settled", uuid.uuid4().hex)
     for at in range(n_rounds):
-        asking = anchors.filter(F.pmod(F.xxhash64("grp"), F.lit(n_rounds)) == at)
-        with batch_rows(spark, 4):
+        asking = anchors.filter(F.pmod(F.xxhash64("home", "place"), F.lit(n_rounds)) == at)
+        with batch_rows(spark, 1):
             found = map_arrow(_meet(blocks, asking, _CARRIED), columns, alike, "home long, place int, id long, score long")
             first = Window.partitionBy("home", "place").orderBy(F.desc("score"), "id")
             chosen = settled(found.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= positives))
         best = chosen.groupBy("home", "place").agg(F.array_sort(F.collect_list(F.struct("at", "id", "score"))).alias("positives"))
-        with batch_rows(spark, 4):
+        with batch_rows(spark, 1):
             found = map_arrow(_meet(blocks, asking.join(best, ["home", "place"]), [*_CARRIED, "positives"]), columns, unlike, "home long, place int, anchor_id long, at int, positive_id long, positive_score long, negative_id long, negative_score long")
             first = Window.partitionBy("home", "place", "at").orderBy(F.desc("negative_score"), "negative_id")
             ranked = found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= negatives)
